@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-from quotaflow.registry import metrics, monitoring, tables
+from quotaflow.registry import documents, jobs, metrics, monitoring, questions, tables
 
-ENTRIES = {**tables.ENTRIES, **metrics.ENTRIES, **monitoring.ENTRIES}
+ENTRIES = {
+    **tables.ENTRIES, **metrics.ENTRIES, **monitoring.ENTRIES, **questions.ENTRIES, **documents.ENTRIES, **jobs.ENTRIES,
+}
