@@ -126,7 +126,8 @@ SELECT CASE WHEN o_orderkey % 97 = 0 THEN concat('{{"Id":"', cast(o_orderkey AS
     '","CreatedDate":"', cast(cast(o_orderdate AS date) - 90 AS string),
     '","LastModifiedDate":"', cast(cast(o_orderdate AS date) AS string), ' 10:15:00',
     '","_EventType":"', CASE o_orderkey % 5 WHEN 0 THEN 'CREATE' WHEN 1 THEN 'DELETE' WHEN 2 THEN 'UNDELETE' ELSE 'UPDATE' END,
-    '"}}') END AS raw_json, o_orderkey AS kafka_offset
+    '"}}') END AS raw_json, o_orderkey AS kafka_offset,
+  cast(o_orderkey % 6 AS int) AS kafka_partition, o_orderdate AS kafka_ts
 FROM {orders}""",
     "account_raw": f"""
 SELECT CASE WHEN c_custkey % 97 = 0 THEN concat('{{{{"Id":"', cast(c_custkey AS string), '","Name":')
@@ -137,7 +138,8 @@ SELECT CASE WHEN c_custkey % 97 = 0 THEN concat('{{{{"Id":"', cast(c_custkey AS
     '","HealthScore__c":"', cast((c_custkey * 37) % 101 AS string), '","RiskTier__c":"Red',
     '","ContractEndDate__c":"', cast(DATE '2001-04-01' + cast(c_custkey % 365 AS int) AS string),
     '","LastModifiedDate":"2001-04-30 08:00:00","_EventType":"', CASE WHEN c_custkey % 5 = 0 THEN 'DELETE' ELSE 'UPDATE' END,
-    '"}}}}') END AS raw_json, c_custkey AS kafka_offset
+    '"}}}}') END AS raw_json, c_custkey AS kafka_offset,
+  cast(c_custkey % 6 AS int) AS kafka_partition, TIMESTAMP_NTZ '2001-04-30 08:00:00' AS kafka_ts
 FROM {{customer}}""",
     "agent_traces": """
 SELECT cast(event_id AS string) AS trace_id, cast(user_id AS string) AS session_id,
@@ -243,6 +245,17 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def table_stream(self, name: str) -> DataFrame:
+        """The same table as a stream of its files."""
+        reader = self.spark.readStream.schema(self.table(name).schema).option("pathGlobFilter", f"{name}.parquet*")
+        return reader.option("recursiveFileLookup", "true").parquet(self.folder)
+
+    def view_stream(self, name: str) -> DataFrame:
+        """A view over one table, as a stream."""
+        text = VIEWS[name]
+        used = {t: self.table_stream(t) for t in TABLES if "{" + t + "}" in text}
+        return self.spark.sql(text, **used)
+
     def view(self, name: str) -> DataFrame:
         text = VIEWS[name]
         used = {t: self.table(t) for t in TABLES if "{" + t + "}" in text}
@@ -258,4 +271,5 @@ class Inputs:
 
 def oracle_cte(name: str) -> str:
     """The view as a CTE for an engine in which the input tables are plain views."""
-    return f"{name} AS ({VIEWS[name].format(**{t: t for t in TABLES})})"
+    text = VIEWS[name].format(**{t: t for t in TABLES})
+    return f"{name} AS ({text.replace('TIMESTAMP_NTZ', 'TIMESTAMP')})"

@@ -11,7 +11,7 @@ from quotaflow.functions.metrics import same_quarter
 from quotaflow.operators import access, cdc, merge
 from quotaflow.plans import deals, sync
 from quotaflow.plans.views import Inputs
-from quotaflow.registry.common import AS_OF_DATE, DAILY_BUDGET, PERIOD, Entry, oracle
+from quotaflow.registry.common import AS_OF_DATE, Entry, oracle
 from quotaflow.sources.warehouse import warehouse_query
 
 AS_OF = f"DATE '{AS_OF_DATE}'"
@@ -41,8 +41,8 @@ _CAST = {
 def _parse_cte(entity: str, fields) -> str:
     columns = ", ".join(f"{_CAST[kind].format(_text(source))} AS {column}" for source, column, kind in fields)
     return (
-        f"docs AS (SELECT CASE WHEN json_valid(raw_json) THEN CAST(raw_json AS JSON) END AS j, kafka_offset FROM {entity}_raw), "
-        f"parsed AS (SELECT {columns}, kafka_offset FROM docs)"
+        f"docs AS (SELECT CASE WHEN json_valid(raw_json) THEN CAST(raw_json AS JSON) END AS j, kafka_offset, kafka_partition, kafka_ts FROM {entity}_raw), "
+        f"parsed AS (SELECT {columns}, kafka_offset, kafka_partition, kafka_ts FROM docs)"
     )
 
 
@@ -268,6 +268,6 @@ ENTRIES: dict[str, Entry] = {
     ),
 }
 
-LATEST_FORECAST_CTE = _LATEST_FORECAST
+LATEST_FORECAST_CTE, SCD1_CTE, VALID_TYPE = _LATEST_FORECAST, _LATEST, _VALID_TYPE
+PARSE_CTE = {"opportunity": _OPP, "account": _ACC}
 latest_forecast = _latest_forecast
-__all__ = ["ENTRIES", "LATEST_FORECAST_CTE", "latest_forecast", "PERIOD", "DAILY_BUDGET"]

@@ -1,0 +1,63 @@
+"""Latest state per key inside the stream, with the state store instead of a table."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+OUTPUT = (
+    "entity_id string, event_type string, amount decimal(18,2), updated_at timestamp, kafka_offset long, "
+    "health_score int, previous_score int"
+)
+STATE = "updated_at timestamp, kafka_offset long, health_score int, deleted boolean"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class NewerEvents(StatefulProcessor):
+    """Passes on an event only when it is newer than all earlier events of its key.
+
+    A delete is remembered, so an older event that comes late is dropped. The score of the replaced state goes
+    along, which shows whether the health of the key went down.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._last = handle.getValueState("last", STATE)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last = self._last.get() if self._last.exists() else None
+        for frame in rows:
+            passed = []
+            ordered = frame.sort_values(["updated_at", "kafka_offset"], na_position="first")
+            for row in ordered.itertuples(index=False):
+                if pd.isna(row.updated_at):
+                    if last is not None:
+                        continue
+                elif last is not None and last[0] is not None and (row.updated_at, row.kafka_offset) <= (pd.Timestamp(last[0]), last[1]):
+                    continue
+                score = None if pd.isna(row.health_score) else int(row.health_score)
+                passed.append((*row, None if last is None else last[2]))
+                at = None if pd.isna(row.updated_at) else row.updated_at.to_pydatetime()
+                last = (at, int(row.kafka_offset), score, row.event_type == "DELETE")
+            if passed:
+                yield pd.DataFrame(passed, columns=[*frame.columns, "previous_score"])
+        if last is not None:
+            self._last.update(last)
+
+    def close(self) -> None:
+        pass
+
+
+def newer_events(events: DataFrame) -> DataFrame:
+    """Stream of events in, stream of state-changing events out (RocksDB state store required)."""
+    narrow = events.select("entity_id", "event_type", "amount", "updated_at", "kafka_offset", "health_score")
+    return narrow.groupBy("entity_id").transformWithStateInPandas(
+        NewerEvents(), outputStructType=OUTPUT, outputMode="Update", timeMode="None"
+    )
+
+
+def health_drops(passed: DataFrame) -> DataFrame:
+    return passed.filter("health_score < previous_score")
