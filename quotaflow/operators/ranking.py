@@ -33,7 +33,7 @@ def global_numbers(df: DataFrame, order_value: Column, ties: list[str], name: st
     cuts = keyed.select(
         F.percentile_approx("_order", [i / segments for i in range(1, segments)] or [0.5], 10_000)
     ).first()[0]
-    splits = [float("-inf"), *sorted(set(cuts or [])), float("inf")]
+    splits = [float("-inf"), *sorted(set(cuts or [0.0])), float("inf")]
     cut = Bucketizer(splits=splits, inputCol="_order", outputCol="_segment").transform(keyed)
     sizes = {r["_segment"]: r["count"] for r in cut.groupBy("_segment").count().collect()}  # one row per segment
     offsets, total = [], 0

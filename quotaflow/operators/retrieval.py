@@ -119,7 +119,7 @@ def _block_candidates(chunks: DataFrame, questions: DataFrame, k: int, block_vec
         "asked", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1)))
     )
     right = asked.withColumn("asked", F.pmod(F.xxhash64("query_id"), F.lit(n_asked)).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("long")
+        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))
     )
     return _paired_candidates(left, right, ["block", "asked"], k)
 

@@ -56,7 +56,7 @@ class KeyedTable:
     def _latest(self) -> DataFrame:
         """Newest row per key, tombstones included."""
         until = self.folded_until()
-        log = self._read("log")
+        log = self.spark.read.parquet(f"{self.root}/log")
         fresh = self.newest(log.filter(F.col("batch_id") > until).drop("batch_id"))
         if until < 0:
             return fresh
@@ -73,7 +73,7 @@ class KeyedTable:
         The base becomes valid with its mark, one row written last; a fold that stops half-way leaves no trace
         for readers.
         """
-        rows = self._latest().filter(F.lit(True))
+        rows = self._latest()
         if self.deletes:
             old = F.col(self.sequence) < as_of - F.expr(f"INTERVAL {retention_days} DAYS")
             rows = rows.filter(~(F.col("event_type").eqNullSafe("DELETE") & F.coalesce(old, F.lit(False))))
