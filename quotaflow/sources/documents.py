@@ -37,6 +37,7 @@ def new_file_stream(spark: SparkSession, folder: str, max_files: int = 1000) ->
     """Stream of document files below a folder, existing ones included: path, modificationTime, length, content."""
     return (
         spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
         .option("pathGlobFilter", C.DOCUMENT_GLOB)
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", max_files)
