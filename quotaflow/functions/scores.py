@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotaflow import constants as C
@@ -70,32 +70,43 @@ def _field_type(document: Column, name: str) -> Column:
     return F.schema_of_variant(_field(document, name, "variant"))
 
 
-def parse_verdict(raw: Column, response: Column, context: Column) -> Column:
-    """Judge output as a struct; a blank input or an unreadable output counts as fully grounded."""
+def verdict_document(raw: Column, response: Column, context: Column) -> Column:
+    """Judge output as a variant; NULL for blank inputs and unreadable outputs."""
     blank = ~response.rlike(r"\S") | ~context.rlike(r"\S")
-    parsed = json_object(F.when(~blank, strip_fence(F.btrim(raw, F.lit(" \t\r\n")), "json", any_case=False)))
-    return F.struct(
-        F.coalesce(_field(parsed, "score", "double"), F.lit(1.0)).alias("score"),
-        F.coalesce(_field(parsed, "total_claims", "int"), F.lit(0)).alias("total_claims"),
-        F.coalesce(_field(parsed, "supported_claims", "int"), F.lit(0)).alias("supported_claims"),
-        F.coalesce(_field(parsed, "unsupported_claims", "array<string>"), F.array().cast("array<string>")).alias(
-            "unsupported_claims"
-        ),
+    return json_object(F.when(~blank, strip_fence(F.btrim(raw, F.lit(" \t\r\n")), "json", any_case=False)))
+
+
+def with_verdict(df: DataFrame) -> DataFrame:
+    """Replaces raw, response and context by the verdict columns; without a readable verdict all is grounded.
+
+    The text is parsed in a step of its own, once for all columns.
+    """
+    kept = [c for c in df.columns if c not in ("raw", "response", "context")]
+    parsed = df.select(*kept, verdict_document(F.col("raw"), F.col("response"), F.col("context")).alias("_doc"))
+    doc = F.col("_doc")
+    return parsed.select(
+        *kept,
+        F.coalesce(_field(doc, "score", "double"), F.lit(1.0)).alias("score"),
+        F.coalesce(_field(doc, "total_claims", "int"), F.lit(0)).alias("total_claims"),
+        F.coalesce(_field(doc, "supported_claims", "int"), F.lit(0)).alias("supported_claims"),
+        F.coalesce(_field(doc, "unsupported_claims", "array<string>"), F.array().cast("array<string>")).alias("unsupported_claims"),
     )
 
 
-def parse_job_score(raw: Column) -> Column:
-    """Job score output as a struct.
+def with_job_score(df: DataFrame, raw: str) -> DataFrame:
+    """Replaces the raw scoring output by score, score_reason and is_disqualified.
 
     A JSON number is taken as it is, of a JSON string only the leading integer counts, all else is 0. An output
     that is not a JSON object is not scored. Only the JSON value true disqualifies.
     """
-    parsed = json_object(raw)
+    kept = [c for c in df.columns if c != raw]
+    parsed = F.col("_doc")
     kind = _field_type(parsed, "score")
     leading = F.regexp_extract(_field(parsed, "score", "string"), r"^\s*([+-]?\d+)", 1).try_cast("double")
     number = F.when(kind == "STRING", leading).when(kind != "BOOLEAN", _field(parsed, "score", "double"))
     flag = (_field_type(parsed, "is_disqualified") == "BOOLEAN") & (_field(parsed, "is_disqualified", "string") == "true")
-    return F.struct(
+    return df.select(*kept, json_object(F.col(raw)).alias("_doc")).select(
+        *kept,
         F.coalesce(number, F.lit(0.0)).alias("score"),
         F.when(parsed.isNull(), C.NOT_SCORED)
         .otherwise(F.coalesce(_field(parsed, "reason", "string"), F.lit("")))

@@ -141,20 +141,16 @@ def ingest_status(files: DataFrame, known: DataFrame) -> DataFrame:
     """Status per file: error (unsupported suffix), skipped (known or a second copy), empty, ingested."""
     suffix = F.lower(F.regexp_extract(F.col("file_path"), r"\.([A-Za-z0-9]+)$", 1))
     supported = suffix.isin("pdf", "docx", "doc", "txt", "md")
-    marked = identify(files).withColumn("supported", supported)
-    good = marked.filter("supported")
-    pages = page_rows(good.select("file_path", "doc_id", "content"))
-    enough = (
-        long_enough(chunk_rows_of(pages)).select("file_path").distinct().withColumn("has_chunks", F.lit(True))
-    )
-    narrow = marked.select("file_path", "doc_id", "supported").join(enough, "file_path", "left")
+    # a page has a long enough chunk when its first window has enough tokens
+    has_chunks = F.exists(F.split("content", "\f"), lambda page: F.size(word_tokens(page)) >= C.CHUNK_MIN_TOKENS)
+    narrow = identify(files).select("file_path", "doc_id", supported.alias("supported"), has_chunks.alias("has_chunks"))
     narrow = narrow.join(known.select("doc_id").distinct().withColumn("known", F.lit(True)), "doc_id", "left")
     first = narrow.filter("supported").groupBy("doc_id").agg(F.min("file_path").alias("first_path"))
     status = (
         F.when(~F.col("supported"), "errors")
         .when(F.col("known"), "skipped")
         # an empty document leaves no metadata, so its copies are not recognised and count as empty again
-        .when(F.col("has_chunks").isNull(), "empty")
+        .when(~F.col("has_chunks"), "empty")
         .when(F.col("file_path") != F.col("first_path"), "skipped")
         .otherwise("ingested")
     )

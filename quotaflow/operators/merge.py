@@ -28,10 +28,11 @@ def replace_where(target: DataFrame, source: DataFrame, replaced: Column) -> Dat
     return target.filter(~F.coalesce(replaced, F.lit(False))).unionByName(source.select(*target.columns))
 
 
-def change_feed(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+def change_feed(old: DataFrame, new: DataFrame, key: str, keep_old: tuple[str, ...] = ()) -> DataFrame:
     """One row per inserted, updated or deleted key between two versions of a table.
 
-    The row carries the new values, for a delete the old ones. Unchanged rows do not appear.
+    The row carries the new values, for a delete the old ones. Unchanged rows do not appear. Columns named in
+    ``keep_old`` also come with their earlier value as ``old_<name>``.
     """
     values = [c for c in new.columns if c != key]
     before = old.select(key, F.struct(*values).alias("_old"))
@@ -42,7 +43,9 @@ def change_feed(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
         F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "delete").when(~same, "update")
     )
     shown = F.coalesce(F.col("_new"), F.col("_old"))
-    return both.select(key, kind.alias("change_type"), *[shown[c].alias(c) for c in values]).filter("change_type IS NOT NULL")
+    earlier = [F.col("_old")[c].alias(f"old_{c}") for c in keep_old]
+    rows = both.select(key, kind.alias("change_type"), *[shown[c].alias(c) for c in values], *earlier)
+    return rows.filter("change_type IS NOT NULL")
 
 
 def apply_changes(old: DataFrame, feed: DataFrame, key: str) -> DataFrame:

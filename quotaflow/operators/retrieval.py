@@ -38,18 +38,23 @@ def _best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
     return ordered.groupby("query_id", sort=False).head(k)
 
 
+def _filter_codes(wanted: pd.Series, values: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Filter values of both sides as comparable numbers; -1 stands for no filter (or no value)."""
+    codes, _ = pd.factorize(np.concatenate([wanted.to_numpy(object), values.to_numpy(object)]))
+    return codes[: len(wanted)], codes[len(wanted) :]
+
+
 def _match(questions: pd.DataFrame, q_unit: np.ndarray, chunks: pd.DataFrame, c_unit: np.ndarray, k: int) -> pd.DataFrame:
     """Best k chunks of one block for every question, filters applied before the cut."""
     found = []
-    types, accounts = chunks["doc_type"].to_numpy(object), chunks["account_id"].to_numpy(object)
     ids = chunks["chunk_id"].to_numpy(object)
+    filters = [_filter_codes(questions[c], chunks[c]) for c in ("doc_type", "account_id") if questions[c].notna().any()]
     for start in range(0, len(questions), TILE):
         part = questions.iloc[start : start + TILE]
         scores = np.round(q_unit[start : start + TILE] @ c_unit.T, 6) + 0.0
-        for column, values in (("doc_type", types), ("account_id", accounts)):
-            wanted = part[column].to_numpy(object)
-            free = pd.isna(wanted)
-            scores[~free[:, None] & (wanted[:, None] != values[None, :])] = -np.inf
+        for wanted, values in filters:
+            asked = wanted[start : start + TILE, None]
+            scores[(asked >= 0) & (asked != values[None, :])] = -np.inf
         if scores.shape[1] > k:
             edge = np.partition(scores, -k, axis=1)[:, -k]
             rows, columns = np.nonzero((scores >= edge[:, None]) & np.isfinite(scores))

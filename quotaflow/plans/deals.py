@@ -77,6 +77,14 @@ def win_rate(deals: DataFrame, keys: list[str]) -> DataFrame:
     return counted.withColumn("win_rate", ratio(F.col("won"), F.col("won") + F.col("lost")))
 
 
+def win_rate_by_industry(deals: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Counts per account come first, so the join moves one row per account."""
+    per_account = win_rate(deals, ["account_id"])
+    joined = per_account.join(accounts.select("account_id", "industry"), "account_id")
+    sums = joined.groupBy("industry").agg(F.sum("won").alias("won"), F.sum("lost").alias("lost"))
+    return sums.withColumn("win_rate", ratio(F.col("won"), F.col("won") + F.col("lost")))
+
+
 def forecast_vs_quota(latest_forecast: DataFrame) -> DataFrame:
     sums = [F.sum(c).cast(BIG_MONEY).alias(c) for c in ("committed", "closed_won", "quota")]
     totals = latest_forecast.groupBy("period", "segment").agg(*sums)
@@ -136,10 +144,9 @@ def forecast_accuracy(snapshots: DataFrame, latest: DataFrame) -> DataFrame:
     return both.withColumn("error_ratio", ratio(error, F.col("actual")))
 
 
-def stage_changes(feed: DataFrame, old: DataFrame) -> DataFrame:
-    """Updated deals whose stage differs between two versions."""
-    before = old.select("opportunity_id", F.col("stage").alias("old_stage"))
-    moved = feed.filter("change_type = 'update'").join(before, "opportunity_id")
+def stage_changes(feed: DataFrame) -> DataFrame:
+    """Updated deals whose stage differs between two versions; the feed carries ``old_stage``."""
+    moved = feed.filter("change_type = 'update'")
     return moved.filter(~F.col("stage").eqNullSafe(F.col("old_stage"))).select(
         "opportunity_id", "old_stage", F.col("stage").alias("new_stage"), "forecast_category", "amount"
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotaflow import constants as C
-from quotaflow.functions.scores import job_band, parse_job_score
+from quotaflow.functions.scores import job_band, with_job_score
 from quotaflow.functions.text import first_chars
 from quotaflow.operators.ranking import global_numbers, top_per_key
 
@@ -114,8 +114,7 @@ def merge_by_index(left: DataFrame, right: DataFrame, left_order: Column, right_
 
 def scored(items: DataFrame, raw: str = "score_raw") -> DataFrame:
     """Parsed score columns in place of the raw output."""
-    parsed = items.withColumn("_s", parse_job_score(F.col(raw)))
-    return parsed.select(*[c for c in items.columns if c != raw], "_s.score", "_s.score_reason", "_s.is_disqualified")
+    return with_job_score(items, raw)
 
 
 def matches(scored_items: DataFrame) -> DataFrame:

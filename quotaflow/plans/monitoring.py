@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotaflow import constants as C
-from quotaflow.functions.scores import parse_verdict, token_cost
+from quotaflow.functions.scores import token_cost, with_verdict
 from quotaflow.functions.text import first_chars, has_any
 
 
@@ -39,8 +39,7 @@ def with_cost(traces: DataFrame) -> DataFrame:
 
 
 def verdicts(judged: DataFrame) -> DataFrame:
-    parsed = judged.withColumn("_v", parse_verdict(F.col("raw"), F.col("response"), F.col("context")))
-    return parsed.select("trace_id", "query", "ts", "_v.*")
+    return with_verdict(judged.select("trace_id", "query", "ts", "raw", "response", "context"))
 
 
 def claim_rows(verdict_rows: DataFrame) -> DataFrame:

@@ -17,17 +17,19 @@ BIG_MONEY = "decimal(28,2)"
 def risk_top(accounts: DataFrame, health: DataFrame, n: int = C.RISK_TOP) -> DataFrame:
     """Accounts at risk with their usage signals, worst health first, larger ARR first."""
     at_risk = F.col("risk_tier").isin(*C.AT_RISK_TIERS) | (F.col("health_score") < C.RISK_HEALTH_BELOW)
-    usage = health.select("account_id", "nps_score", "feature_adoption", "last_login_date")
-    return (
+    order = [F.col("health_score").asc_nulls_first(), F.col("arr").desc_nulls_last(), F.col("account_id")]
+    # The order depends on account columns only and a left join drops no account, so the n accounts are cut
+    # first. Health is then reduced to those n keys by a semi join whose small side has a known row bound.
+    worst = (
         accounts.filter(at_risk)
-        .join(usage, "account_id", "left")
-        .select(
-            "account_id", F.col("name").alias("account_name"), "health_score", "risk_tier", "arr", "contract_end",
-            "segment", "nps_score", "feature_adoption", "last_login_date",
-        )
-        .orderBy(F.col("health_score").asc_nulls_first(), F.col("arr").desc_nulls_last(), "account_id")
+        .select("account_id", F.col("name").alias("account_name"), "health_score", "risk_tier", "arr", "contract_end", "segment")
+        .orderBy(*order)
         .limit(n)
     )
+    usage = health.select("account_id", "nps_score", "feature_adoption", "last_login_date").join(
+        worst.select("account_id"), "account_id", "left_semi"
+    )
+    return worst.join(usage, "account_id", "left").orderBy(*order).limit(n)
 
 
 def arr_of_tier(arr: DataFrame, accounts: DataFrame, tier: str, n: int = 20) -> DataFrame:

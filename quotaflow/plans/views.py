@@ -41,6 +41,23 @@ SELECT cast(o.o_orderkey AS string) AS opportunity_id, cast(o.o_custkey AS strin
 FROM {{orders}} o JOIN {{customer}} c ON o.o_custkey = c.c_custkey
 LEFT JOIN (SELECT l_orderkey, sum(cast(l_extendedprice AS decimal(18,2))) AS acv FROM {{lineitem}} GROUP BY l_orderkey) l
   ON l.l_orderkey = o.o_orderkey""",
+    "opportunity_base": f"""
+SELECT cast(o.o_orderkey AS string) AS opportunity_id, cast(o.o_custkey AS string) AS account_id,
+  c.c_name AS account_name, cast(o.o_orderkey % 25 AS string) AS owner_id,
+  concat('Rep ', cast(o.o_orderkey % 25 AS string)) AS owner_name,
+  concat('Deal ', cast(o.o_orderkey AS string)) AS name,
+  cast(o.o_totalprice AS decimal(18,2)) AS amount,
+  CASE WHEN o.o_orderstatus = 'F' THEN CASE WHEN o.o_orderkey % 3 = 0 THEN 'Closed Lost' ELSE 'Closed Won' END
+       WHEN o.o_orderstatus = 'O' THEN CASE WHEN o.o_orderkey % 2 = 0 THEN 'Proposal' ELSE 'Negotiation' END
+       ELSE CASE WHEN o.o_orderkey % 2 = 0 THEN 'Prospecting' ELSE 'Discovery' END END AS stage,
+  cast(o.o_orderdate AS date) AS close_date, cast(o.o_orderkey % 101 AS int) AS probability,
+  CASE o.o_orderpriority WHEN '1-URGENT' THEN 'Commit' WHEN '2-HIGH' THEN 'Best Case'
+    WHEN '5-LOW' THEN 'Omitted' ELSE 'Pipeline' END AS forecast_category,
+  cast(o.o_orderkey % 120 AS int) AS days_in_stage,
+  cast(o.o_orderdate AS date) - cast(o.o_orderkey % 60 AS int) AS last_activity_date,
+  cast((o.o_orderkey * 37) % 101 AS int) AS health_score, cast(o.o_orderdate AS date) - 90 AS created_date,
+  o.o_orderdate AS updated_at
+FROM {{orders}} o JOIN {{customer}} c ON o.o_custkey = c.c_custkey""",
     "account_current": f"""
 SELECT cast(c_custkey AS string) AS account_id, c_name AS name, c_mktsegment AS industry,
   {_segment('c_custkey')} AS segment, cast(c_custkey % 25 AS string) AS owner_id,

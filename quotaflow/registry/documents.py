@@ -8,6 +8,7 @@ from quotaflow.operators import documents as D
 from quotaflow.operators import retrieval as R
 from quotaflow.plans.views import Inputs
 from quotaflow.registry.common import Entry, oracle
+from quotaflow.session import run_folder
 
 DOCS = ["source_documents"]
 # uuid5 in SQL of the oracle engine: SHA-1 over the namespace bytes and the hash text.
@@ -67,8 +68,15 @@ def searchable_chunks(i: Inputs):
     return chunks.join(vectors, "source_id").join(names, "account_id", "left")
 
 
+def chunk_table(i: Inputs):
+    """The chunk rows as the stored table that searches read; only the columns a step needs are scanned."""
+    path = f"{run_folder(i.spark, 'chunks')}/chunks"
+    searchable_chunks(i).write.parquet(path)
+    return i.spark.read.parquet(path)
+
+
 def _search(i: Inputs):
-    chunks = searchable_chunks(i)
+    chunks = chunk_table(i)
     found = R.nearest_chunks(chunks, i.search_requests)
     described = found.join(chunks.select("chunk_id", "doc_type", "account_name", "source_page", "content"), "chunk_id")
     asked = i.search_requests.select("query_id", F.col("account_name").alias("wanted_account"))
@@ -76,7 +84,7 @@ def _search(i: Inputs):
 
 
 def _bucket_search(i: Inputs):
-    return R.nearest_in_buckets(searchable_chunks(i), i.search_requests, "label").select("query_id", "chunk_id", "score", "rank")
+    return R.nearest_in_buckets(chunk_table(i), i.search_requests, "label").select("query_id", "chunk_id", "score", "rank")
 
 
 def _text_figures(texts: list[str]) -> list[list[float]]:

@@ -48,7 +48,7 @@ def _arr(i: Inputs):
 
 
 def _quarter_deals(i: Inputs):
-    return i.opportunity_current.filter(same_quarter(F.col("close_date"), AS_OF_DATE))
+    return i.opportunity_base.filter(same_quarter(F.col("close_date"), AS_OF_DATE))
 
 
 def risk_top25(i: Inputs):
@@ -56,8 +56,7 @@ def risk_top25(i: Inputs):
 
 
 def _win_by_industry(i: Inputs):
-    accounts = i.account_current.select("account_id", "industry")
-    return deals.win_rate(i.opportunity_current.select("account_id", "stage").join(accounts, "account_id"), ["industry"])
+    return deals.win_rate_by_industry(i.opportunity_base, i.account_current)
 
 
 ENTRIES: dict[str, Entry] = {
@@ -100,15 +99,15 @@ ENTRIES: dict[str, Entry] = {
         ),
     ),
     "pipeline_total_quarter": Entry(
-        lambda i: deals.total_quarter(i.opportunity_current, AS_OF_DATE),
+        lambda i: deals.total_quarter(i.opportunity_base, AS_OF_DATE),
         oracle(DEALS, f"SELECT {_sum('amount', 'pipeline_amount')}, count(*) AS deal_count FROM opportunity_current WHERE {OPEN} AND {QUARTER}"),
     ),
     "pipeline_by_category": Entry(
-        lambda i: deals.by_category(i.opportunity_current),
+        lambda i: deals.by_category(i.opportunity_base),
         oracle(DEALS, f"SELECT forecast_category, {_sum('amount')}, count(*) AS deal_count FROM opportunity_current WHERE {OPEN} GROUP BY 1"),
     ),
     "commit_coverage": Entry(
-        lambda i: deals.commit_coverage(i.opportunity_current, latest_forecast(i), AS_OF_DATE),
+        lambda i: deals.commit_coverage(i.opportunity_base, latest_forecast(i), AS_OF_DATE),
         oracle(
             ["opportunity_current", "forecast_snapshots"],
             f"SELECT owner_id, commit_amount, quota, {_ratio('commit_amount', 'quota')} AS coverage FROM (SELECT q.owner_id, coalesce(c.commit_amount, CAST(0 AS DECIMAL(28,2))) AS commit_amount, q.quota "
@@ -121,7 +120,7 @@ ENTRIES: dict[str, Entry] = {
         lambda i: deals.win_rate(_quarter_deals(i), []), oracle(DEALS, _win_sql("", QUARTER), "d AS (SELECT * FROM opportunity_current)")
     ),
     "win_rate_by_rep": Entry(
-        lambda i: deals.win_rate(i.opportunity_current, ["owner_id"]),
+        lambda i: deals.win_rate(i.opportunity_base, ["owner_id"]),
         oracle(DEALS, _win_sql("owner_id"), "d AS (SELECT * FROM opportunity_current)"),
     ),
     "win_rate_by_industry": Entry(
@@ -177,14 +176,14 @@ ENTRIES: dict[str, Entry] = {
         ),
     ),
     "avg_days_in_stage": Entry(
-        lambda i: deals.avg_days_in_stage(i.opportunity_current, i.account_current),
+        lambda i: deals.avg_days_in_stage(i.opportunity_base, i.account_current),
         oracle(
             DEALS + ACCOUNTS,
             "SELECT a.segment, o.stage, count(*) AS deal_count, round(avg(o.days_in_stage), 4) AS avg_days FROM opportunity_current o JOIN account_current a USING (account_id) GROUP BY 1, 2",
         ),
     ),
     "avg_days_in_stage_enterprise": Entry(
-        lambda i: deals.avg_days_in_stage(i.opportunity_current, i.account_current, "Enterprise"),
+        lambda i: deals.avg_days_in_stage(i.opportunity_base, i.account_current, "Enterprise"),
         oracle(
             DEALS + ACCOUNTS,
             "SELECT a.segment, o.stage, count(*) AS deal_count, round(avg(o.days_in_stage), 4) AS avg_days FROM opportunity_current o JOIN account_current a USING (account_id) WHERE a.segment = 'Enterprise' GROUP BY 1, 2",
@@ -203,7 +202,7 @@ ENTRIES: dict[str, Entry] = {
         ),
     ),
     "activity_per_rep": Entry(
-        lambda i: deals.activity_per_rep(i.opportunity_current),
+        lambda i: deals.activity_per_rep(i.opportunity_base),
         oracle(DEALS, "SELECT CAST(date_trunc('week', last_activity_date) AS DATE) AS week, owner_id, count(*) AS activities FROM opportunity_current GROUP BY 1, 2"),
     ),
     "forecast_accuracy": Entry(
@@ -236,7 +235,7 @@ ENTRIES: dict[str, Entry] = {
         oracle(DEALS, f"SELECT opportunity_id, close_date FROM opportunity_current WHERE quarter(close_date) = quarter({AS_OF}) AND year(close_date) = year({AS_OF})"),
     ),
     "result_cap": Entry(
-        lambda i: answers.capped(i.opportunity_current, [F.col("amount").desc(), F.col("opportunity_id")]).select("opportunity_id", "amount"),
+        lambda i: answers.capped(i.opportunity_base, [F.col("amount").desc(), F.col("opportunity_id")]).select("opportunity_id", "amount"),
         oracle(DEALS, "SELECT opportunity_id, amount FROM opportunity_current ORDER BY amount DESC, opportunity_id LIMIT 200"),
     ),
     "rows_to_text": Entry(

@@ -10,7 +10,7 @@ from quotaflow.plans import answers, deals
 from quotaflow.plans.views import Inputs
 from quotaflow.registry import metrics
 from quotaflow.registry.common import WORD, Entry, oracle
-from quotaflow.registry.documents import CHUNK_CTE, SEARCH_CHUNKS_CTE, searchable_chunks
+from quotaflow.registry.documents import CHUNK_CTE, SEARCH_CHUNKS_CTE, chunk_table
 
 Q = ["questions"]
 
@@ -115,7 +115,7 @@ def _merged(i: Inputs):
 def metric_texts(i: Inputs):
     risk = metrics.risk_top25(i)
     shown = ["account_id", "account_name", "health_score", "risk_tier", "arr", "contract_end"]
-    category = deals.by_category(i.opportunity_current)
+    category = deals.by_category(i.opportunity_base)
     segment = metrics.ENTRIES["arr_by_segment"].run(i)
     texts = {
         "risk_top25": answers.rows_to_text(risk, [F.col("health_score").asc_nulls_first(), F.col("arr").desc(), F.col("account_id")], shown),
@@ -131,7 +131,7 @@ def metric_texts(i: Inputs):
 
 def batch_answer(i: Inputs):
     questions = i.questions.withColumn("vector_id", F.col("conv_id"))
-    rows = answers.batch_answer(questions, metric_texts(i), searchable_chunks(i), i.embeddings)
+    rows = answers.batch_answer(questions, metric_texts(i), chunk_table(i), i.embeddings)
     return rows.select(
         "query_id", "agent_type", "response", "confidence_score", F.array_join("retrieved_chunk_ids", ",").alias("retrieved_chunk_ids"), "trace_id",
         "input_tokens", "output_tokens", F.round("estimated_cost_usd", 8).alias("estimated_cost_usd"),

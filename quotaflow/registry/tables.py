@@ -85,8 +85,7 @@ def _deal_versions(i: Inputs):
 
 def _stage_changes(i: Inputs):
     old, new = _deal_versions(i)
-    feed = merge.change_feed(old, new, "opportunity_id")
-    return deals.stage_changes(feed, old)
+    return deals.stage_changes(merge.change_feed(old, new, "opportunity_id", keep_old=("stage",)))
 
 
 _MOVES = (

@@ -43,8 +43,9 @@ VERDICTS = [
 
 def test_verdicts(spark):
     df = spark.createDataFrame([(i, v[0], v[1]) for i, v in enumerate(VERDICTS)], "i int, raw string, r string")
-    got = df.select("i", scores.parse_verdict(F.col("raw"), F.col("r"), F.lit("context")).alias("v")).orderBy("i").collect()
-    assert [tuple(r["v"]) for r in got] == [v[2] for v in VERDICTS]
+    judged = df.select("i", "raw", F.col("r").alias("response"), F.lit("context").alias("context"))
+    got = scores.with_verdict(judged).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == [v[2] for v in VERDICTS]
 
 
 SCORES = [
@@ -63,8 +64,8 @@ SCORES = [
 
 def test_job_scores(spark):
     df = spark.createDataFrame([(i, s[0]) for i, s in enumerate(SCORES)], "i int, raw string")
-    got = df.select("i", scores.parse_job_score(F.col("raw")).alias("v")).orderBy("i").collect()
-    assert [tuple(r["v"]) for r in got] == [s[1] for s in SCORES]
+    got = scores.with_job_score(df, "raw").orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == [s[1] for s in SCORES]
 
 
 def test_bands(spark):
