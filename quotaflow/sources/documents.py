@@ -12,6 +12,7 @@ GOLDEN = (
     "id string, agent string, query string, expected_contains array<string>, expected_sql_keywords array<string>, "
     "expected_not_contains array<string>, should_refuse boolean, min_groundedness double"
 )
+PROFILE = "profile_id string, experience_summary string, key_skills array<string>, search_queries array<string>, disqualifiers array<string>"
 SEARCH_RESPONSE = f"search_query string, query_idx int, response_no long, jobs_results {RESPONSE_ITEMS}"
 
 
@@ -24,6 +25,11 @@ def parse_golden(texts: DataFrame, column: str = "value") -> DataFrame:
     return texts.select(F.from_json(column, GOLDEN).alias("q")).select("q.*")
 
 
+def read_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """Job-search profiles: one JSON document per file."""
+    return spark.read.schema(PROFILE).option("multiLine", True).json(path)
+
+
 def read_search_responses(spark: SparkSession, path: str) -> DataFrame:
     """One search response per JSON line or file."""
     return spark.read.schema(SEARCH_RESPONSE).json(path)
