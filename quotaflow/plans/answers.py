@@ -63,29 +63,48 @@ def history(turns: DataFrame, n: int = 4, bucket_turns: int = 1000) -> DataFrame
     return last_n_before(numbered.withColumn("_no", F.col("_no").cast("long")), ["conv_id"], "_no", n, item, "history").drop("_no")
 
 
-def merged_answers(pipeline: DataFrame, customer: DataFrame, key: str = "query_id") -> DataFrame:
-    """Both agents' rows as one: texts under fixed headings, lower confidence, chunk ids and tokens joined.
+def _merged_fields(p: Column, c: Column) -> dict[str, Column]:
+    """Two agents' answers (structs) as one: texts under fixed headings, lower confidence, ids and tokens joined.
 
-    The trace id of the pipeline answer is kept; cost and groundedness are not part of a merged row.
+    The trace id of the pipeline answer is kept; cost and groundedness are not part of a merged answer.
     """
-    p, c = pipeline.alias("p"), customer.alias("c")
-    text = F.concat(
-        F.lit(f"{C.PIPELINE_VIEW_HEADING}\n"), F.col("p.response"),
-        F.lit(f"{C.CHUNK_SEPARATOR}{C.CUSTOMER_VIEW_HEADING}\n"), F.col("c.response"),
-    )
-    score = lambda side: F.coalesce(F.col(f"{side}.confidence_score"), F.lit(0.9))
-    ids = lambda side: F.coalesce(F.col(f"{side}.retrieved_chunk_ids"), F.array().cast("array<string>"))
-    total = lambda name: F.coalesce(F.col(f"p.{name}"), F.lit(0)) + F.coalesce(F.col(f"c.{name}"), F.lit(0))
-    return p.join(c, F.col(f"p.{key}") == F.col(f"c.{key}")).select(
-        F.col(f"p.{key}").alias(key),
-        text.alias("response"),
-        F.least(score("p"), score("c")).alias("confidence_score"),
-        F.lit("ambiguous").alias("agent_type"),
-        F.col("p.trace_id").alias("trace_id"),
-        F.concat(ids("p"), ids("c")).alias("retrieved_chunk_ids"),
-        total("input_tokens").alias("input_tokens"),
-        total("output_tokens").alias("output_tokens"),
-    )
+    score = lambda side: F.coalesce(side["confidence_score"], F.lit(0.9))
+    ids = lambda side: F.coalesce(side["retrieved_chunk_ids"], F.array().cast("array<string>"))
+    total = lambda name: F.coalesce(p[name], F.lit(0)) + F.coalesce(c[name], F.lit(0))
+    return {
+        "response": F.concat(
+            F.lit(f"{C.PIPELINE_VIEW_HEADING}\n"), p["response"],
+            F.lit(f"{C.CHUNK_SEPARATOR}{C.CUSTOMER_VIEW_HEADING}\n"), c["response"],
+        ),
+        "confidence_score": F.least(score(p), score(c)),
+        "agent_type": F.lit("ambiguous"),
+        "trace_id": p["trace_id"],
+        "retrieved_chunk_ids": F.concat(ids(p), ids(c)),
+        "input_tokens": total("input_tokens"),
+        "output_tokens": total("output_tokens"),
+    }
+
+
+ANSWER_FIELDS = ["response", "confidence_score", "trace_id", "retrieved_chunk_ids", "input_tokens", "output_tokens"]
+
+
+def merged_answers(pipeline: DataFrame, customer: DataFrame, key: str = "query_id") -> DataFrame:
+    """The answers of both agents to the same questions, merged per question."""
+    left = pipeline.select(key, F.struct(*ANSWER_FIELDS).alias("_p"))
+    right = customer.select(key, F.struct(*ANSWER_FIELDS).alias("_c"))
+    fields = _merged_fields(F.col("_p"), F.col("_c"))
+    return left.join(right, key).select(key, *[v.alias(k) for k, v in fields.items()])
+
+
+def one_answer(answers: DataFrame, key: str = "query_id") -> DataFrame:
+    """One row per question from at most one row per question and agent, in a single grouped pass."""
+    whole = F.struct("agent_type", *ANSWER_FIELDS, "estimated_cost_usd")
+    side = lambda agent: F.first(F.when(F.col("agent_type") == agent, whole), ignorenulls=True)
+    pairs = answers.groupBy(key).agg(side("pipeline_health").alias("_p"), side("customer_health").alias("_c"))
+    p, c = F.col("_p"), F.col("_c")
+    both, single = p.isNotNull() & c.isNotNull(), F.coalesce(p, c)
+    fields = {**_merged_fields(p, c), "estimated_cost_usd": F.lit(0.0)}
+    return pairs.select(key, *[F.when(both, v).otherwise(single[k]).alias(k) for k, v in fields.items()])
 
 
 def agent_rows(questions: DataFrame) -> DataFrame:
@@ -167,20 +186,15 @@ def batch_answer(questions: DataFrame, metric_texts: DataFrame, chunks: DataFram
         F.col("agent_type") == "pipeline_health", confidence_pipeline(F.col("context"), F.col("sql_success"))
     ).otherwise(confidence_customer(F.col("context"), F.col("sql_success"), F.col("classification")))
     answers = context.select(
-        "query_id", "route", "agent_type", F.col("context").alias("response"), confidence.alias("confidence_score"),
+        "query_id", "agent_type", F.col("context").alias("response"), confidence.alias("confidence_score"),
         F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("retrieved_chunk_ids"),
         F.col("query_id").alias("trace_id"), "input_tokens", "output_tokens",
         token_cost(F.col("input_tokens"), F.col("output_tokens")).alias("estimated_cost_usd"),
     )
-    single = answers.filter("route <> 'AMBIGUOUS'").drop("route")
-    two = answers.filter("route = 'AMBIGUOUS'")
-    merged = merged_answers(
-        two.filter("agent_type = 'pipeline_health'"), two.filter("agent_type = 'customer_health'")
-    ).withColumn("estimated_cost_usd", F.lit(0.0))
     failed = questions.filter(~valid).select(
         "query_id", F.lit("Error: invalid question length").alias("response"), F.lit(0.0).alias("confidence_score"),
         F.lit("error").alias("agent_type"), F.lit("").alias("trace_id"),
         F.array().cast("array<string>").alias("retrieved_chunk_ids"), F.lit(0).alias("input_tokens"),
         F.lit(0).alias("output_tokens"), F.lit(0.0).alias("estimated_cost_usd"),
     )
-    return single.unionByName(merged).unionByName(failed)
+    return one_answer(answers).unionByName(failed)
