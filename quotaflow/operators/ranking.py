@@ -44,7 +44,7 @@ def global_numbers(df: DataFrame, order_value: Column, ties: list[str], name: st
     within = F.row_number().over(Window.partitionBy("_segment").orderBy("_order", *ties))
     return (
         cut.withColumn("_within", within)
-        .join(offset_rows, "_segment")
+        .join(F.broadcast(offset_rows), "_segment")  # one row per segment
         .withColumn(name, F.col("_offset") + F.col("_within") - 1)
         .drop("_order", "_segment", "_within", "_offset")
     )
@@ -90,16 +90,17 @@ def previous_per_key(df: DataFrame, keys: list[str], bucket: Column, order_by: l
     )
 
 
-def last_n_before(df: DataFrame, keys: list[str], number: str, n: int, item: Column, name: str) -> DataFrame:
+def last_n_before(df: DataFrame, keys: list[str], number: str, n: int, item: Column, name: str, bucket_rows: int = 1000) -> DataFrame:
     """The n preceding items of every row of a densely numbered key, oldest first, as an array.
 
-    Each row is sent to the n rows after it and grouped on (key, number), so the work spreads over all rows even
-    when one key owns most of them.
+    A key is cut into buckets of 1000 rows. The last n rows of a bucket are also handed to the next one, so every
+    row finds its predecessors in its own bucket: a hot key spreads over many tasks and rows move once.
     """
-    shifted = df.select(*keys, F.col(number).alias("_from"), item.alias("_item")).withColumn(
-        number, F.explode(F.sequence(F.col("_from") + 1, F.col("_from") + n))
-    )
-    gathered = shifted.groupBy(*keys, number).agg(F.sort_array(F.collect_list(F.struct("_from", "_item"))).alias("_items"))
-    joined = df.join(gathered, [*keys, number], "left")
-    items = F.transform(F.coalesce(F.col("_items"), F.array().cast("array<struct<_from:bigint,_item:string>>")), lambda x: x["_item"])
-    return joined.withColumn(name, items).drop("_items")
+    place = F.col(number) - 1
+    own = F.floor(place / bucket_rows).cast("long")
+    carried = F.pmod(place, F.lit(bucket_rows)) >= bucket_rows - n
+    buckets = F.when(carried, F.array(own, own + 1)).otherwise(F.array(own))
+    spread = df.withColumns({"_own": own, "_item": item}).withColumn("_bucket", F.explode(buckets))
+    before = Window.partitionBy(*keys, "_bucket").orderBy(number).rowsBetween(-n, -1)
+    gathered = spread.withColumn(name, F.collect_list("_item").over(before))
+    return gathered.filter(F.col("_bucket") == F.col("_own")).drop("_own", "_item", "_bucket")

@@ -45,13 +45,18 @@ def _filter_codes(wanted: pd.Series, values: pd.Series) -> tuple[np.ndarray, np.
 
 
 def _match(questions: pd.DataFrame, q_unit: np.ndarray, chunks: pd.DataFrame, c_unit: np.ndarray, k: int) -> pd.DataFrame:
-    """Best k chunks of one block for every question, filters applied before the cut."""
+    """Best k chunks of one block for every question, filters applied before the cut.
+
+    With a ``floor`` column, scores below the question's floor are left out.
+    """
     found = []
     ids = chunks["chunk_id"].to_numpy(object)
     filters = [_filter_codes(questions[c], chunks[c]) for c in ("doc_type", "account_id") if questions[c].notna().any()]
     for start in range(0, len(questions), TILE):
         part = questions.iloc[start : start + TILE]
         scores = np.round(q_unit[start : start + TILE] @ c_unit.T, 6) + 0.0
+        if "floor" in part:
+            scores[scores < part["floor"].to_numpy()[:, None]] = -np.inf
         for wanted, values in filters:
             asked = wanted[start : start + TILE, None]
             scores[(asked >= 0) & (asked != values[None, :])] = -np.inf
@@ -104,6 +109,13 @@ def _broadcast_candidates(chunks: DataFrame, questions: pd.DataFrame, k: int) ->
     return _narrow_chunks(chunks).mapInArrow(scan, RESULT)
 
 
+def _floors(seed: DataFrame, questions: pd.DataFrame, k: int) -> pd.DataFrame:
+    """k-th best score per question within the seed, for questions that find k chunks there."""
+    best = top_per_key(_broadcast_candidates(seed, questions, k), ["query_id"], [F.col("score").desc(), F.col("chunk_id").asc()], k)
+    floors = best.groupBy("query_id").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n"))
+    return floors.filter(F.col("n") == k).select("query_id", "floor").toPandas()  # at most one row per question
+
+
 def _paired_candidates(chunks: DataFrame, questions: DataFrame, keys: list[str], k: int) -> DataFrame:
     """Match the chunk block and the question block that share a key."""
 
@@ -135,16 +147,23 @@ def nearest_chunks(
     k: int = C.SEARCH_K,
     broadcast_questions: int = BROADCAST_QUESTIONS,
     block_vectors: int = BLOCK_VECTORS,
+    seed: DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k best chunks per question.
 
     chunks: chunk_id, doc_type, account_id, embedding. questions: query_id, doc_type, account_id, embedding;
     a NULL filter means any. At most ``broadcast_questions`` questions of bounded size are sent to all tasks, so
     chunks are scanned in place and only candidates are shuffled. Beyond that both sides are cut into blocks.
+
+    ``seed`` may be any part of the chunks, such as one partition of a very large table. It is searched first: no
+    final k-th score lies below the k-th score of a part, so tasks drop what is below that floor and the shuffle
+    stays small however many tasks there are. The result is the same with any seed.
     """
     head = _narrow_questions(questions).limit(broadcast_questions + 1).toPandas()  # bounded by the limit
     numbers = sum(len(v) for v in head["embedding"])
     if len(head) <= broadcast_questions and numbers <= BROADCAST_NUMBERS:
+        if seed is not None and len(head):
+            head = head.merge(_floors(seed, head, k), on="query_id", how="left").fillna({"floor": -np.inf})
         candidates = _broadcast_candidates(chunks, head, k) if len(head) else chunks.sparkSession.createDataFrame([], RESULT)
     else:
         candidates = _block_candidates(chunks, questions, k, block_vectors, BROADCAST_QUESTIONS)
@@ -189,25 +208,47 @@ def context_text(results: DataFrame, query: str = "query_id", order: str = "rank
     )
 
 
-def bucket_bounds(chunks: DataFrame, bucket: str) -> DataFrame:
-    """Per bucket of unit vectors: centroid, radius and row count."""
-    unit = chunks.withColumn("_unit", vector_to_array(array_to_vector(_normalised())))
-    centres = unit.groupBy(bucket).agg(
-        vector_to_array(Summarizer.mean(array_to_vector(F.col("_unit")))).alias("centre"), F.count(F.lit(1)).alias("n")
-    )
-    gap = F.sqrt(
-        F.aggregate(F.zip_with("_unit", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    )
-    radius = unit.join(centres, bucket).groupBy(bucket).agg(F.max(gap).alias("radius"))
-    return centres.join(radius, bucket)
+def _unit_rows(batch: pa.RecordBatch) -> np.ndarray:
+    return _unit(batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+
+
+def bucket_bounds(chunks: DataFrame, bucket: str, max_buckets: int) -> pd.DataFrame:
+    """Per bucket of unit vectors: centroid, radius and row count; one row per bucket, bounded by ``max_buckets``.
 
+    Means are summed in the tasks first; for the radius every task sends one maximum per bucket.
+    """
+    kind = chunks.schema[bucket].dataType.simpleString()
+    narrow = chunks.select(F.col(bucket).alias("bucket"), "embedding")
 
-def _normalised():
-    squares = F.aggregate(
-        F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                vectors = _unit_rows(batch)
+                values = pa.FixedSizeListArray.from_arrays(pa.array(vectors.ravel()), vectors.shape[1]).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([batch.column("bucket"), values], ["bucket", "unit"])
+
+    units = narrow.mapInArrow(unit, f"bucket {kind}, unit array<double>")
+    means = units.groupBy("bucket").agg(
+        vector_to_array(Summarizer.mean(array_to_vector(F.col("unit")))).alias("centre"), F.count(F.lit(1)).alias("n")
     )
-    length = F.sqrt(squares)
-    return F.transform("embedding", lambda x: x.cast("double") / F.when(length == 0, 1.0).otherwise(length))
+    rows = means.limit(max_buckets + 1).toPandas()
+    if len(rows) > max_buckets:
+        raise ValueError(f"more than {max_buckets} buckets; use fewer centroids")
+    centres = {b: np.asarray(c) for b, c in zip(rows["bucket"], rows["centre"])}
+
+    def farthest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict = {}
+        for batch in batches:
+            if batch.num_rows:
+                labels = batch.column("bucket").to_pandas().to_numpy()
+                gaps = np.linalg.norm(_unit_rows(batch) - np.stack([centres[b] for b in labels]), axis=1)
+                for label, gap in pd.Series(gaps).groupby(labels).max().items():
+                    best[label] = max(best.get(label, 0.0), gap)
+        if best:
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(list(best), batch.schema.field("bucket").type), "gap": pa.array(list(best.values()))})
+
+    radii = narrow.mapInArrow(farthest, f"bucket {kind}, gap double").groupBy("bucket").agg(F.max("gap").alias("radius"))
+    return rows.merge(radii.limit(max_buckets + 1).toPandas(), on="bucket")
 
 
 def nearest_in_buckets(chunks: DataFrame, questions: DataFrame, bucket: str, k: int = C.SEARCH_K, block_vectors: int = BLOCK_VECTORS, max_buckets: int = 10_000) -> DataFrame:
@@ -219,12 +260,12 @@ def nearest_in_buckets(chunks: DataFrame, questions: DataFrame, bucket: str, k:
     """
     spark = chunks.sparkSession
     held = chunks.select(bucket, "chunk_id", "doc_type", "account_id", "embedding").filter("embedding IS NOT NULL")
-    rows = bucket_bounds(held, bucket).limit(max_buckets + 1).toPandas()  # one row per bucket, bounded
-    if len(rows) > max_buckets:
-        raise ValueError(f"more than {max_buckets} buckets; use fewer centroids")
-    splits = {b: max(1, -(-int(n) // block_vectors)) for b, n in zip(rows[bucket], rows["n"])}
+    rows = bucket_bounds(held, bucket, max_buckets)
+    if rows.empty:
+        return top_per_key(spark.createDataFrame([], RESULT), ["query_id"], [F.col("chunk_id").asc()], k, rank="rank")
+    splits = {b: max(1, -(-int(n) // block_vectors)) for b, n in zip(rows["bucket"], rows["n"])}
     centres, radii = np.array(rows["centre"].tolist()), rows["radius"].to_numpy()
-    labels = rows[bucket].tolist()
+    labels = rows["bucket"].tolist()
 
     def reach(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -253,6 +294,7 @@ def nearest_in_buckets(chunks: DataFrame, questions: DataFrame, bucket: str, k:
     numbers = spark.createDataFrame(
         [(labels.index(b), b, splits[b]) for b in labels], f"bucket_no int, {bucket} {held.schema[bucket].dataType.simpleString()}, splits int"
     )
+    numbers = F.broadcast(numbers)  # one row per bucket, at most max_buckets
     left = held.join(numbers, bucket).withColumn("split", F.pmod(F.xxhash64("chunk_id"), F.col("splits")).cast("int"))
 
     def search(visits: DataFrame) -> DataFrame:

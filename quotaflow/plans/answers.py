@@ -25,6 +25,7 @@ def rows_to_text(df: DataFrame, order: list[Column], columns: list[str] | None =
     header = " | ".join(columns)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     line = F.concat_ws(" | ", *[X.shown(F.col(c), kinds[c]) for c in columns])
+    # the window sees at most the 200 rows of the cap
     few = capped(df, order).select(F.row_number().over(Window.orderBy(*order)).alias("_i"), line.alias("_line"))
     listed = few.agg(F.sort_array(F.collect_list(F.struct("_i", "_line"))).alias("_rows"))
     n = F.size("_rows")
@@ -60,7 +61,7 @@ def history(turns: DataFrame, n: int = 4, bucket_turns: int = 1000) -> DataFrame
     """The last n turns of the session before each turn, oldest first."""
     numbered = numbers_per_key(turns, ["conv_id"], F.floor(F.col("turn") / bucket_turns), [F.col("turn")], "_no")
     item = F.concat("role", F.lit(": "), "text")
-    return last_n_before(numbered.withColumn("_no", F.col("_no").cast("long")), ["conv_id"], "_no", n, item, "history").drop("_no")
+    return last_n_before(numbered, ["conv_id"], "_no", n, item, "history", bucket_turns).drop("_no")
 
 
 def _merged_fields(p: Column, c: Column) -> dict[str, Column]:

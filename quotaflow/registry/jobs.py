@@ -41,12 +41,10 @@ def _items(i: Inputs):
 
 
 def _profiles(i: Inputs):
-    """One profile per region; its nations and, beyond twelve, its suppliers' home nations are the queries."""
-    nations = i.nation.join(i.supplier, F.col("n_nationkey") == F.col("s_nationkey")).select(
-        F.col("n_regionkey").alias("profile_id"), F.concat("n_name", F.lit(" "), (F.col("s_suppkey") % 5).cast("string")).alias("q")
-    )
-    listed = nations.distinct().groupBy("profile_id").agg(F.sort_array(F.collect_list("q")).alias("search_queries"))
-    return listed
+    """One profile per customer: its distinct order years and priorities (35 at most) are the queries."""
+    words = F.concat(F.year("o_orderdate").cast("string"), F.lit(" "), "o_orderpriority")
+    asked = i.orders.select(F.col("o_custkey").alias("profile_id"), words.alias("q")).distinct()
+    return asked.groupBy("profile_id").agg(F.sort_array(F.collect_list("q")).alias("search_queries"))
 
 
 def _scored(i: Inputs):
@@ -117,7 +115,7 @@ ENTRIES: dict[str, Entry] = {
     "job_queries": Entry(
         lambda i: J.search_queries(_profiles(i)),
         "SELECT profile_id, CAST(rn - 1 AS INTEGER) AS query_idx, q FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY q) AS rn FROM "
-        "(SELECT DISTINCT n_regionkey AS profile_id, concat(n_name, ' ', CAST(s_suppkey % 5 AS VARCHAR)) AS q FROM nation JOIN supplier ON n_nationkey = s_nationkey)) WHERE rn <= 12",
+        "(SELECT DISTINCT o_custkey AS profile_id, concat(CAST(year(o_orderdate) AS VARCHAR), ' ', o_orderpriority) AS q FROM orders)) WHERE rn <= 12",
     ),
     "job_flatten": Entry(_items, oracle(JOBS, "SELECT * FROM items", _ITEMS)),
     "union_search_results": Entry(

@@ -124,7 +124,7 @@ def _health_degradation(i: Inputs):
     from quotaflow.operators.ranking import previous_per_key
 
     rows = previous_per_key(
-        _events(i), ["entity_id"], F.date_trunc("day", "updated_at"), [F.col("updated_at"), F.col("kafka_offset")], "health_score", "previous_score"
+        _events(i), ["entity_id"], F.date_trunc("minute", "updated_at"), [F.col("updated_at"), F.col("kafka_offset")], "health_score", "previous_score"
     )
     return rows.filter("health_score < previous_score").select("entity_id", "kafka_offset", "health_score", "previous_score")
 

@@ -68,6 +68,12 @@ def test_block_way(frames, k):
     assert _got(R.nearest_chunks(c, q, k, broadcast_questions=7, block_vectors=50)) == _brute(chunks, questions, k)
 
 
+@pytest.mark.parametrize("seed", ["chunk_id < 'c0100'", "chunk_id = 'c0005'", "false", "true"])
+def test_any_seed_gives_the_same_result(frames, seed):
+    chunks, questions, c, q = frames
+    assert _got(R.nearest_chunks(c, q, 6, seed=c.filter(seed))) == _brute(chunks, questions, 6)
+
+
 def test_many_question_blocks(frames, monkeypatch):
     chunks, questions, c, q = frames
     monkeypatch.setattr(R, "BROADCAST_QUESTIONS", 9)
@@ -82,6 +88,7 @@ def test_bucket_way_is_exact(frames, k):
 
 def test_no_questions(frames):
     _, _, c, q = frames
+    assert R.nearest_in_buckets(c.filter("false"), q, "label").count() == 0
     assert R.nearest_chunks(c, q.filter("false")).count() == 0
 
 
