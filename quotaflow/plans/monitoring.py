@@ -71,6 +71,20 @@ def truncated_inputs(df: DataFrame, context: str, response: str) -> DataFrame:
     )
 
 
+def exact_sum(column: str) -> Column:
+    """Sum of scores as decimals: the same value in whatever order tasks add, so a limit test cannot flip."""
+    return F.sum(F.col(column).cast("decimal(18,6)"))
+
+
+def exact_avg(column: str) -> Column:
+    return exact_sum(column).cast("double") / F.count(column)
+
+
+def total_cost() -> Column:
+    """Cost of a group from its whole token counts."""
+    return token_cost(F.sum("input_tokens"), F.sum("output_tokens"))
+
+
 def exact_percentile(df: DataFrame, keys: list[str], value: str, share: float, name: str) -> DataFrame:
     """Exact percentile from counts per distinct value, so a hot key is reduced before it meets one task."""
     counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
@@ -87,13 +101,13 @@ def p95_latency(traces: DataFrame) -> DataFrame:
 def ops_snapshot(traces: DataFrame, feedback: DataFrame) -> DataFrame:
     """One row per agent with the figures an operator watches."""
     rated = feedback.select("trace_id", (F.col("rating") == C.RATING_UP).cast("int").alias("up"))
-    base = with_cost(traces).groupBy("agent_type").agg(
+    base = traces.groupBy("agent_type").agg(
         F.count(F.lit(1)).alias("total_calls"),
         F.round(F.avg("total_latency_ms"), 4).alias("avg_latency_ms"),
-        F.round(F.avg("groundedness_score"), 4).alias("avg_groundedness"),
-        F.round(F.avg("confidence_score"), 4).alias("avg_confidence"),
+        F.round(exact_avg("groundedness_score"), 4).alias("avg_groundedness"),
+        F.round(exact_avg("confidence_score"), 4).alias("avg_confidence"),
         F.round(F.avg((~F.col("sql_success")).cast("int")), 4).alias("sql_failure_rate"),
-        F.round(F.sum("estimated_cost_usd"), 6).alias("estimated_cost_usd"),
+        F.round(total_cost(), 6).alias("estimated_cost_usd"),
     )
     p95 = exact_percentile(traces, ["agent_type"], "total_latency_ms", 0.95, "p95")
     thumbs = (
@@ -114,7 +128,7 @@ def sql_failures(traces: DataFrame) -> DataFrame:
 
 
 def daily_cost(traces: DataFrame, budget: float) -> DataFrame:
-    per_day = with_cost(traces).groupBy(F.to_date("ts").alias("day")).agg(F.sum("estimated_cost_usd").alias("cost"))
+    per_day = traces.groupBy(F.to_date("ts").alias("day")).agg(total_cost().alias("cost"))
     return per_day.select("day", F.round("cost", 6).alias("cost_usd"), (F.col("cost") > budget).alias("over_budget"))
 
 
@@ -124,10 +138,10 @@ def rolling_groundedness(traces: DataFrame, days: int = 7) -> DataFrame:
     Days are summed first; each day total is then added to the 7 windows it belongs to, which stays a grouped
     sum instead of a one-task window.
     """
-    daily = traces.groupBy(F.to_date("ts").alias("day")).agg(F.sum("groundedness_score").alias("s"), F.count("groundedness_score").alias("n"))
+    daily = traces.groupBy(F.to_date("ts").alias("day")).agg(exact_sum("groundedness_score").alias("s"), F.count("groundedness_score").alias("n"))
     spread = daily.select(F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("shift"), "day", "s", "n")
     sums = spread.groupBy(F.date_add("day", F.col("shift")).alias("day")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    avg = F.col("s") / F.col("n")
+    avg = F.col("s").cast("double") / F.col("n")
     return (
         sums.join(daily.select("day"), "day", "left_semi")
         .withColumn("avg_7d", F.round(avg, 4))
@@ -137,10 +151,10 @@ def rolling_groundedness(traces: DataFrame, days: int = 7) -> DataFrame:
 
 def alert_rules(traces: DataFrame, cost_budget: float) -> DataFrame:
     """Rule rows per day: (day, rule, value, limit_value, fired)."""
-    daily = with_cost(traces).groupBy(F.to_date("ts").alias("day")).agg(
-        F.avg("confidence_score").alias("confidence"),
-        F.avg("groundedness_score").alias("groundedness"),
-        F.sum("estimated_cost_usd").alias("cost"),
+    daily = traces.groupBy(F.to_date("ts").alias("day")).agg(
+        exact_avg("confidence_score").alias("confidence"),
+        exact_avg("groundedness_score").alias("groundedness"),
+        total_cost().alias("cost"),
         F.avg((~F.col("sql_success")).cast("int")).alias("sql_failures"),
     )
     rules = [

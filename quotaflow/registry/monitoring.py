@@ -11,7 +11,15 @@ from quotaflow.registry.common import AS_OF_TS, DAILY_BUDGET, Entry, oracle
 
 TS = f"TIMESTAMP '{AS_OF_TS}'"
 TRACES = ["agent_traces"]
+
+
+def _avg(column: str) -> str:
+    """Average over exact decimals, as limits are tested on it."""
+    return f"CAST(sum(CAST({column} AS DECIMAL(18,6))) AS DOUBLE) / count({column})"
+
+
 COST = "(CAST(input_tokens AS DOUBLE) / 1e6 * 3.0 + CAST(output_tokens AS DOUBLE) / 1e6 * 15.0)"
+DAY_COST = "(CAST(sum(input_tokens) AS DOUBLE) / 1e6 * 3.0 + CAST(sum(output_tokens) AS DOUBLE) / 1e6 * 15.0)"
 FAIL = "avg(CASE WHEN sql_success THEN 0 ELSE 1 END)"
 
 _VERDICT = (
@@ -142,7 +150,7 @@ ENTRIES: dict[str, Entry] = {
         oracle(
             ["agent_traces", "user_feedback"],
             "SELECT t.*, f.thumbs_up_rate FROM (SELECT agent_type, count(*) AS total_calls, round(avg(total_latency_ms), 4) AS avg_latency_ms, round(quantile_cont(total_latency_ms, 0.95), 4) AS p95_latency_ms, "
-            f"round(avg(groundedness_score), 4) AS avg_groundedness, round(avg(confidence_score), 4) AS avg_confidence, round({FAIL}, 4) AS sql_failure_rate, round(sum({COST}), 6) AS estimated_cost_usd FROM agent_traces GROUP BY 1) t "
+            f"round({_avg('groundedness_score')}, 4) AS avg_groundedness, round({_avg('confidence_score')}, 4) AS avg_confidence, round({FAIL}, 4) AS sql_failure_rate, round({DAY_COST}, 6) AS estimated_cost_usd FROM agent_traces GROUP BY 1) t "
             "LEFT JOIN (SELECT agent_type, round(avg(CASE WHEN rating = 2 THEN 1 ELSE 0 END), 4) AS thumbs_up_rate FROM agent_traces JOIN user_feedback USING (trace_id) GROUP BY 1) f USING (agent_type)",
         ),
     ),
@@ -152,7 +160,7 @@ ENTRIES: dict[str, Entry] = {
     ),
     "daily_cost": Entry(
         lambda i: M.daily_cost(i.agent_traces, DAILY_BUDGET),
-        oracle(TRACES, f"SELECT CAST(ts AS DATE) AS day, round(sum({COST}), 6) AS cost_usd, sum({COST}) > {DAILY_BUDGET} AS over_budget FROM agent_traces GROUP BY 1"),
+        oracle(TRACES, f"SELECT CAST(ts AS DATE) AS day, round({DAY_COST}, 6) AS cost_usd, {DAY_COST} > {DAILY_BUDGET} AS over_budget FROM agent_traces GROUP BY 1"),
     ),
     "dlq_growth": Entry(
         lambda i: M.dead_letter_growth(_dead(i)),
@@ -165,7 +173,7 @@ ENTRIES: dict[str, Entry] = {
         lambda i: M.rolling_groundedness(i.agent_traces),
         oracle(
             TRACES,
-            "SELECT day, round(s / n, 4) AS avg_7d, s / n < 0.80 AS alert FROM (SELECT day, sum(s) OVER w AS s, sum(n) OVER w AS n FROM (SELECT CAST(ts AS DATE) AS day, sum(groundedness_score) AS s, count(*) AS n FROM agent_traces GROUP BY 1) "
+            "SELECT day, round(CAST(s AS DOUBLE) / n, 4) AS avg_7d, CAST(s AS DOUBLE) / n < 0.80 AS alert FROM (SELECT day, sum(s) OVER w AS s, sum(n) OVER w AS n FROM (SELECT CAST(ts AS DATE) AS day, sum(CAST(groundedness_score AS DECIMAL(18,6))) AS s, count(*) AS n FROM agent_traces GROUP BY 1) "
             "WINDOW w AS (ORDER BY day RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW))",
         ),
     ),
@@ -203,7 +211,7 @@ ENTRIES: dict[str, Entry] = {
             TRACES,
             "SELECT day, 'confidence' AS rule, round(c, 6) AS value, CAST(0.70 AS DOUBLE) AS limit_value, c < 0.70 AS fired FROM d UNION ALL SELECT day, 'groundedness', round(g, 6), 0.80, g < 0.80 FROM d "
             f"UNION ALL SELECT day, 'cost', round(k, 6), {DAILY_BUDGET}, k > {DAILY_BUDGET} FROM d UNION ALL SELECT day, 'sql_failures', round(f, 6), 0.10, f > 0.10 FROM d",
-            f"d AS (SELECT CAST(ts AS DATE) AS day, avg(confidence_score) AS c, avg(groundedness_score) AS g, sum({COST}) AS k, {FAIL} AS f FROM agent_traces GROUP BY 1)",
+            f"d AS (SELECT CAST(ts AS DATE) AS day, {_avg('confidence_score')} AS c, {_avg('groundedness_score')} AS g, {DAY_COST} AS k, {FAIL} AS f FROM agent_traces GROUP BY 1)",
         ),
     ),
     "lag_alert": Entry(
