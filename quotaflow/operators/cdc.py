@@ -48,6 +48,12 @@ def rule_report(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return totals.select(F.explode(F.array(*pairs)).alias("r"), "total_rows").select("r.rule", "r.violations", "total_rows")
 
 
+def observed(df: DataFrame, rules: dict[str, Column], name: str = "quality") -> DataFrame:
+    """The same rows, with violation counts per rule reported as metrics of each run or micro-batch."""
+    counts = [F.count_if(~F.coalesce(rule, F.lit(False))).alias(rule_name) for rule_name, rule in rules.items()]
+    return df.observe(name, F.count(F.lit(1)).alias("total_rows"), *counts)
+
+
 def latest_events(events: DataFrame, key: str, sequence: str = "updated_at", tie: str = "kafka_offset") -> DataFrame:
     """Newest event per key. Without a readable sequence an event never beats one that has it."""
     return top_per_key(events, [key], [F.col(sequence).desc_nulls_last(), F.col(tie).desc_nulls_last()])

@@ -52,15 +52,26 @@ def by_category(deals: DataFrame) -> DataFrame:
     )
 
 
+def _committed(deals: DataFrame, as_of: dt.date) -> DataFrame:
+    return open_deals(deals).filter(same_quarter(F.col("close_date"), as_of) & (F.col("forecast_category") == "Commit"))
+
+
+def _period(as_of: dt.date) -> str:
+    return f"{as_of.year}-Q{(as_of.month - 1) // 3 + 1}"
+
+
+def commit_coverage_total(deals: DataFrame, latest_forecast: DataFrame, as_of: dt.date) -> DataFrame:
+    """Open Commit amount of the quarter against all quota of that quarter."""
+    quota = latest_forecast.filter(F.col("period") == _period(as_of)).agg(F.sum("quota").cast(BIG_MONEY))
+    total = F.coalesce(F.sum("amount"), F.lit(0)).cast(BIG_MONEY).alias("commit_amount")
+    both = _committed(deals, as_of).agg(total).withColumn("quota", quota.scalar())
+    return both.withColumn("coverage", ratio(F.col("commit_amount"), F.col("quota")))
+
+
 def commit_coverage(deals: DataFrame, latest_forecast: DataFrame, as_of: dt.date) -> DataFrame:
     """Open Commit amount of the quarter per owner against the owner's quota of that quarter."""
-    period = f"{as_of.year}-Q{(as_of.month - 1) // 3 + 1}"
-    commit = (
-        open_deals(deals)
-        .filter(same_quarter(F.col("close_date"), as_of) & (F.col("forecast_category") == "Commit"))
-        .groupBy("owner_id")
-        .agg(F.sum("amount").cast(BIG_MONEY).alias("commit_amount"))
-    )
+    period = _period(as_of)
+    commit = _committed(deals, as_of).groupBy("owner_id").agg(F.sum("amount").cast(BIG_MONEY).alias("commit_amount"))
     quota = (
         latest_forecast.filter(F.col("period") == period)
         .groupBy("owner_id")
@@ -98,7 +109,7 @@ def reps_behind_quota(latest_forecast: DataFrame, period: str) -> DataFrame:
         .agg(F.sum("closed_won").cast(BIG_MONEY).alias("closed_won"), F.sum("quota").cast(BIG_MONEY).alias("quota"))
         .withColumn("attainment", ratio(F.col("closed_won"), F.col("quota")))
     )
-    return per_owner.filter("attainment < 1")
+    return per_owner.filter("quota > 0 AND closed_won < quota")
 
 
 def avg_days_in_stage(deals: DataFrame, accounts: DataFrame, segment: str | None = None) -> DataFrame:

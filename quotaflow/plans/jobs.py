@@ -149,7 +149,6 @@ def top_ranked(rows: DataFrame, n: int = C.JOB_TOP, order: list[str] = ORDER) ->
 def digest(match_rows: DataFrame, day: dt.date, title: str = "Job matches", order: list[str] = ORDER) -> DataFrame:
     """One row (subject, body): the count of all matches and the best 30 as text."""
     day_text = f"{day:%A}, {day:%B} {day.day}, {day.year}"
-    total = match_rows.agg(F.count(F.lit(1)).alias("n"))
     optional = lambda label, c: F.when(F.col(c) != "", F.concat(F.lit(label), F.col(c)))
     entry = F.concat_ws(
         "\n",
@@ -166,11 +165,11 @@ def digest(match_rows: DataFrame, day: dt.date, title: str = "Job matches", orde
     cards = top_ranked(match_rows, order=order).agg(
         F.sort_array(F.collect_list(F.struct("rank", entry.alias("text")))).alias("_cards"), F.count(F.lit(1)).alias("shown")
     )
+    counted = cards.withColumn("n", match_rows.agg(F.count(F.lit(1))).scalar())
     n = F.col("n").cast("string")
     noun = F.when(F.col("n") == 1, " match").otherwise(" matches")
     shown = F.when(F.col("shown") < F.col("n"), F.concat(F.lit(" (showing top "), F.col("shown").cast("string"), F.lit(")"))).otherwise("")
-    both = _one_row(total, cards)
-    return both.select(
+    return counted.select(
         F.when(F.col("n") == 0, F.lit(f"{title}: No matches — {day_text}"))
         .otherwise(F.concat(F.lit(f"{title}: "), n, noun, F.lit(f" (5+) — {day_text}")))
         .alias("subject"),
@@ -185,12 +184,6 @@ def digest(match_rows: DataFrame, day: dt.date, title: str = "Job matches", orde
     )
 
 
-def _one_row(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two one-row results side by side."""
-    one = F.lit(1).alias("_one")
-    return a.select("*", one).join(b.select("*", one), "_one").drop("_one")
-
-
 def csv_fields(rows: DataFrame, columns: list[str] = C.JOB_CSV_COLUMNS) -> list[Column]:
     """Columns as CSV shows them: one line each, and nothing for NULL, blank, 0 and false."""
     fields = []

@@ -26,7 +26,8 @@ def feedback_review(feedback: DataFrame, traces: DataFrame, as_of: dt.datetime,
     """Thumbs-down answers of the last days, worst groundedness first."""
     down = feedback.filter((F.col("rating") == C.RATING_DOWN) & (F.col("ts") > _before(as_of, days=days)))
     down = down.select("trace_id", "comment", F.col("ts").alias("feedback_ts"))
-    kept = traces.select("trace_id", "query", "agent_type", "groundedness_score", "confidence_score")
+    shown = ["trace_id", "query", "response", "agent_type", "groundedness_score", "confidence_score", "generated_sql"]
+    kept = traces.select(*[c for c in shown if c in traces.columns])
     return down.join(kept, "trace_id").orderBy("groundedness_score", "trace_id")
 
 
@@ -98,27 +99,26 @@ def p95_latency(traces: DataFrame) -> DataFrame:
     return p95.select("hour", F.round("p95_ms", 4).alias("p95_ms"), (F.col("p95_ms") > C.ALERT_P95_MS).alias("alert"))
 
 
-def ops_snapshot(traces: DataFrame, feedback: DataFrame) -> DataFrame:
-    """One row per agent with the figures an operator watches."""
-    rated = feedback.select("trace_id", (F.col("rating") == C.RATING_UP).cast("int").alias("up"))
-    base = traces.groupBy("agent_type").agg(
+def ops_snapshot(traces: DataFrame, feedback: DataFrame, keys: list[str], as_of: dt.datetime | None = None, hours: int = 1) -> DataFrame:
+    """The figures an operator watches, per key or over all; with ``as_of`` only the last hours count.
+
+    Ratings are summed per trace first, so the join adds no rows and one grouped pass gives all figures.
+    """
+    calls = traces.filter(F.col("ts") > _before(as_of, hours=hours)) if as_of else traces
+    rated = feedback.groupBy("trace_id").agg(
+        F.count_if(F.col("rating") == C.RATING_UP).alias("_up"), F.count(F.lit(1)).alias("_rated")
+    )
+    thumbs = F.when(F.sum("_rated") > 0, F.sum("_up").cast("double") / F.sum("_rated"))
+    return calls.join(rated, "trace_id", "left").groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_calls"),
         F.round(F.avg("total_latency_ms"), 4).alias("avg_latency_ms"),
+        F.round(F.percentile("total_latency_ms", 0.95), 4).alias("p95_latency_ms"),
         F.round(exact_avg("groundedness_score"), 4).alias("avg_groundedness"),
         F.round(exact_avg("confidence_score"), 4).alias("avg_confidence"),
         F.round(F.avg((~F.col("sql_success")).cast("int")), 4).alias("sql_failure_rate"),
+        F.round(thumbs, 4).alias("thumbs_up_rate"),
         F.round(total_cost(), 6).alias("estimated_cost_usd"),
     )
-    p95 = exact_percentile(traces, ["agent_type"], "total_latency_ms", 0.95, "p95")
-    thumbs = (
-        traces.select("trace_id", "agent_type")
-        .join(rated, "trace_id")
-        .groupBy("agent_type")
-        .agg(F.round(F.avg("up"), 4).alias("thumbs_up_rate"))
-    )
-    return (
-        base.join(p95, "agent_type").join(thumbs, "agent_type", "left").withColumn("p95_latency_ms", F.round("p95", 4)).drop("p95")
-    )
 
 
 def sql_failures(traces: DataFrame) -> DataFrame:
@@ -215,8 +215,9 @@ def eval_checks(results: DataFrame) -> DataFrame:
 
 def eval_summary(checked: DataFrame) -> DataFrame:
     """Per run: counts, averages over rows without error (0.0 if none) and whether the release may go on."""
-    ok = ~F.col("is_error")
+    ok, timed = ~F.col("is_error"), "ts" in checked.columns
     sums = checked.groupBy("run_id").agg(
+        *([F.max("ts").alias("ts")] if timed else []),
         F.count(F.lit(1)).alias("total_questions"),
         F.count_if(ok & F.col("passed")).alias("passed"),
         F.count_if(ok & ~F.col("passed")).alias("failed"),
@@ -226,11 +227,16 @@ def eval_summary(checked: DataFrame) -> DataFrame:
     answered = F.col("passed") + F.col("failed")
     rate = F.when(answered > 0, F.col("passed").cast("double") / answered).otherwise(0.0)
     return sums.select(
-        "run_id", "total_questions", "passed", "failed", "errors", F.round("g", 4).alias("avg_groundedness"),
+        "run_id", *(["ts"] if timed else []), "total_questions", "passed", "failed", "errors", F.round("g", 4).alias("avg_groundedness"),
         F.lit(0.0).alias("avg_sql_accuracy"), F.round(rate, 4).alias("pass_rate"),
         ((rate >= 1.0) & (F.col("errors") == 0)).alias("threshold_met"),
     )
 
 
+def last_runs(runs: DataFrame, n: int = 5) -> DataFrame:
+    """The newest runs."""
+    return runs.orderBy(F.col("ts").desc(), "run_id").limit(n)
+
+
 def golden_for_agent(questions: DataFrame, agent: str) -> DataFrame:
     return questions if agent == "all" else questions.filter(F.col("agent").isin(agent, "any"))

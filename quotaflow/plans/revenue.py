@@ -48,7 +48,8 @@ def red_by_industry(accounts: DataFrame, industry: str) -> DataFrame:
 
 def contracts_expiring(accounts: DataFrame, as_of: dt.date, days: int = C.EXPIRY_DAYS) -> DataFrame:
     last = as_of + dt.timedelta(days=days)
-    return accounts.filter(F.col("contract_end").between(F.lit(as_of), F.lit(last)))
+    due = accounts.filter(F.col("contract_end").between(F.lit(as_of), F.lit(last)))
+    return due.orderBy("contract_end", "account_id")
 
 
 def low_adoption(health: DataFrame, accounts: DataFrame, below: float = 0.30) -> DataFrame:

@@ -264,8 +264,8 @@ class Inputs:
 
     def table_stream(self, name: str) -> DataFrame:
         """The same table as a stream of its files."""
-        reader = self.spark.readStream.schema(self.table(name).schema).option("pathGlobFilter", f"{name}.parquet*")
-        return reader.option("recursiveFileLookup", "true").parquet(self.folder)
+        # a pattern, since a stream takes a table of one file only by pattern; a folder of files fits it as well
+        return self.spark.readStream.schema(self.table(name).schema).parquet(f"{self.folder}/{name}.parquet*")
 
     def view_stream(self, name: str) -> DataFrame:
         """A view over one table, as a stream."""

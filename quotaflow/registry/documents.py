@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quotaflow import constants as C
 from quotaflow.operators import documents as D
 from quotaflow.operators import retrieval as R
 from quotaflow.plans.views import Inputs
@@ -83,6 +84,15 @@ def _search(i: Inputs):
     return R.keep_account(described.join(asked, "query_id"))
 
 
+def _contexts(i: Inputs):
+    """Every request has a context; one that finds nothing gets the default text."""
+    told = i.search_requests.select("query_id").join(R.context_text(_search(i)), "query_id", "left")
+    return told.select(
+        "query_id", F.coalesce("context_text", F.lit(C.NO_DOCUMENTS_TEXT)).alias("context_text"),
+        F.coalesce(F.array_join("chunk_ids", ","), F.lit("")).alias("chunk_ids"),
+    )
+
+
 def _bucket_search(i: Inputs):
     return R.nearest_in_buckets(chunk_table(i), i.search_requests, "label").select("query_id", "chunk_id", "score", "rank")
 
@@ -177,11 +187,11 @@ ENTRIES: dict[str, Entry] = {
         oracle(DOCS + ["search_requests"], "SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank, doc_type, account_name FROM kept", SEARCH),
     ),
     "context_text": Entry(
-        lambda i: R.context_text(_search(i)).select("query_id", "context_text", F.array_join("chunk_ids", ",").alias("chunk_ids")),
+        _contexts,
         oracle(
             DOCS + ["search_requests"],
-            "SELECT query_id, string_agg(concat('[', CAST(place AS VARCHAR), '] ', doc_type, ' | ', coalesce(account_name, 'None'), ' | page ', CAST(source_page AS VARCHAR), chr(10), content), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY place) AS context_text, "
-            "string_agg(chunk_id, ',' ORDER BY place) AS chunk_ids FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM kept) GROUP BY 1",
+            "SELECT q.query_id, coalesce(context_text, 'No relevant documents found.') AS context_text, coalesce(chunk_ids, '') AS chunk_ids FROM search_requests q LEFT JOIN (SELECT query_id, string_agg(concat('[', CAST(place AS VARCHAR), '] ', doc_type, ' | ', coalesce(account_name, 'None'), ' | page ', CAST(source_page AS VARCHAR), chr(10), content), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY place) AS context_text, "
+            "string_agg(chunk_id, ',' ORDER BY place) AS chunk_ids FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM kept) GROUP BY 1) c ON c.query_id = q.query_id",
             SEARCH,
         ),
     ),

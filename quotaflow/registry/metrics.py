@@ -116,6 +116,15 @@ ENTRIES: dict[str, Entry] = {
             LATEST_FORECAST_CTE,
         ),
     ),
+    "commit_coverage_total": Entry(
+        lambda i: deals.commit_coverage_total(i.opportunity_base, latest_forecast(i), AS_OF_DATE),
+        oracle(
+            ["opportunity_current", "forecast_snapshots"],
+            f"SELECT commit_amount, quota, {_ratio('commit_amount', 'quota')} AS coverage FROM (SELECT CAST(coalesce(sum(amount), 0) AS DECIMAL(28,2)) AS commit_amount, "
+            f"(SELECT CAST(sum(quota) AS DECIMAL(28,2)) FROM latest WHERE period = '{PERIOD}') AS quota FROM opportunity_current WHERE {OPEN} AND {QUARTER} AND forecast_category = 'Commit')",
+            LATEST_FORECAST_CTE,
+        ),
+    ),
     "win_rate": Entry(
         lambda i: deals.win_rate(_quarter_deals(i), []), oracle(DEALS, _win_sql("", QUARTER), "d AS (SELECT * FROM opportunity_current)")
     ),
@@ -139,7 +148,7 @@ ENTRIES: dict[str, Entry] = {
         lambda i: deals.reps_behind_quota(latest_forecast(i), PERIOD),
         oracle(
             ["forecast_snapshots"],
-            f"SELECT * FROM (SELECT *, {_ratio('closed_won', 'quota')} AS attainment FROM (SELECT owner_id, {_sum('closed_won')}, {_sum('quota')} FROM latest WHERE period = '{PERIOD}' GROUP BY 1)) WHERE attainment < 1",
+            f"SELECT * FROM (SELECT *, {_ratio('closed_won', 'quota')} AS attainment FROM (SELECT owner_id, {_sum('closed_won')}, {_sum('quota')} FROM latest WHERE period = '{PERIOD}' GROUP BY 1)) WHERE quota > 0 AND closed_won < quota",
             LATEST_FORECAST_CTE,
         ),
     ),

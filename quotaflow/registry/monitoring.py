@@ -44,6 +44,14 @@ def _checked(i: Inputs):
     return M.eval_checks(i.eval_results.withColumn("forbidden", F.array("forbidden")))
 
 
+def _daily_runs(i: Inputs):
+    """Every day of traces as one eval run; failed SQL counts as an error."""
+    return i.agent_traces.select(
+        F.to_date("ts").cast("string").alias("run_id"), "ts", F.col("query").alias("response"), F.lit(None).cast("string").alias("generated_sql"),
+        F.lit(False).alias("should_refuse"), F.array().cast("array<string>").alias("forbidden"), "groundedness_score", (~F.col("sql_success")).alias("is_error"),
+    )
+
+
 def _claims(i: Inputs):
     return M.claim_rows(M.verdicts(i.judge_outputs))
 
@@ -139,14 +147,14 @@ ENTRIES: dict[str, Entry] = {
         "SELECT doc_id, sha256(left(text, 8000)) AS context_hash, CAST(least(length(text), 8000) AS INTEGER) AS context_chars, CAST(least(length(text), 4000) AS INTEGER) AS response_chars, left(text, 200) AS eval_snippet FROM documents",
     ),
     "slow_calls_top20": Entry(
-        lambda i: M.slow_calls(i.agent_traces, AS_OF_TS, hours=24),
+        lambda i: M.slow_calls(i.agent_traces, AS_OF_TS),
         oracle(
             TRACES,
-            f"SELECT agent_type, query, trace_id, total_latency_ms FROM agent_traces WHERE ts > {TS} - INTERVAL 24 HOUR AND total_latency_ms > 5000 ORDER BY total_latency_ms DESC, trace_id LIMIT 20",
+            f"SELECT agent_type, query, trace_id, total_latency_ms FROM agent_traces WHERE ts > {TS} - INTERVAL 1 HOUR AND total_latency_ms > 5000 ORDER BY total_latency_ms DESC, trace_id LIMIT 20",
         ),
     ),
     "ops_metrics_snapshot": Entry(
-        lambda i: M.ops_snapshot(i.agent_traces, i.user_feedback),
+        lambda i: M.ops_snapshot(i.agent_traces, i.user_feedback, ["agent_type"]),
         oracle(
             ["agent_traces", "user_feedback"],
             "SELECT t.*, f.thumbs_up_rate FROM (SELECT agent_type, count(*) AS total_calls, round(avg(total_latency_ms), 4) AS avg_latency_ms, round(quantile_cont(total_latency_ms, 0.95), 4) AS p95_latency_ms, "
@@ -154,6 +162,16 @@ ENTRIES: dict[str, Entry] = {
             "LEFT JOIN (SELECT agent_type, round(avg(CASE WHEN rating = 2 THEN 1 ELSE 0 END), 4) AS thumbs_up_rate FROM agent_traces JOIN user_feedback USING (trace_id) GROUP BY 1) f USING (agent_type)",
         ),
     ),
+    "ops_metrics_last_hour": Entry(
+        lambda i: M.ops_snapshot(i.agent_traces, i.user_feedback, [], AS_OF_TS),
+        oracle(
+            ["agent_traces", "user_feedback"],
+            "SELECT count(*) AS total_calls, round(avg(total_latency_ms), 4) AS avg_latency_ms, round(quantile_cont(total_latency_ms, 0.95), 4) AS p95_latency_ms, "
+            f"round({_avg('groundedness_score')}, 4) AS avg_groundedness, round({_avg('confidence_score')}, 4) AS avg_confidence, round({FAIL}, 4) AS sql_failure_rate, round({DAY_COST}, 6) AS estimated_cost_usd, "
+            "(SELECT round(avg(CASE WHEN rating = 2 THEN 1 ELSE 0 END), 4) FROM recent JOIN user_feedback USING (trace_id)) AS thumbs_up_rate FROM recent",
+            f"recent AS (SELECT * FROM agent_traces WHERE ts > {TS} - INTERVAL 1 HOUR)",
+        ),
+    ),
     "sql_failure_rate": Entry(
         lambda i: M.sql_failures(i.agent_traces),
         oracle(TRACES, f"SELECT CAST(ts AS DATE) AS day, count(*) AS calls, round({FAIL}, 4) AS failure_rate, {FAIL} > 0.10 AS alert FROM agent_traces GROUP BY 1"),
@@ -178,8 +196,12 @@ ENTRIES: dict[str, Entry] = {
         ),
     ),
     "last_eval_runs": Entry(
-        lambda i: M.eval_summary(_checked(i)).orderBy(F.col("run_id").desc()).limit(5).select("run_id", "passed", "failed"),
-        oracle(["eval_results"], "SELECT run_id, passed, failed FROM runs ORDER BY run_id DESC LIMIT 5", f"{_CHECKS}, {_RUNS}"),
+        lambda i: M.last_runs(M.eval_summary(M.eval_checks(_daily_runs(i)))).select("run_id", "ts", "total_questions", "passed", "failed", "errors"),
+        oracle(
+            TRACES,
+            "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS run_id, max(ts) AS ts, count(*) AS total_questions, count(*) FILTER (sql_success AND groundedness_score >= 0.85) AS passed, "
+            "count(*) FILTER (sql_success AND groundedness_score < 0.85) AS failed, count(*) FILTER (NOT sql_success) AS errors FROM agent_traces GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5",
+        ),
     ),
     "eval_checks": Entry(
         lambda i: _checked(i).select("id", "groundedness", "check_groundedness", "check_sql", "check_phrases", "passed", "response_snippet"),

@@ -24,7 +24,8 @@ def overwrite_partitions(df: DataFrame, path: str, partition: str = "snapshot_da
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str] = C.JOB_CSV_COLUMNS) -> None:
-    """CSV files with a header, all fields quoted, quotes doubled, one line per row."""
-    fields = df.select(*csv_fields(df, columns))
+def write_csv(df: DataFrame, path: str, columns: list[str] = C.JOB_CSV_COLUMNS, order: list[str] | None = None) -> None:
+    """CSV files with a header, all fields quoted, quotes doubled, one line per row, in order when one is given."""
+    rows = df.orderBy(*order) if order else df
+    fields = rows.select(*csv_fields(df, columns))
     fields.write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"', emptyValue="", nullValue="")

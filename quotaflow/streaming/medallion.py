@@ -34,7 +34,8 @@ def table_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def silver_rows(raw: DataFrame, entity: str) -> DataFrame:
-    return cdc.keep_valid(cdc.parse_events(raw, entity), cdc.quality_rules(entity))
+    rules = cdc.quality_rules(entity)
+    return cdc.keep_valid(cdc.observed(cdc.parse_events(raw, entity), rules), rules)
 
 
 def keyed_sink(stream: DataFrame, table: KeyedTable, root: str, name: str, once: bool = False) -> StreamingQuery:
