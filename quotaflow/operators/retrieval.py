@@ -83,6 +83,15 @@ def _narrow_questions(questions: DataFrame) -> DataFrame:
     ).filter("embedding IS NOT NULL")
 
 
+def _asked_for(chunks: DataFrame, questions: pd.DataFrame, most: int = 1000) -> DataFrame:
+    """Chunks some question can want: when every question names a value, the scan gets the list of values."""
+    for column in ("doc_type", "account_id"):
+        values = questions[column].unique().tolist()
+        if questions[column].notna().all() and len(values) <= most:
+            chunks = chunks.filter(F.col(column).isin(values))
+    return chunks
+
+
 def _broadcast_candidates(chunks: DataFrame, questions: pd.DataFrame, k: int) -> DataFrame:
     spark = chunks.sparkSession
     held = spark.sparkContext.broadcast((questions.drop(columns="embedding"), _unit(questions["embedding"].tolist())))
@@ -106,7 +115,7 @@ def _broadcast_candidates(chunks: DataFrame, questions: pd.DataFrame, k: int) ->
                 }
             )
 
-    return _narrow_chunks(chunks).mapInArrow(scan, RESULT)
+    return _narrow_chunks(_asked_for(chunks, questions)).mapInArrow(scan, RESULT)
 
 
 def _floors(seed: DataFrame, questions: pd.DataFrame, k: int) -> pd.DataFrame:

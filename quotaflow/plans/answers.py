@@ -140,7 +140,7 @@ def agent_rows(questions: DataFrame) -> DataFrame:
     )
 
 
-def document_contexts(asked: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+def document_contexts(asked: DataFrame, chunks: DataFrame, vectors: DataFrame, seed: DataFrame | None = None) -> DataFrame:
     """Document text and chunk ids per (query_id, agent_type).
 
     asked: query_id, agent_type, vector_id, wanted_account. Equal vectors of one agent are searched once.
@@ -155,18 +155,18 @@ def document_contexts(asked: DataFrame, chunks: DataFrame, vectors: DataFrame) -
         .join(vectors.select(F.col("vec_id").alias("vector_id"), "embedding"), "vector_id")
         .select(F.col("search_id").alias("query_id"), doc_type.alias("doc_type"), F.lit(None).cast("string").alias("account_id"), "embedding")
     )
-    found = nearest_chunks(chunks, requests, C.AGENT_SEARCH_K).withColumnRenamed("query_id", "search_id")
+    found = nearest_chunks(chunks, requests, C.AGENT_SEARCH_K, seed=seed).withColumnRenamed("query_id", "search_id")
     described = found.join(chunks.select(*CHUNK_COLUMNS), "chunk_id")
     per_question = keyed.select("query_id", "agent_type", "search_id", "wanted_account").join(described, "search_id")
     kept = keep_account(per_question).withColumn("question", F.struct("query_id", "agent_type"))
     return context_text(kept, "question").select("question.*", "context_text", "chunk_ids")
 
 
-def batch_answer(questions: DataFrame, metric_texts: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+def batch_answer(questions: DataFrame, metric_texts: DataFrame, chunks: DataFrame, vectors: DataFrame, seed: DataFrame | None = None) -> DataFrame:
     """One result row per question.
 
     questions: query_id, query, route_label, class_label, vector_id, input_tokens, output_tokens.
-    metric_texts: (metric, sql_text). The response column holds the combined context; a text generator, where
+    metric_texts: (metric, sql_text). ``seed``: any part of the chunks, see ``nearest_chunks``. The response column holds the combined context; a text generator, where
     one is at hand, replaces it. Questions of invalid length come back as agent_type 'error' with zero scores.
     """
     n = F.length("query")
@@ -174,7 +174,7 @@ def batch_answer(questions: DataFrame, metric_texts: DataFrame, chunks: DataFram
     rows = agent_rows(questions.filter(valid))
     wants_docs = F.col("classification").isin("DOCS", "HYBRID")
     documents = document_contexts(
-        rows.filter(wants_docs).select("query_id", "agent_type", "vector_id", "wanted_account"), chunks, vectors
+        rows.filter(wants_docs).select("query_id", "agent_type", "vector_id", "wanted_account"), chunks, vectors, seed
     )
     told = (
         rows.join(metric_texts, "metric", "left")

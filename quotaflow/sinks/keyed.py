@@ -71,7 +71,8 @@ class KeyedTable:
         """Fold all batches up to ``until`` into a new base and leave out tombstones past the retention.
 
         The base becomes valid with its mark, one row written last; a fold that stops half-way leaves no trace
-        for readers.
+        for readers. Log partitions up to ``until`` and earlier bases are no longer read and may be expired by
+        the storage.
         """
         rows = self._latest()
         if self.deletes:

@@ -48,6 +48,13 @@ def test_rules_drop_null_and_unknown(spark):
     assert [r["kafka_offset"] for r in kept.collect()] == [0]
     report = {r["rule"]: (r["violations"], r["total_rows"]) for r in cdc.rule_report(parsed, rules).collect()}
     assert report == {"valid_opportunity_id": (2, 5), "valid_event_type": (3, 5)}
+    from pyspark.sql import Observation
+
+    watch = Observation("quality")
+    rows = parsed.observe(watch, *[F.count_if(~F.coalesce(rule, F.lit(False))).alias(name) for name, rule in rules.items()])
+    rows.collect()
+    assert watch.get == {"valid_opportunity_id": 2, "valid_event_type": 3}
+    assert cdc.observed(parsed, rules).count() == 5
     accounts = cdc.keep_valid(cdc.parse_events(_raw(spark, texts), "account"), cdc.quality_rules("account"))
     assert accounts.count() == 3  # accounts have no event-type rule
 

@@ -30,6 +30,9 @@ def _rows(names, rows):
 @pytest.mark.parametrize("name", sorted(driver.queries()))
 def test_query_equals_oracle(spark, duck, name):
     df = driver.queries()[name](spark, FOLDER)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    assert "EvalPython" not in plan  # no row-wise Python functions
     got = _rows(df.columns, df.collect())
     relation = duck.execute(driver.oracle_sql()[name])
     names = [d[0] for d in relation.description]

@@ -74,6 +74,16 @@ def test_any_seed_gives_the_same_result(frames, seed):
     assert _got(R.nearest_chunks(c, q, 6, seed=c.filter(seed))) == _brute(chunks, questions, 6)
 
 
+def test_filters_reach_the_scan(spark, frames, tmp_path):
+    chunks, questions, c, q = frames
+    c.write.parquet(str(tmp_path / "c"))
+    stored, asked = spark.read.parquet(str(tmp_path / "c")), q.filter("doc_type IS NOT NULL")
+    found = R.nearest_chunks(stored, asked, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "In(doc_type" in plan and "account_name" not in plan
+    assert _got(found) == _brute(chunks, [r for r in questions if r[1] is not None], 4)
+
+
 def test_many_question_blocks(frames, monkeypatch):
     chunks, questions, c, q = frames
     monkeypatch.setattr(R, "BROADCAST_QUESTIONS", 9)
