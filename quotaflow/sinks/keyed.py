@@ -1,8 +1,8 @@
 """Keyed current tables on plain files: a log of changes, folded into a base from time to time.
 
 Writing a batch touches only that batch's partition, so a repeated batch changes nothing and a lost executor or a
-restarted driver cannot damage rows written before. Reading compares the base with the (small) log: the base is
-never shuffled as a whole while the log is small enough for Spark to broadcast. A row's place in time is its
+restarted driver cannot damage rows written before. Reading compares the base with the log: up to a checked row
+count the log is broadcast and the base is not shuffled. A row's place in time is its
 (sequence, tie) pair; a delete stays as a tombstone, so an older event that arrives later cannot revive the key.
 """
 
@@ -19,6 +19,10 @@ from quotaflow.operators.ranking import top_per_key
 from quotaflow.sinks.tables import append_batch
 
 
+# A fresh side of at most this many rows is broadcast; a larger one is left to Spark's own choice of join.
+BROADCAST_ROWS = 100_000
+
+
 @dataclass(frozen=True)
 class KeyedTable:
     """Current rows per key below one folder."""
@@ -61,7 +65,8 @@ class KeyedTable:
         if until < 0:
             return fresh
         base = self.spark.read.parquet(f"{self.root}/base/until={until}")
-        return newer_rows(base, fresh, self.key, self.sequence, self.tie)
+        small = fresh.select(self.key).limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        return newer_rows(base, fresh, self.key, self.sequence, self.tie, small)
 
     def current(self) -> DataFrame:
         rows = self._latest()
@@ -82,10 +87,14 @@ class KeyedTable:
         self.spark.range(1).select(F.lit(until).alias("until")).write.mode("append").parquet(f"{self.root}/folds")
 
 
-def newer_rows(base: DataFrame, fresh: DataFrame, key: str, sequence: str, tie: str) -> DataFrame:
-    """Per key the newer of a base row and a fresh row; both sides hold a key at most once."""
+def newer_rows(base: DataFrame, fresh: DataFrame, key: str, sequence: str, tie: str, small: bool = False) -> DataFrame:
+    """Per key the newer of a base row and a fresh row; both sides hold a key at most once.
+
+    ``small``: the fresh side was counted and fits a broadcast, so the base stays where it is.
+    """
     columns = base.columns
-    news = fresh.select(key, F.struct(*columns).alias("_new"))
+    spread = F.broadcast if small else (lambda df: df)
+    news = spread(fresh.select(key, F.struct(*columns).alias("_new")))
     place = lambda row: F.struct(  # noqa: E731  a missing sequence ranks below every real one
         row(sequence).isNotNull().alias("known"), row(sequence).alias("sequence"), row(tie).alias("tie")
     )
@@ -93,5 +102,7 @@ def newer_rows(base: DataFrame, fresh: DataFrame, key: str, sequence: str, tie:
     kept = base.join(news, key, "left").select(
         *[F.when(wins, F.col("_new")[c]).otherwise(F.col(c)).alias(c) for c in columns]
     )
-    added = fresh.select(*columns).join(base.select(key), key, "left_anti")
+    # keys known to the base: the base side is only probed with the few fresh keys
+    known = base.select(key).join(spread(fresh.select(key)), key, "left_semi")
+    added = fresh.select(*columns).join(spread(known), key, "left_anti")
     return kept.unionByName(added)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quotaflow.operators import cdc, merge
+from quotaflow.sinks import keyed
 from quotaflow.sinks.keyed import KeyedTable
 from quotaflow.sources.messages import DEAD_LETTER_TOPICS, TOPICS, dead_letters, file_messages
 from quotaflow.streaming import medallion
@@ -91,8 +92,9 @@ def test_current_rows(spark, deletes):
     assert {r["entity_id"]: r["kafka_offset"] for r in got.collect()} == _expected(rows, deletes)
 
 
-@pytest.mark.parametrize("seed, fold_after", [(1, None), (2, 1), (3, 2)])
-def test_keyed_table_any_arrival_order(spark, tmp_path, seed, fold_after):
+@pytest.mark.parametrize("seed, fold_after, small", [(1, None, 100), (2, 1, 100), (3, 2, 100), (4, 2, 0)])
+def test_keyed_table_any_arrival_order(spark, tmp_path, monkeypatch, seed, fold_after, small):
+    monkeypatch.setattr(keyed, "BROADCAST_ROWS", small)
     rows = _events(seed)
     shuffled = rows[:]
     random.Random(seed).shuffle(shuffled)
