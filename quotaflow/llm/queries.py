@@ -3,11 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quotaflow.llm import exact_dedup, simhash
+from quotaflow.llm import decontam, exact_dedup, simhash
 from quotaflow.llm.common import table
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontam.hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents")).drop("row")
 
@@ -16,9 +29,37 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(table(spark, folder, "documents")).drop("row")
 
 
-QUERIES = {f.__name__: f for f in (op7_exact_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op4_decontamination, op7_exact_dedup, op10_simhash)}
+
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
+    "op4_decontamination": f"""
+        WITH d AS (
+          SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({LOWER}, '{WORD}') AS words FROM documents
+        ), b AS (
+          SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({LOWER}, '{WORD}') AS words FROM benchmark
+        ), item AS (
+          SELECT item_id, words, unnest(range(1, greatest(len(words) - 10, 0) + 2)) AS start FROM b WHERE len(words) > 0
+        ), win AS (
+          SELECT DISTINCT item_id, array_to_string(words[start:start + 9], ' ') AS win, least(len(words), 10) AS n FROM item
+        ), sizes AS (
+          SELECT DISTINCT n FROM win
+        ), place AS (
+          SELECT row, words, n, unnest(range(1, len(words) - n + 2)) AS start FROM d, sizes WHERE len(words) >= n
+        ), hit AS (
+          SELECT p.row, p.start, p.n, w.item_id
+          FROM (SELECT row, n, start, array_to_string(words[start:start + n - 1], ' ') AS win FROM place) p JOIN win w USING (win, n)
+        ), hit_words AS (
+          SELECT row, count(DISTINCT word_no) AS n_hit FROM (SELECT row, unnest(range(start, start + n)) AS word_no FROM hit) GROUP BY row
+        ), hit_items AS (
+          SELECT row, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM hit GROUP BY row
+        )
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit_words USING (row) LEFT JOIN hit_items USING (row)
+    """,
     "op7_exact_dedup": r"""
         WITH plain AS (
           SELECT doc_id, coalesce(text, '') AS body, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
