@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotaflow.llm import decontam, exact_dedup, sharding, simhash
+from quotaflow.llm import decontam, exact_dedup, langid, sharding, simhash
 from quotaflow.llm.common import table
 
 
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontam.hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
@@ -35,7 +40,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(table(spark, folder, "documents")).drop("row")
 
 
-QUERIES = {f.__name__: f for f in (op4_decontamination, op5_sharding, op7_exact_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_decontamination, op5_sharding, op7_exact_dedup, op10_simhash)}
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
