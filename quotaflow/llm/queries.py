@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotaflow.llm import decontam, exact_dedup, langid, pieces, sharding, simhash
+from quotaflow.llm import decontam, exact_dedup, langid, ngram_lm, pieces, sharding, simhash
 from quotaflow.llm.common import table
 
 
@@ -36,6 +36,11 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents")).drop("row")
 
 
+def op8_ngram_lm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return ngram_lm.score(docs, ngram_lm.train(docs))
+
+
 def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode(table(spark, folder, "documents"))
 
@@ -44,7 +49,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(table(spark, folder, "documents")).drop("row")
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_decontamination, op5_sharding, op7_exact_dedup, op9_sentencepiece, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_decontamination, op5_sharding, op7_exact_dedup, op8_ngram_lm, op9_sentencepiece, op10_simhash)}
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
