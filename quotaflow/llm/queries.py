@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotaflow.llm import decontam, exact_dedup, langid, ngram_lm, pieces, sharding, simhash
+from quotaflow.llm import decontam, exact_dedup, langid, ngram_lm, pieces, sharding, simhash, toxicity
 from quotaflow.llm.common import table
 
 
@@ -32,6 +32,11 @@ def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents")).drop("row")
 
@@ -49,7 +54,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(table(spark, folder, "documents")).drop("row")
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_decontamination, op5_sharding, op7_exact_dedup, op8_ngram_lm, op9_sentencepiece, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_decontamination, op5_sharding, op6_toxicity, op7_exact_dedup, op8_ngram_lm, op9_sentencepiece, op10_simhash)}
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
