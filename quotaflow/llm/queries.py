@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotaflow.llm import decontam, exact_dedup, langid, ngram_lm, pieces, sharding, simhash, toxicity
+from quotaflow.llm import decontam, exact_dedup, langid, licenses, ngram_lm, pieces, sharding, simhash, toxicity
 from quotaflow.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs))
 
 
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontam.hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
@@ -54,7 +58,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(table(spark, folder, "documents")).drop("row")
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_decontamination, op5_sharding, op6_toxicity, op7_exact_dedup, op8_ngram_lm, op9_sentencepiece, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_license_scan, op4_decontamination, op5_sharding, op6_toxicity, op7_exact_dedup, op8_ngram_lm, op9_sentencepiece, op10_simhash)}
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
