@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotaflow.llm import decontam, exact_dedup, langid, licenses, ngram_lm, pieces, sharding, simhash, toxicity
+from quotaflow.llm import decontam, exact_dedup, langid, licenses, ngram_lm, pieces, pii, sharding, simhash, toxicity
 from quotaflow.llm.common import table
 
 
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digest(pii.detect(table(spark, folder, "documents")))
+
+
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return langid.predict(docs, langid.train(docs))
@@ -58,7 +62,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(table(spark, folder, "documents")).drop("row")
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_license_scan, op4_decontamination, op5_sharding, op6_toxicity, op7_exact_dedup, op8_ngram_lm, op9_sentencepiece, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op3_license_scan, op4_decontamination, op5_sharding, op6_toxicity, op7_exact_dedup, op8_ngram_lm, op9_sentencepiece, op10_simhash)}
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
