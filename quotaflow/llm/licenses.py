@@ -73,8 +73,8 @@ NAMED = [  # (label, keyword, pattern, priority)
     ("ncsa", "illinois", "university of illinois ncsa", 2), ("w3c", "w3c", "w3c software (notice and )?licen[sc]e", 2), ("intel", "intel", "intel open source licen[sc]e", 2),
     ("blueoak", "blue oak", "blue oak model licen[sc]e", 2), ("sspl", "server side public", "server side public licen[sc]e", 2), ("busl", "business source", "business source licen[sc]e", 2),
     ("elastic", "elastic", "elastic licen[sc]e", 2), ("polyform", "polyform", "polyform (noncommercial|small business|shield|strict) licen[sc]e", 2),
-    ("gpl", "gpl", "gpl ?v?[123]?", 2), ("gpl", "gpl", "licen[sc]ed under( the)? gpl", 2), ("lgpl", "lgpl", "lgpl ?v?(2 1|2|3)?", 2), ("agpl", "agpl", "agpl ?v?[13]?", 2),
-    ("apache", "apache", "licen[sc]ed under( the)? apache", 2), ("reserved", "reserved", "(all|some) rights reserved", 1), ("no-rights-reserved", "reserved", "no rights reserved", 2),
+    ("gpl", "gpl", "gpl ?v?[123]?", 2), ("gpl", "gpl", "licen[sc]ed under( the)? gpl(?! ?v?[123])", 2), ("lgpl", "lgpl", "lgpl ?v?(2 1|2|3)?", 2), ("agpl", "agpl", "agpl ?v?[13]?", 2),
+    ("apache", "apache", "licen[sc]ed under( the)? apache(?! licen[sc]e| software)", 2), ("reserved", "reserved", "(all|some) rights reserved", 1), ("no-rights-reserved", "reserved", "no rights reserved", 2),
     ("copyright", "copyright", "copyright (c )?((19|20)[0-9][0-9])", 1), ("proprietary", "proprietary", "proprietary and confidential", 2),
     ("proprietary", "confidential", "confidential and proprietary", 2), ("proprietary", "unauthorized", "unauthorized (copying|reproduction|distribution|use)( of this file)?", 2),
     ("no-redistribution", "may not be", "may not be (reproduced|redistributed|copied|published)", 1), ("commercial", "commercial licen", "commercial licen[sc]e", 1),
