@@ -22,8 +22,12 @@ def identify(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def distinct_documents(files: DataFrame, path: str = "file_path") -> DataFrame:
-    """One file per doc_id, the first by path. Copies are cut per map task before the shuffle."""
-    return top_per_key(files, ["doc_id"], [F.col(path).asc()])
+    """One file per doc_id, the first by path (paths are unique).
+
+    Ids and paths alone decide, with copies cut per map task; what else a file carries only meets the chosen paths.
+    """
+    first = top_per_key(files.select("doc_id", path), ["doc_id"], [F.col(path).asc()])
+    return first if set(files.columns) == {"doc_id", path} else files.join(first, ["doc_id", path], "left_semi")
 
 
 def new_documents(files: DataFrame, known: DataFrame, path: str = "file_path") -> DataFrame:
@@ -138,20 +142,22 @@ def ingest(files: DataFrame, known: DataFrame, embeddings: DataFrame | None = No
 
 
 def ingest_status(files: DataFrame, known: DataFrame) -> DataFrame:
-    """Status per file: error (unsupported suffix), skipped (known or a second copy), empty, ingested."""
+    """Status per file, files taken in the order of their paths.
+
+    skipped: its text is known, or came in with an earlier file of this run, whatever the suffix; error: unsupported
+    suffix; empty: no long enough chunk (such a text leaves no trace, so its copies are empty again); ingested.
+    """
     suffix = F.lower(F.regexp_extract(F.col("file_path"), r"\.([A-Za-z0-9]+)$", 1))
     supported = suffix.isin("pdf", "docx", "doc", "txt", "md")
     # a page has a long enough chunk when its first window has enough tokens
     has_chunks = F.exists(F.split("content", "\f"), lambda page: F.size(word_tokens(page)) >= C.CHUNK_MIN_TOKENS)
     narrow = identify(files).select("file_path", "doc_id", supported.alias("supported"), has_chunks.alias("has_chunks"))
     narrow = narrow.join(known.select("doc_id").distinct().withColumn("known", F.lit(True)), "doc_id", "left")
-    first = narrow.filter("supported").groupBy("doc_id").agg(F.min("file_path").alias("first_path"))
+    first = narrow.filter("supported AND has_chunks").groupBy("doc_id").agg(F.min("file_path").alias("first_path"))
     status = (
-        F.when(~F.col("supported"), "errors")
-        .when(F.col("known"), "skipped")
-        # an empty document leaves no metadata, so its copies are not recognised and count as empty again
+        F.when(F.col("known") | (F.col("first_path") < F.col("file_path")), "skipped")
+        .when(~F.col("supported"), "errors")
         .when(~F.col("has_chunks"), "empty")
-        .when(F.col("file_path") != F.col("first_path"), "skipped")
         .otherwise("ingested")
     )
     return narrow.join(first, "doc_id", "left").select("file_path", "doc_id", status.alias("status"))

@@ -1,7 +1,8 @@
 """Exact filtered top-k similarity search, many questions at once.
 
-No row pair is ever emitted: tasks multiply blocks of vectors and pass on at most k candidates per question.
-Scores are cosines rounded to six digits, ties go to the smaller chunk id.
+Chunks are scanned where they lie, once for each block of questions; a block has a bounded number of bytes and goes
+to every task. No row pair is ever emitted: tasks multiply blocks of vectors and pass on at most k candidates per
+question. Scores are cosines rounded to six digits, ties go to the smaller chunk id.
 """
 
 from __future__ import annotations
@@ -11,8 +12,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +19,8 @@ from quotaflow import constants as C
 from quotaflow.operators.ranking import top_per_key
 
 RESULT = "query_id long, chunk_id string, score double"
-# Questions up to this many numbers (rows x dimensions) go to every task; more are matched block by block.
-BROADCAST_NUMBERS = 4_000_000
-BROADCAST_QUESTIONS = 4096
-BLOCK_VECTORS = 100_000
+QUESTION_BYTES = 128 << 20  # vectors of one block of questions, as the tasks hold them
+SCAN_BYTES = 64 << 20  # chunk vectors multiplied at a time
 TILE = 256
 
 
@@ -51,6 +48,8 @@ def _match(questions: pd.DataFrame, q_unit: np.ndarray, chunks: pd.DataFrame, c_
     """
     found = []
     ids = chunks["chunk_id"].to_numpy(object)
+    n = len(ids)
+    later = np.argsort(np.argsort(ids, kind="stable"), kind="stable")  # places in the order of ids
     filters = [_filter_codes(questions[c], chunks[c]) for c in ("doc_type", "account_id") if questions[c].notna().any()]
     for start in range(0, len(questions), TILE):
         part = questions.iloc[start : start + TILE]
@@ -60,11 +59,13 @@ def _match(questions: pd.DataFrame, q_unit: np.ndarray, chunks: pd.DataFrame, c_
         for wanted, values in filters:
             asked = wanted[start : start + TILE, None]
             scores[(asked >= 0) & (asked != values[None, :])] = -np.inf
-        if scores.shape[1] > k:
-            edge = np.partition(scores, -k, axis=1)[:, -k]
-            rows, columns = np.nonzero((scores >= edge[:, None]) & np.isfinite(scores))
+        rows = np.repeat(np.arange(len(part)), min(k, n))
+        if n > k:  # score and id as one number, so that ties leave exactly k
+            order = np.where(np.isfinite(scores), np.rint(scores * 1e6), -2e6).astype(np.int64) * n - later[None, :]
+            columns = np.argpartition(order, -k, axis=1)[:, -k:].ravel()
         else:
-            rows, columns = np.nonzero(np.isfinite(scores))
+            columns = np.tile(np.arange(n), len(part))
+        rows, columns = (x[np.isfinite(scores[rows, columns])] for x in (rows, columns))
         found.append(
             pd.DataFrame(
                 {"query_id": part["query_id"].to_numpy()[rows], "chunk_id": ids[columns], "score": scores[rows, columns]}
@@ -83,13 +84,9 @@ def _narrow_questions(questions: DataFrame) -> DataFrame:
     ).filter("embedding IS NOT NULL")
 
 
-def _asked_for(chunks: DataFrame, questions: pd.DataFrame, most: int = 1000) -> DataFrame:
-    """Chunks some question can want: when every question names a value, the scan gets the list of values."""
-    for column in ("doc_type", "account_id"):
-        values = questions[column].unique().tolist()
-        if questions[column].notna().all() and len(values) <= most:
-            chunks = chunks.filter(F.col(column).isin(values))
-    return chunks
+def _asked_for(chunks: DataFrame, questions: pd.DataFrame) -> DataFrame:
+    """Chunks some question can want: when every question names a document type, the scan gets the list of types."""
+    return chunks.filter(F.col("doc_type").isin(questions["doc_type"].unique().tolist())) if questions["doc_type"].notna().all() else chunks
 
 
 def _broadcast_candidates(chunks: DataFrame, questions: pd.DataFrame, k: int) -> DataFrame:
@@ -102,10 +99,12 @@ def _broadcast_candidates(chunks: DataFrame, questions: pd.DataFrame, k: int) ->
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            vectors = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            rows = batch.select(["chunk_id", "doc_type", "account_id"]).to_pandas()
-            found = _match(asked, q_unit, rows, _unit(vectors), k)
-            best = found if best is None else _best(pd.concat([best, found]), k)
+            width = max(1, len(batch.column("embedding")[0]))
+            for start in range(0, batch.num_rows, max(1, SCAN_BYTES // (8 * width))):
+                part = batch.slice(start, max(1, SCAN_BYTES // (8 * width)))
+                vectors = part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                found = _match(asked, q_unit, part.select(["chunk_id", "doc_type", "account_id"]).to_pandas(), _unit(vectors), k)
+                best = found if best is None else _best(pd.concat([best, found]), k)
         if best is not None and len(best):
             yield pa.RecordBatch.from_pydict(
                 {
@@ -125,57 +124,33 @@ def _floors(seed: DataFrame, questions: pd.DataFrame, k: int) -> pd.DataFrame:
     return floors.filter(F.col("n") == k).select("query_id", "floor").toPandas()  # at most one row per question
 
 
-def _paired_candidates(chunks: DataFrame, questions: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """Match the chunk block and the question block that share a key."""
-
-    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-        return _match(right, _unit(right["embedding"].tolist()), left, _unit(left["embedding"].tolist()), k)
-
-    return chunks.groupBy(*keys).cogroup(questions.groupBy(*keys)).applyInPandas(match, RESULT)
-
-
-def _block_candidates(chunks: DataFrame, questions: DataFrame, k: int, block_vectors: int, block_questions: int) -> DataFrame:
-    """Every chunk block meets every question block once; hashing by id keeps the blocks even."""
-    narrow, asked = _narrow_chunks(chunks), _narrow_questions(questions)
-    n_blocks = max(1, -(-narrow.count() // block_vectors))
-    n_asked = max(1, -(-asked.count() // block_questions))
-    left = narrow.withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(n_blocks))).withColumn(
-        "asked", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1)))
-    )
-    right = asked.withColumn("asked", F.pmod(F.xxhash64("query_id"), F.lit(n_asked)).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))
-    )
-    return _paired_candidates(left, right, ["block", "asked"], k)
-
-
 def nearest_chunks(
     chunks: DataFrame,
     questions: DataFrame,
     k: int = C.SEARCH_K,
-    broadcast_questions: int = BROADCAST_QUESTIONS,
-    block_vectors: int = BLOCK_VECTORS,
+    question_bytes: int = QUESTION_BYTES,
     seed: DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k best chunks per question.
 
     chunks: chunk_id, doc_type, account_id, embedding. questions: query_id, doc_type, account_id, embedding;
-    a NULL filter means any. At most ``broadcast_questions`` questions of bounded size are sent to all tasks, so
-    chunks are scanned in place and only candidates are shuffled. Beyond that both sides are cut into blocks.
+    a NULL filter means any. Questions are dealt to blocks of about ``question_bytes`` by a hash of their id; each
+    block is one scan of the chunks, and only candidates are shuffled.
 
     ``seed`` may be any part of the chunks, such as one partition of a very large table. It is searched first: no
     final k-th score lies below the k-th score of a part, so tasks drop what is below that floor and the shuffle
     stays small however many tasks there are. The result is the same with any seed.
     """
-    head = _narrow_questions(questions).limit(broadcast_questions + 1).toPandas()  # bounded by the limit
-    numbers = sum(len(v) for v in head["embedding"])
-    if len(head) <= broadcast_questions and numbers <= BROADCAST_NUMBERS:
-        if seed is not None and len(head):
-            head = head.merge(_floors(seed, head, k), on="query_id", how="left").fillna({"floor": -np.inf})
-        candidates = _broadcast_candidates(chunks, head, k) if len(head) else chunks.sparkSession.createDataFrame([], RESULT)
-    else:
-        candidates = _block_candidates(chunks, questions, k, block_vectors, BROADCAST_QUESTIONS)
+    asked = _narrow_questions(questions)
+    numbers = asked.agg(F.sum(F.size("embedding"))).first()[0] or 0
+    blocks = max(1, -(-8 * numbers // question_bytes))
+    candidates = chunks.sparkSession.createDataFrame([], RESULT)
+    for block in range(blocks):
+        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas()  # about question_bytes
+        if seed is not None and len(part):
+            part = part.merge(_floors(seed, part, k), on="query_id", how="left").fillna({"floor": -np.inf})
+        if len(part):
+            candidates = candidates.unionByName(_broadcast_candidates(chunks, part, k))
     return top_per_key(candidates, ["query_id"], [F.col("score").desc(), F.col("chunk_id").asc()], k, rank="rank")
 
 
@@ -215,115 +190,3 @@ def context_text(results: DataFrame, query: str = "query_id", order: str = "rank
             F.transform("_parts", lambda p: p["chunk_id"]).alias("chunk_ids"),
         )
     )
-
-
-def _unit_rows(batch: pa.RecordBatch) -> np.ndarray:
-    return _unit(batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
-
-
-def bucket_bounds(chunks: DataFrame, bucket: str, max_buckets: int) -> pd.DataFrame:
-    """Per bucket of unit vectors: centroid, radius and row count; one row per bucket, bounded by ``max_buckets``.
-
-    Means are summed in the tasks first; for the radius every task sends one maximum per bucket.
-    """
-    kind = chunks.schema[bucket].dataType.simpleString()
-    narrow = chunks.select(F.col(bucket).alias("bucket"), "embedding")
-
-    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                vectors = _unit_rows(batch)
-                values = pa.FixedSizeListArray.from_arrays(pa.array(vectors.ravel()), vectors.shape[1]).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([batch.column("bucket"), values], ["bucket", "unit"])
-
-    units = narrow.mapInArrow(unit, f"bucket {kind}, unit array<double>")
-    means = units.groupBy("bucket").agg(
-        vector_to_array(Summarizer.mean(array_to_vector(F.col("unit")))).alias("centre"), F.count(F.lit(1)).alias("n")
-    )
-    rows = means.limit(max_buckets + 1).toPandas()
-    if len(rows) > max_buckets:
-        raise ValueError(f"more than {max_buckets} buckets; use fewer centroids")
-    centres = {b: np.asarray(c) for b, c in zip(rows["bucket"], rows["centre"])}
-
-    def farthest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict = {}
-        for batch in batches:
-            if batch.num_rows:
-                labels = batch.column("bucket").to_pandas().to_numpy()
-                gaps = np.linalg.norm(_unit_rows(batch) - np.stack([centres[b] for b in labels]), axis=1)
-                for label, gap in pd.Series(gaps).groupby(labels).max().items():
-                    best[label] = max(best.get(label, 0.0), gap)
-        if best:
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(list(best), batch.schema.field("bucket").type), "gap": pa.array(list(best.values()))})
-
-    radii = narrow.mapInArrow(farthest, f"bucket {kind}, gap double").groupBy("bucket").agg(F.max("gap").alias("radius"))
-    return rows.merge(radii.limit(max_buckets + 1).toPandas(), on="bucket")
-
-
-def nearest_in_buckets(chunks: DataFrame, questions: DataFrame, bucket: str, k: int = C.SEARCH_K, block_vectors: int = BLOCK_VECTORS, max_buckets: int = 10_000) -> DataFrame:
-    """Exact top-k that skips buckets which cannot hold a better chunk.
-
-    Round one searches the most promising bucket of each question. Its k-th score is a floor; by the triangle
-    inequality a bucket at distance d with radius r holds no cosine above 1 - (d - r)^2 / 2, so round two visits
-    only buckets that can still reach the floor. Large buckets are split by a hash of the chunk id.
-    """
-    spark = chunks.sparkSession
-    held = chunks.select(bucket, "chunk_id", "doc_type", "account_id", "embedding").filter("embedding IS NOT NULL")
-    rows = bucket_bounds(held, bucket, max_buckets)
-    if rows.empty:
-        return top_per_key(spark.createDataFrame([], RESULT), ["query_id"], [F.col("chunk_id").asc()], k, rank="rank")
-    splits = {b: max(1, -(-int(n) // block_vectors)) for b, n in zip(rows["bucket"], rows["n"])}
-    centres, radii = np.array(rows["centre"].tolist()), rows["radius"].to_numpy()
-    labels = rows["bucket"].tolist()
-
-    def reach(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if frame.empty:
-                continue
-            asked = _unit(frame["embedding"].tolist())
-            squared = (asked**2).sum(1)[:, None] + (centres**2).sum(1)[None, :] - 2 * asked @ centres.T
-            gap = np.maximum(0.0, np.sqrt(np.maximum(squared, 0)) - radii[None, :])
-            best = 1 - gap**2 / 2 + 1e-5  # slack for rounding
-            order = np.argsort(-best - 1e-9 * (asked @ centres.T), axis=1, kind="stable")
-            place = np.argsort(order, axis=1, kind="stable")
-            n = len(labels)
-            yield pd.DataFrame(
-                {
-                    "query_id": np.repeat(frame["query_id"].to_numpy(), n),
-                    "bucket_no": np.tile(np.arange(n), len(frame)),
-                    "best_score": best.ravel(),
-                    "place": place.ravel(),
-                }
-            )
-
-    asked = _narrow_questions(questions)
-    reachable = asked.select("query_id", "embedding").mapInPandas(
-        reach, "query_id long, bucket_no int, best_score double, place int"
-    )
-    numbers = spark.createDataFrame(
-        [(labels.index(b), b, splits[b]) for b in labels], f"bucket_no int, {bucket} {held.schema[bucket].dataType.simpleString()}, splits int"
-    )
-    numbers = F.broadcast(numbers)  # one row per bucket, at most max_buckets
-    left = held.join(numbers, bucket).withColumn("split", F.pmod(F.xxhash64("chunk_id"), F.col("splits")).cast("int"))
-
-    def search(visits: DataFrame) -> DataFrame:
-        right = (
-            visits.join(numbers.select("bucket_no", "splits"), "bucket_no")
-            .withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
-            .join(asked, "query_id")
-            .select("query_id", "doc_type", "account_id", "embedding", "bucket_no", "split")
-        )
-        return _paired_candidates(
-            left.select("chunk_id", "doc_type", "account_id", "embedding", "bucket_no", "split"), right, ["bucket_no", "split"], k
-        )
-
-    first = search(reachable.filter("place = 0"))
-    first_top = top_per_key(first, ["query_id"], [F.col("score").desc(), F.col("chunk_id").asc()], k)
-    floor = first_top.groupBy("query_id").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("found"))
-    others = (
-        reachable.filter("place > 0")
-        .join(floor, "query_id", "left")
-        .filter((F.coalesce(F.col("found"), F.lit(0)) < k) | (F.col("best_score") >= F.col("floor")))
-    )
-    both = first_top.unionByName(search(others))
-    return top_per_key(both, ["query_id"], [F.col("score").desc(), F.col("chunk_id").asc()], k, rank="rank")

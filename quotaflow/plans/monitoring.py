@@ -105,17 +105,38 @@ def ops_snapshot(traces: DataFrame, feedback: DataFrame, keys: list[str], as_of:
     Ratings are summed per trace first, so the join adds no rows and one grouped pass gives all figures.
     """
     calls = traces.filter(F.col("ts") > _before(as_of, hours=hours)) if as_of else traces
-    rated = feedback.groupBy("trace_id").agg(
+    given = feedback.join(calls.select("trace_id"), "trace_id", "left_semi") if as_of else feedback
+    rated = given.groupBy("trace_id").agg(
         F.count_if(F.col("rating") == C.RATING_UP).alias("_up"), F.count(F.lit(1)).alias("_rated")
     )
+    scores = ["groundedness_score", "confidence_score"]
+    latency = F.col("total_latency_ms")
+    # one row per key and latency: the exact percentile then meets counts, also for a key that owns most calls
+    parts = calls.join(rated, "trace_id", "left").groupBy(*keys, "total_latency_ms").agg(
+        F.count(F.lit(1)).alias("_n"),
+        *(exact_sum(c).alias(f"_{c}") for c in scores),
+        *(F.count(c).alias(f"_n_{c}") for c in scores),
+        F.count_if(~F.col("sql_success")).alias("_failed"),
+        F.count("sql_success").alias("_ran"),
+        F.sum("_up").alias("_up"),
+        F.sum("_rated").alias("_rated"),
+        F.sum("input_tokens").alias("input_tokens"),
+        F.sum("output_tokens").alias("output_tokens"),
+    )
+    timed = F.when(latency.isNotNull(), F.col("_n"))
     thumbs = F.when(F.sum("_rated") > 0, F.sum("_up").cast("double") / F.sum("_rated"))
-    return calls.join(rated, "trace_id", "left").groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total_calls"),
-        F.round(F.avg("total_latency_ms"), 4).alias("avg_latency_ms"),
-        F.round(F.percentile("total_latency_ms", 0.95), 4).alias("p95_latency_ms"),
-        F.round(exact_avg("groundedness_score"), 4).alias("avg_groundedness"),
-        F.round(exact_avg("confidence_score"), 4).alias("avg_confidence"),
-        F.round(F.avg((~F.col("sql_success")).cast("int")), 4).alias("sql_failure_rate"),
+
+    def mean(score: str) -> Column:
+        n = F.sum(f"_n_{score}")
+        return F.when(n > 0, F.sum(f"_{score}").cast("double") / n)
+
+    return parts.groupBy(*keys).agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("total_calls"),
+        F.round(F.sum(latency.cast("long") * timed).cast("double") / F.nullif(F.sum(timed), F.lit(0)), 4).alias("avg_latency_ms"),
+        F.round(F.percentile(latency, 0.95, F.col("_n")), 4).alias("p95_latency_ms"),
+        F.round(mean("groundedness_score"), 4).alias("avg_groundedness"),
+        F.round(mean("confidence_score"), 4).alias("avg_confidence"),
+        F.round(F.sum("_failed").cast("double") / F.nullif(F.sum("_ran"), F.lit(0)), 4).alias("sql_failure_rate"),
         F.round(thumbs, 4).alias("thumbs_up_rate"),
         F.round(total_cost(), 6).alias("estimated_cost_usd"),
     )

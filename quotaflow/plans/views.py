@@ -1,8 +1,8 @@
 """Views that give the generic input tables the shape of the sales tables.
 
 One SQL text per view serves Spark and the oracle engine; ``{name}`` stands for an input table. Every view reads
-whole tables: missing health rows, missing amounts and rejected events come from the data itself (negative
-balances, orders without lines, event kinds), never from a row filter that thins the input.
+whole tables; missing amounts and rejected events come from the data itself (negative balances, orders without
+lines, event kinds), never from a row filter that thins the input.
 """
 
 from __future__ import annotations
@@ -72,13 +72,13 @@ SELECT cast(c_custkey AS string) AS account_id, c_name AS account_name, cast((c_
   CASE WHEN (c_custkey * 37) % 101 < 40 THEN 'Red' WHEN (c_custkey * 37) % 101 < 70 THEN 'Yellow' ELSE 'Green' END AS risk_tier,
   cast(c_custkey % 400 AS int) AS dau_30d, cast((c_custkey * 17) % 100 AS double) / 100 AS feature_adoption,
   DATE '2001-05-01' - cast(c_custkey % 90 AS int) AS last_login_date
-FROM {customer} WHERE c_acctbal >= 0""",
+FROM {customer}""",
     "adoption_history": """
 SELECT cast(c_custkey AS string) AS account_id, DATE '2001-05-01' AS snapshot_date,
   cast((c_custkey * 17) % 100 AS double) / 100 AS feature_adoption FROM {customer}
 UNION ALL
 SELECT cast(c_custkey AS string), DATE '2001-04-01', cast((c_custkey * 29) % 90 AS double) / 100
-FROM {customer} WHERE c_acctbal >= 0""",
+FROM {customer}""",
     "arr_source": f"""
 SELECT cast(c_custkey AS string) AS account_id, c_name AS account_name,
   CASE WHEN c_acctbal >= 0 THEN cast(c_acctbal AS decimal(18,2)) END AS arr,
@@ -169,7 +169,7 @@ FROM {events}""",
     "user_feedback": """
 SELECT cast(event_id AS string) AS trace_id, cast(user_id AS string) AS user_id,
   CASE WHEN event_id % 5 = 0 THEN 1 ELSE 2 END AS rating, concat('note ', cast(event_id % 50 AS string)) AS comment, ts
-FROM {events} WHERE event_type IN ('click', 'purchase')""",
+FROM {events}""",
     "judge_outputs": """
 SELECT cast(event_id AS string) AS trace_id, ts, concat('question ', cast(event_id % 500 AS string)) AS query,
   CASE event_type WHEN 'error' THEN 'no verdict possible'
@@ -198,13 +198,13 @@ FROM {embeddings}""",
     "questions": """
 SELECT concat(cast(conv_id AS string), '-', cast(turn AS string)) AS query_id, conv_id, turn, role,
   concat(CASE (conv_id * 7 + turn) % 14
-    WHEN 0 THEN 'What is our total pipeline for Q2?' WHEN 1 THEN 'Which deals are stuck in Negotiation?'
-    WHEN 2 THEN 'Show me the forecast vs quota attainment' WHEN 3 THEN 'What is our win rate this quarter?'
-    WHEN 4 THEN 'Which opportunities will miss their close date?' WHEN 5 THEN 'What is the ACV of deals closing this month?'
-    WHEN 6 THEN 'Which accounts are at risk of churning?' WHEN 7 THEN 'What is our current NRR?'
-    WHEN 8 THEN 'Show contracts expiring in 90 days' WHEN 9 THEN 'Which accounts have low health scores'
-    WHEN 10 THEN 'What are the renewal terms for Acme Corp?' WHEN 11 THEN 'Show me expansion opportunities for existing customers'
-    WHEN 12 THEN 'Show churn accounts about Globex, now' ELSE 'What should I focus on today' END, ' ', text) AS query,
+    WHEN 0 THEN 'Add up the open pipeline by owner' WHEN 1 THEN 'List deals that sit in Proposal too long'
+    WHEN 2 THEN 'How far is the forecast from the quota?' WHEN 3 THEN 'Compare the win rate of both halves'
+    WHEN 4 THEN 'Name every opportunity with a late close date' WHEN 5 THEN 'Give me the ACV booked in May'
+    WHEN 6 THEN 'Who might churn before summer?' WHEN 7 THEN 'Has NRR gone up since January?'
+    WHEN 8 THEN 'Contracts that end within a quarter, please' WHEN 9 THEN 'Health of the largest accounts'
+    WHEN 10 THEN 'Read me the renewal clause for Initech Ltd.' WHEN 11 THEN 'Where can customers expand next?'
+    WHEN 12 THEN 'Churn notes about Umbrella, please' ELSE 'Plan my week' END, ' ', text) AS query,
   CASE conv_id % 4 WHEN 0 THEN ' sql ' WHEN 1 THEN 'Docs' WHEN 2 THEN 'hybrid' ELSE 'none of these' END AS class_label,
   CASE conv_id % 4 WHEN 0 THEN ' pipeline ' WHEN 1 THEN 'Customer' WHEN 2 THEN 'ambiguous' ELSE 'unsure' END AS route_label,
   cast(conv_id * 13 % 900 AS int) AS input_tokens, cast(turn * 31 AS int) AS output_tokens

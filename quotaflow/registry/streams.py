@@ -10,7 +10,7 @@ from quotaflow.plans.views import Inputs
 from quotaflow.registry.common import Entry, oracle
 from quotaflow.registry.documents import CHUNK_CTE, CHUNK_ID
 from quotaflow.registry.tables import PARSE_CTE, VALID_TYPE, SCD1_CTE
-from quotaflow.schemas import conform
+from quotaflow.schemas import TABLES, conform
 from quotaflow.session import run_folder
 from quotaflow.sinks.keyed import KeyedTable
 from quotaflow.sinks.tables import append, overwrite_partitions
@@ -52,16 +52,21 @@ def _dead_letters(i: Inputs) -> DataFrame:
 
 
 def _medallion(i: Inputs, entity: str) -> DataFrame:
+    """The gold table, in its declared columns."""
     root = run_folder(i.spark, f"medallion-{entity}")
-    rows = medallion.run_available(_messages(i, entity), root, entity).current()
-    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("updated_at", "kafka_ts")})
+    table = medallion.run_available(_messages(i, entity), root, entity)
+    return medallion.gold_rows(table, entity).withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
 
 
 def _scd1_stream(i: Inputs) -> DataFrame:
+    """All events in four batches that overlap in time, so later batches bring late events, updates and deletes."""
     root = run_folder(i.spark, "scd1")
-    table = KeyedTable(i.spark, f"{root}/table", "entity_id")
-    events = i.view_stream("cdc_events").filter("event_type IN ('CREATE', 'UPDATE', 'DELETE')")
-    medallion.keyed_sink(events, table, root, "scd1", once=True).awaitTermination()
+    events = i.cdc_events.filter("event_type IN ('CREATE', 'UPDATE', 'DELETE')")
+    for part in range(4):
+        events.filter(F.pmod("kafka_offset", F.lit(4)) == part).coalesce(1).write.mode("append").parquet(f"{root}/events")
+    table = KeyedTable(i.spark, f"{root}/table", "entity_id", fold_every=2)
+    stream = medallion.table_stream(i.spark, f"{root}/events", files_per_batch=1)
+    medallion.keyed_sink(stream, table, root, "scd1", once=True).awaitTermination()
     return table.current().select("entity_id", "event_type", "amount", "updated_at", "kafka_offset")
 
 
@@ -98,6 +103,7 @@ def _replaced(i: Inputs) -> DataFrame:
     return i.spark.read.parquet(path).select("period_date", "segment", "nrr_pct", "churn_pct", F.col("snapshot_date").cast("date").alias("snapshot_date"))
 
 
+_GOLD = {entity: ", ".join(TABLES[f"realtime.{entity}_current"].names) for entity in ("opportunity", "account")}
 _TRACE_SQL = (
     "SELECT trace_id, session_id, agent_type, query, total_latency_ms, confidence_score, input_tokens, output_tokens, "
     "round(CAST(input_tokens AS DOUBLE) / 1e6 * 3.0 + CAST(output_tokens AS DOUBLE) / 1e6 * 15.0, 8) AS estimated_cost_usd, CAST(NULL AS VARCHAR) AS model, ts FROM agent_traces"
@@ -123,10 +129,10 @@ ENTRIES: dict[str, Entry] = {
     ),
     "stream_medallion": Entry(
         lambda i: _medallion(i, "opportunity"),
-        oracle(["opportunity_raw"], f"SELECT * FROM parsed WHERE opportunity_id IS NOT NULL AND {VALID_TYPE} AND event_type <> 'DELETE'", PARSE_CTE["opportunity"]),
+        oracle(["opportunity_raw"], f"SELECT {_GOLD['opportunity']} FROM parsed WHERE opportunity_id IS NOT NULL AND {VALID_TYPE} AND event_type <> 'DELETE'", PARSE_CTE["opportunity"]),
     ),
     "stream_medallion_account": Entry(
-        lambda i: _medallion(i, "account"), oracle(["account_raw"], "SELECT * FROM parsed WHERE account_id IS NOT NULL", PARSE_CTE["account"])
+        lambda i: _medallion(i, "account"), oracle(["account_raw"], f"SELECT {_GOLD['account']} FROM parsed WHERE account_id IS NOT NULL", PARSE_CTE["account"])
     ),
     "stream_scd1": Entry(
         _scd1_stream,

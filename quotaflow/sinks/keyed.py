@@ -1,9 +1,9 @@
 """Keyed current tables on plain files: a log of changes, folded into a base from time to time.
 
 Writing a batch touches only that batch's partition, so a repeated batch changes nothing and a lost executor or a
-restarted driver cannot damage rows written before. Reading compares the base with the log: up to a checked row
-count the log is broadcast and the base is not shuffled. A row's place in time is its
-(sequence, tie) pair; a delete stays as a tombstone, so an older event that arrives later cannot revive the key.
+restarted driver cannot damage rows written before. Reading compares the base with the log; after every
+``fold_every``-th batch the writer folds the log into a new base, so a read never meets more than that many
+partitions. A row's place in time is its (sequence, tie) pair; a delete stays as a tombstone, so an older event that arrives later cannot revive the key.
 """
 
 from __future__ import annotations
@@ -19,10 +19,6 @@ from quotaflow.operators.ranking import top_per_key
 from quotaflow.sinks.tables import append_batch
 
 
-# A fresh side of at most this many rows is broadcast; a larger one is left to Spark's own choice of join.
-BROADCAST_ROWS = 100_000
-
-
 @dataclass(frozen=True)
 class KeyedTable:
     """Current rows per key below one folder."""
@@ -33,6 +29,7 @@ class KeyedTable:
     sequence: str = "updated_at"
     tie: str = "kafka_offset"
     deletes: bool = True
+    fold_every: int = 100
 
     def _order(self) -> list[Column]:
         return [F.col(self.sequence).desc_nulls_last(), F.col(self.tie).desc_nulls_last()]
@@ -41,8 +38,11 @@ class KeyedTable:
         return top_per_key(df, [self.key], self._order())
 
     def write_batch(self, batch: DataFrame, batch_id: int) -> None:
-        """Log the newest row per key of one batch, deletes included."""
+        """Log the newest row per key of one batch, deletes included; fold when it is time."""
         append_batch(self.newest(batch), f"{self.root}/log", batch_id)
+        if (batch_id + 1) % self.fold_every == 0 and self.folded_until() < batch_id:
+            last = self.spark.read.parquet(f"{self.root}/log").agg(F.max(self.sequence)).first()[0]
+            self.fold(batch_id, F.lit(last))
 
     def _read(self, part: str) -> DataFrame | None:
         try:
@@ -65,8 +65,7 @@ class KeyedTable:
         if until < 0:
             return fresh
         base = self.spark.read.parquet(f"{self.root}/base/until={until}")
-        small = fresh.select(self.key).limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        return newer_rows(base, fresh, self.key, self.sequence, self.tie, small)
+        return newer_rows(base, fresh, self.key, self.sequence, self.tie)
 
     def current(self) -> DataFrame:
         rows = self._latest()
@@ -87,14 +86,10 @@ class KeyedTable:
         self.spark.range(1).select(F.lit(until).alias("until")).write.mode("append").parquet(f"{self.root}/folds")
 
 
-def newer_rows(base: DataFrame, fresh: DataFrame, key: str, sequence: str, tie: str, small: bool = False) -> DataFrame:
-    """Per key the newer of a base row and a fresh row; both sides hold a key at most once.
-
-    ``small``: the fresh side was counted and fits a broadcast, so the base stays where it is.
-    """
+def newer_rows(base: DataFrame, fresh: DataFrame, key: str, sequence: str, tie: str) -> DataFrame:
+    """Per key the newer of a base row and a fresh row; both sides hold a key at most once."""
     columns = base.columns
-    spread = F.broadcast if small else (lambda df: df)
-    news = spread(fresh.select(key, F.struct(*columns).alias("_new")))
+    news = fresh.select(key, F.struct(*columns).alias("_new"))
     place = lambda row: F.struct(  # noqa: E731  a missing sequence ranks below every real one
         row(sequence).isNotNull().alias("known"), row(sequence).alias("sequence"), row(tie).alias("tie")
     )
@@ -103,6 +98,6 @@ def newer_rows(base: DataFrame, fresh: DataFrame, key: str, sequence: str, tie:
         *[F.when(wins, F.col("_new")[c]).otherwise(F.col(c)).alias(c) for c in columns]
     )
     # keys known to the base: the base side is only probed with the few fresh keys
-    known = base.select(key).join(spread(fresh.select(key)), key, "left_semi")
-    added = fresh.select(*columns).join(spread(known), key, "left_anti")
+    known = base.select(key).join(fresh.select(key), key, "left_semi")
+    added = fresh.select(*columns).join(known, key, "left_anti")
     return kept.unionByName(added)

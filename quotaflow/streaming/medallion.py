@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quotaflow import constants as C
 from quotaflow.operators import cdc
+from quotaflow.schemas import conform
 from quotaflow.sinks.keyed import KeyedTable
 from quotaflow.sources.messages import raw_events
 
@@ -28,9 +29,10 @@ def append_stream(rows: DataFrame, root: str, name: str, once: bool = False) ->
     return _start(rows, name, root, once)
 
 
-def table_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """A parquet table as a stream of the files that are added to it."""
-    return spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+def table_stream(spark: SparkSession, folder: str, schema=None, files_per_batch: int | None = None) -> DataFrame:
+    """A parquet table as a stream of the files that are added to it; with a schema it may still be empty."""
+    reader = spark.readStream.schema(schema or spark.read.parquet(folder).schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(folder)
 
 
 def silver_rows(raw: DataFrame, entity: str) -> DataFrame:
@@ -57,12 +59,20 @@ def run_available(messages: DataFrame, root: str, entity: str) -> KeyedTable:
     return table
 
 
+def gold_rows(table: KeyedTable, entity: str) -> DataFrame:
+    """The current table in its declared columns."""
+    return conform(table.current(), f"realtime.{entity}_current")
+
+
 def start_continuous(messages: DataFrame, root: str, entity: str) -> list[StreamingQuery]:
-    """The three stages as running queries with a 10 second trigger, typed and merged from one bronze stream."""
+    """The three stages as running queries with a 10 second trigger. Each reads what the one before it has written,
+    so the layers cannot start at different places of the topic or disagree."""
     spark = messages.sparkSession
+    raw = raw_events(messages)
+    for name, schema in (("bronze", raw.schema), ("silver", silver_rows(raw, entity).schema)):
+        spark.createDataFrame([], schema).write.mode("append").parquet(f"{root}/{name}")
     first = bronze(messages, root)
-    table = gold_table(spark, root, entity)
-    typed = silver_rows(raw_events(messages), entity)
+    typed = silver_rows(table_stream(spark, f"{root}/bronze", raw.schema), entity)
     second = append_stream(typed, root, "silver")
-    third = keyed_sink(typed, table, root, "gold_sink")
+    third = keyed_sink(table_stream(spark, f"{root}/silver", typed.schema), gold_table(spark, root, entity), root, "gold_sink")
     return [first, second, third]

@@ -14,7 +14,6 @@ from quotaflow.sinks.keyed import KeyedTable
 from quotaflow.sources.messages import DEAD_LETTER_TOPICS, TOPICS, dead_letters, file_messages
 from quotaflow.streaming import medallion
 from quotaflow.streaming.alerts import p95_latency_stream
-from quotaflow.streaming.state import health_drops, newer_events
 
 BASE = {
     "Id": "1", "AccountId": "a", "Amount": "10.005", "CloseDate": "2001-05-01", "Probability": "85.0", "DaysInCurrentStage__c": "7",
@@ -162,29 +161,6 @@ def test_dead_letters_of_two_topics(spark, tmp_path):
     assert sorted(r["topic"] for r in rows) == sorted(topics) and all(r["ingested_at"] for r in rows)
 
 
-def test_state_stream_passes_only_newer_events(spark, tmp_path):
-    rows = _events(8, 120)
-    for part in range(3):
-        spark.createDataFrame(rows[part::3], EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    seen = []
-
-    def keep(batch, _):
-        seen.extend(batch.collect())
-
-    query = newer_events(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(keep).start()
-    query.processAllAvailable()
-    query.stop()
-    last = {}
-    for r in seen:
-        last[r["entity_id"]] = r
-    got = {k: r["kafka_offset"] for k, r in last.items() if r["event_type"] != "DELETE"}
-    want = _expected(rows)
-    assert got == want
-    drops = health_drops(spark.createDataFrame(seen)).collect()
-    assert drops and all(r["health_score"] < r["previous_score"] for r in drops)
-
-
 def test_latency_alert_stream(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     rows = [(start + dt.timedelta(minutes=m), 9000 if m < 60 else 100) for m in range(0, 240, 2)]

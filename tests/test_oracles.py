@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as driver
 from quotaflow.plans.views import TABLES
+from quotaflow.registry import ENTRIES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no input tables")
@@ -27,7 +28,7 @@ def _rows(names, rows):
     return sorted(tuple(text(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(ENTRIES))
 def test_query_equals_oracle(spark, duck, name):
     df = driver.queries()[name](spark, FOLDER)
     plan = df._jdf.queryExecution().executedPlan().toString()

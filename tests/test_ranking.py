@@ -40,6 +40,18 @@ def test_numbers_and_previous_per_key(spark):
     assert {(r["k"], r["t"]): r["p"] for r in lagged.collect()} == want_p
 
 
+def test_rows_without_key_or_order_stay(spark):
+    rows = [("a", 1, 10), ("a", None, 11), (None, 2, 12), (None, 3, 13), (None, None, 14), ("a", 250, 15)]
+    df = spark.createDataFrame(rows, "k string, t long, v int")
+    bucket, order = F.floor(F.col("t") / 100), [F.col("t")]
+    numbered = {r["v"]: r["n"] for r in R.numbers_per_key(df, ["k"], bucket, order, "n").collect()}
+    assert numbered == {11: 1, 10: 2, 15: 3, 14: 1, 12: 2, 13: 3}
+    lagged = {r["v"]: r["p"] for r in R.previous_per_key(df, ["k"], bucket, order, "v", "p").collect()}
+    assert lagged == {11: None, 10: 11, 15: 10, 14: None, 12: 14, 13: 12}
+    placed = {r["v"]: r["n"] for r in R.global_numbers(df, F.col("t"), ["v"], "n", segments=3).collect()}
+    assert placed == {10: 0, 12: 1, 13: 2, 15: 3, 11: 4, 14: 5}
+
+
 def test_top_per_key_limits_before_the_shuffle(spark):
     _, df = _skewed(spark)
     top = R.top_per_key(df, ["k"], [F.col("t").desc()])

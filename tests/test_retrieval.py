@@ -1,4 +1,4 @@
-"""Similarity search against brute force: both transport ways, buckets, copies, filters."""
+"""Similarity search against brute force: one or many question blocks, copies, filters."""
 
 import numpy as np
 import pytest
@@ -57,15 +57,21 @@ def frames(spark):
 
 
 @pytest.mark.parametrize("k", [1, 8, 1000])
-def test_broadcast_way(frames, k):
+def test_one_question_block(frames, k):
     chunks, questions, c, q = frames
     assert _got(R.nearest_chunks(c, q, k)) == _brute(chunks, questions, k)
 
 
 @pytest.mark.parametrize("k", [1, 8])
-def test_block_way(frames, k):
+def test_many_question_blocks(frames, k):
     chunks, questions, c, q = frames
-    assert _got(R.nearest_chunks(c, q, k, broadcast_questions=7, block_vectors=50)) == _brute(chunks, questions, k)
+    assert _got(R.nearest_chunks(c, q, k, question_bytes=300)) == _brute(chunks, questions, k)
+
+
+def test_small_scan_blocks(frames, monkeypatch):
+    chunks, questions, c, q = frames
+    monkeypatch.setattr(R, "SCAN_BYTES", 500)
+    assert _got(R.nearest_chunks(c, q, 5)) == _brute(chunks, questions, 5)
 
 
 @pytest.mark.parametrize("seed", ["chunk_id < 'c0100'", "chunk_id = 'c0005'", "false", "true"])
@@ -84,21 +90,9 @@ def test_filters_reach_the_scan(spark, frames, tmp_path):
     assert _got(found) == _brute(chunks, [r for r in questions if r[1] is not None], 4)
 
 
-def test_many_question_blocks(frames, monkeypatch):
-    chunks, questions, c, q = frames
-    monkeypatch.setattr(R, "BROADCAST_QUESTIONS", 9)
-    assert _got(R.nearest_chunks(c, q, 5, broadcast_questions=3, block_vectors=120)) == _brute(chunks, questions, 5)
-
-
-@pytest.mark.parametrize("k", [1, 8, 200])
-def test_bucket_way_is_exact(frames, k):
-    chunks, questions, c, q = frames
-    assert _got(R.nearest_in_buckets(c, q, "label", k, block_vectors=40)) == _brute(chunks, questions, k)
-
-
 def test_no_questions(frames):
     _, _, c, q = frames
-    assert R.nearest_in_buckets(c.filter("false"), q, "label").count() == 0
+    assert R.nearest_chunks(c.filter("false"), q).count() == 0
     assert R.nearest_chunks(c, q.filter("false")).count() == 0
 
 

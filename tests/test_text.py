@@ -22,22 +22,20 @@ def mapped(spark, texts, function):
 
 
 ROUTES = [
-    ("What is our total pipeline for Q2?", "PIPELINE", "PIPELINE"),
-    ("Which deals are stuck in Negotiation?", "PIPELINE", "PIPELINE"),
-    ("Show me the forecast vs quota attainment", "PIPELINE", "PIPELINE"),
-    ("What is our win rate this quarter?", "PIPELINE", "PIPELINE"),
-    ("Which opportunities will miss their close date?", "PIPELINE", "PIPELINE"),
-    ("What is the ACV of deals closing this month?", "PIPELINE", "PIPELINE"),
-    ("Which accounts are at risk of churning?", "CUSTOMER", "CUSTOMER"),
-    ("What is our current NRR?", "CUSTOMER", "CUSTOMER"),
+    ("Sum the pipeline of the northern team", "PIPELINE", "PIPELINE"),
+    ("Move deals out of stage two", "PIPELINE", "PIPELINE"),
+    ("Is the forecast below quota?", "PIPELINE", "PIPELINE"),
+    ("Chart our win rate by month", "PIPELINE", "PIPELINE"),
+    ("Book ACV for May", "PIPELINE", "PIPELINE"),
+    ("Draft a note on churn", "CUSTOMER", "CUSTOMER"),
+    ("NRR since January", "CUSTOMER", "CUSTOMER"),
     # the whole-word rule does not know the plural; the stem rule does
-    ("Show contracts expiring in 90 days", None, "CUSTOMER"),
-    ("Which accounts have low health scores?", "CUSTOMER", "CUSTOMER"),
-    ("What are the renewal terms for Acme Corp?", "CUSTOMER", "CUSTOMER"),
-    ("Show me expansion opportunities for existing customers", "CUSTOMER", "CUSTOMER"),
-    ("Give me a summary of everything", None, None),
-    ("What should I focus on today?", None, None),
-    ("Which deals keep slipping?", None, "PIPELINE"),
+    ("Print all contracts", None, "CUSTOMER"),
+    ("Sort by health", "CUSTOMER", "CUSTOMER"),
+    ("Renewal dates for Initech", "CUSTOMER", "CUSTOMER"),
+    ("Sum it all up", None, None),
+    ("Plan my Friday", None, None),
+    ("Which deals slipped twice?", None, "PIPELINE"),
     ("pipeline and churn", None, None),
     ("éstage", None, None),  # a letter of any script continues the word
     (None, None, None),
@@ -76,13 +74,13 @@ def test_account_candidate(spark):
 
 
 SAFE = [
-    "SELECT * FROM metrics.arr", "SELECT account_id, arr FROM metrics.arr WHERE segment = 'Enterprise'",
-    "SELECT COUNT(*) FROM deals WHERE stage = 'Negotiation'", "WITH cte AS (SELECT * FROM f) SELECT * FROM cte",
-    "SELECT updated_at FROM t", "GRANT ALL ON t TO r",
+    "SELECT owner_id FROM quota_plan", "select max(arr), min(arr) from yearly", "SELECT a.x FROM a JOIN b ON a.id = b.id",
+    "WITH big AS (SELECT x FROM y WHERE x > 9) SELECT sum(x) FROM big", "SELECT last_updated FROM notes", "GRANT SELECT ON notes TO guest",
 ]
 UNSAFE = [
-    "DELETE FROM t", "DROP TABLE t", "UPDATE t SET a = 0", "TRUNCATE TABLE t", "INSERT INTO t VALUES (1)", "ALTER TABLE t ADD COLUMN a INT",
-    "SELECT 1; delete from t --", "SELECT REPLACE(a,'x','y') FROM t", "SELECT 'delete'", "create table t", "MERGE INTO t",
+    "delete from notes where id = 4", "Drop view yearly", "update notes set txt = ''", "truncate notes", "insert into notes select 1",
+    "alter table notes rename to n", "SELECT 2; drop table notes", "SELECT replace(txt, 'a', 'b') FROM notes", "SELECT 'insert' AS word",
+    "CREATE VIEW v AS SELECT 1", "merge into notes using n on true",
 ]
 
 
