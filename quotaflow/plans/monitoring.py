@@ -12,6 +12,9 @@ from quotaflow.functions.scores import token_cost, with_verdict
 from quotaflow.functions.text import first_chars, has_any
 
 
+DAY = "ts_day"  # partition column of stored monitoring tables
+
+
 def valid_requests(df: DataFrame, query: str = "query") -> DataFrame:
     """Adds ``valid``: question length 1..2000."""
     n = F.length(query)
@@ -24,13 +27,20 @@ def valid_ratings(df: DataFrame) -> DataFrame:
 
 def feedback_review(feedback: DataFrame, traces: DataFrame, as_of: dt.datetime, days: int = 7) -> DataFrame:
     """Thumbs-down answers of the last days, worst groundedness first."""
-    down = feedback.filter((F.col("rating") == C.RATING_DOWN) & (F.col("ts") > _before(as_of, days=days)))
+    down = _since(feedback, as_of, days=days).filter(F.col("rating") == C.RATING_DOWN)
     down = down.select("trace_id", "comment", F.col("ts").alias("feedback_ts"))
     shown = ["trace_id", "query", "response", "agent_type", "groundedness_score", "confidence_score", "generated_sql"]
     kept = traces.select(*[c for c in shown if c in traces.columns])
     return down.join(kept, "trace_id").orderBy("groundedness_score", "trace_id")
 
 
+def _since(df: DataFrame, as_of: dt.datetime, **span: int) -> DataFrame:
+    """Rows of the last hours or days; of a table that is partitioned by day, only those days are read."""
+    start = as_of - dt.timedelta(**span)
+    days = df.filter(F.col(DAY) >= F.lit(start.date())) if DAY in df.columns else df
+    return days.filter(F.col("ts") > _before(as_of, **span))
+
+
 def _before(as_of: dt.datetime, **span: int) -> Column:
     return F.lit((as_of - dt.timedelta(**span)).isoformat(sep=" ")).cast("timestamp_ntz")
 
@@ -49,13 +59,13 @@ def claim_rows(verdict_rows: DataFrame) -> DataFrame:
 
 
 def recent_claims(claims: DataFrame, as_of: dt.datetime, hours: int = 24) -> DataFrame:
-    return claims.filter(F.col("ts") > _before(as_of, hours=hours)).orderBy(F.col("ts").desc(), "trace_id")
+    return _since(claims, as_of, hours=hours).drop(DAY).orderBy(F.col("ts").desc(), "trace_id")
 
 
 def slow_calls(traces: DataFrame, as_of: dt.datetime, hours: int = 1, n: int = 20) -> DataFrame:
-    slow = (F.col("ts") > _before(as_of, hours=hours)) & (F.col("total_latency_ms") > C.ALERT_P95_MS)
     return (
-        traces.filter(slow)
+        _since(traces, as_of, hours=hours)
+        .filter(F.col("total_latency_ms") > C.ALERT_P95_MS)
         .select("agent_type", "query", "trace_id", "total_latency_ms")
         .orderBy(F.col("total_latency_ms").desc(), "trace_id")
         .limit(n)
@@ -104,7 +114,7 @@ def ops_snapshot(traces: DataFrame, feedback: DataFrame, keys: list[str], as_of:
 
     Ratings are summed per trace first, so the join adds no rows and one grouped pass gives all figures.
     """
-    calls = traces.filter(F.col("ts") > _before(as_of, hours=hours)) if as_of else traces
+    calls = _since(traces, as_of, hours=hours) if as_of else traces
     given = feedback.join(calls.select("trace_id"), "trace_id", "left_semi") if as_of else feedback
     rated = given.groupBy("trace_id").agg(
         F.count_if(F.col("rating") == C.RATING_UP).alias("_up"), F.count(F.lit(1)).alias("_rated")

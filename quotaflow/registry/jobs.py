@@ -6,10 +6,13 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from quotaflow import constants as C
 from quotaflow.functions.scores import job_band
 from quotaflow.plans import jobs as J
 from quotaflow.plans.views import Inputs
 from quotaflow.registry.common import Entry, oracle
+from quotaflow.session import run_folder
+from quotaflow.sinks.tables import write_csv
 from quotaflow.sources.documents import parse_search_responses
 
 DAY = dt.date(2024, 1, 31)
@@ -20,7 +23,7 @@ JOBS = ["job_results"]
 
 
 def response_texts(i: Inputs):
-    """Search responses as JSON texts, ten results each, as a search service returns them."""
+    """Search responses as files of JSON lines, ten results each, as a search service returns them."""
     options = F.when(F.col("link") != "", F.array(F.struct(F.col("link").alias("link"))))
     highlights = F.array(F.struct(F.lit("Benefits").alias("title"), F.array("location", "posted").alias("items")))
     found = F.when(F.col("pos") % 6 == 0, "90K a year")
@@ -33,7 +36,9 @@ def response_texts(i: Inputs):
     response = F.struct(
         F.concat(F.lit("query "), F.col("query_idx").cast("string")).alias("search_query"), "query_idx", "response_no", F.transform("x", lambda x: x["item"]).alias("jobs_results")
     )
-    return grouped.select(F.to_json(response).alias("value"))
+    path = f"{run_folder(i.spark, 'responses')}/responses"
+    grouped.select(F.to_json(response).alias("value")).write.text(path)
+    return i.spark.read.text(path)
 
 
 def _items(i: Inputs):
@@ -185,11 +190,15 @@ ENTRIES: dict[str, Entry] = {
         ),
     ),
     "job_csv": Entry(
-        lambda i: _csv(J.matches(_scored(i))), oracle(JOBS, f"SELECT pos, {_csv_sql()} AS line FROM matched", _SCORED)
+        lambda i: _csv(J.matches(_scored(i)), ["pos"]), oracle(JOBS, f"SELECT {_csv_sql()} AS line FROM matched", _SCORED)
     ),
-    "sink_csv": Entry(lambda i: _csv(_scored(i)), oracle(JOBS, f"SELECT pos, {_csv_sql()} AS line FROM scored", _SCORED)),
+    "sink_csv": Entry(lambda i: _csv(_scored(i)), oracle(JOBS, f"SELECT {_csv_sql()} AS line FROM scored", _SCORED)),
 }
 
 
-def _csv(rows):
-    return rows.select("pos", J.csv_line(rows).alias("line"))
+def _csv(rows, order=None):
+    """The rows as CSV files, read back as lines; every file starts with the header."""
+    path = f"{run_folder(rows.sparkSession, 'csv')}/csv"
+    write_csv(rows, path, order=order)
+    lines = rows.sparkSession.read.text(path).withColumnRenamed("value", "line")
+    return lines.filter(F.replace("line", F.lit('"'), F.lit("")) != ",".join(C.JOB_CSV_COLUMNS))

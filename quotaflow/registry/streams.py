@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quotaflow.operators.documents import identify
 from quotaflow.plans import monitoring as M
 from quotaflow.plans.views import Inputs
-from quotaflow.registry.common import Entry, oracle
+from quotaflow.registry.common import AS_OF_DATE, Entry, oracle
 from quotaflow.registry.documents import CHUNK_CTE, CHUNK_ID
+from quotaflow.registry.monitoring import _CHECKS, _RUNS, _VERDICT
 from quotaflow.registry.tables import PARSE_CTE, VALID_TYPE, SCD1_CTE
 from quotaflow.schemas import TABLES, conform
 from quotaflow.session import run_folder
+from quotaflow.sinks import batches
 from quotaflow.sinks.keyed import KeyedTable
 from quotaflow.sinks.tables import append, overwrite_partitions
 from quotaflow.sources.messages import DEAD_LETTER_TOPICS, TOPICS, dead_letters
 from quotaflow.streaming import documents as doc_stream
 from quotaflow.streaming import medallion
 
+EARLIER = dt.date(2001, 4, 1)
 _BRONZE = "SELECT raw_json, kafka_offset, kafka_partition, kafka_ts FROM {0}_raw"
 _DLQ = "CASE WHEN kafka_partition < 3 THEN 'dlq.opportunity' ELSE 'dlq.account' END"
 TRACE_COLUMNS = ["trace_id", "session_id", "agent_type", "query", "total_latency_ms", "confidence_score", "input_tokens", "output_tokens", "estimated_cost_usd", "model", "ts"]
@@ -90,10 +96,6 @@ def _appended(i: Inputs) -> DataFrame:
     return i.spark.read.parquet(path).select(*TRACE_COLUMNS).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-def _conformed(i: Inputs) -> DataFrame:
-    return conform(_traces(i), "monitoring.agent_traces").select(*TRACE_COLUMNS).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-
-
 def _replaced(i: Inputs) -> DataFrame:
     """Retention snapshots written by day, then one month's days written again with other values."""
     path = f"{run_folder(i.spark, 'nrr')}/nrr"
@@ -103,6 +105,86 @@ def _replaced(i: Inputs) -> DataFrame:
     return i.spark.read.parquet(path).select("period_date", "segment", "nrr_pct", "churn_pct", F.col("snapshot_date").cast("date").alias("snapshot_date"))
 
 
+def _synced(i: Inputs) -> DataFrame:
+    """Two runs of the metric sync over all sources, the second with other values for one segment; all five tables read back."""
+    root = run_folder(i.spark, "metrics")
+    sources = {"arr": i.arr_source, "acv": i.acv_source, "health": i.health, "forecast": i.forecast_snapshots.drop("snapshot_date"), "nrr": i.nrr_source}
+    raised = F.when(F.col("segment") == "Enterprise", F.col("arr") + 100).otherwise(F.col("arr")).cast("decimal(18,2)")
+    batches.sync_metrics(sources, root, EARLIER, 1)
+    batches.sync_metrics({**sources, "arr": i.arr_source.withColumn("arr", raised)}, root, AS_OF_DATE, 2)
+    read = {name: batches.metric_table(i.spark, root, name).current() for name in batches.METRIC_KEYS}
+    read |= {name: i.spark.read.parquet(f"{root}/{name}") for name in ("forecast", "nrr")}
+    value = {"arr": "arr", "acv": "acv", "health": "health_score", "forecast": "closed_won", "nrr": "nrr_pct"}
+    key = {name: [column] for name, column in batches.METRIC_KEYS.items()} | {"forecast": ["period", "segment", "owner_id"], "nrr": ["period", "segment"]}
+    rows = None
+    for name, df in read.items():
+        day = F.col("snapshot_date").cast("date") if name != "acv" else F.lit(None).cast("date")
+        part = df.select(F.lit(name).alias("table_name"), F.concat_ws("|", *key[name]).alias("id"), day.alias("day"), F.col(value[name]).cast("double").alias("value"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def _monitored(i: Inputs) -> DataFrame:
+    """Traces with their verdicts, claims, ratings and eval runs written by the monitoring writers and read back."""
+    root = run_folder(i.spark, "monitoring")
+    batches.record_answers(i.agent_traces.drop("groundedness_score"), i.judge_outputs.drop("query"), root, "1.0", "m")
+    batches.record_feedback(i.user_feedback.withColumn("rating", F.col("rating") + (F.length("comment") % 3).cast("int") - 1), root)
+    batches.record_eval(M.eval_checks(i.eval_results.withColumn("forbidden", F.array("forbidden"))), root, "1.0")
+    columns = {
+        "agent_traces": ("trace_id", F.col("groundedness_score")),
+        "groundedness_issues": ("unsupported_claim", F.lit(1.0)),
+        "user_feedback": ("trace_id", F.col("rating").cast("double")),
+        "eval_runs": ("run_id", F.col("pass_rate")),
+    }
+    rows = None
+    for name, (key, value) in columns.items():
+        part = i.spark.read.parquet(f"{root}/{name}").select(F.lit(name).alias("table_name"), F.col(key).alias("id"), value.alias("value"), (F.col(M.DAY) == F.to_date("ts")).alias("day_matches"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def _all_tables(i: Inputs) -> DataFrame:
+    """Whole inputs written through the schema of each of the 14 tables; rows and columns found on reading back."""
+    root = run_folder(i.spark, "tables")
+    documents = identify(i.source_documents)
+    rows = {
+        "realtime.opportunity_current": i.opportunity_current, "realtime.account_current": i.account_current,
+        "metrics.arr": i.arr_source, "metrics.acv": i.acv_source, "metrics.health": i.health, "metrics.forecast": i.forecast_snapshots,
+        "metrics.nrr": i.nrr_source.withColumn("period", F.col("period_date").cast("string")),
+        "documents.metadata": documents, "documents.chunks": documents.withColumn("chunk_id", F.col("file_hash")),
+        "monitoring.agent_traces": i.agent_traces, "monitoring.user_feedback": i.user_feedback, "monitoring.groundedness_issues": i.judge_outputs,
+        "monitoring.eval_runs": i.eval_results.withColumn("ts", F.lit(None).cast("timestamp")), "monitoring.sql_log": i.agent_traces.withColumn("generated_sql", F.lit("SELECT 1")),
+    }
+    found = None
+    for name, df in rows.items():
+        append(df, name, f"{root}/{name}")
+        back = i.spark.read.parquet(f"{root}/{name}").drop(M.DAY)
+        part = back.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows", F.lit(",".join(back.columns)).alias("columns"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+_ALL_TABLES = {
+    "realtime.opportunity_current": "opportunity_current", "realtime.account_current": "account_current", "metrics.arr": "arr_source", "metrics.acv": "acv_source",
+    "metrics.health": "health", "metrics.forecast": "forecast_snapshots", "metrics.nrr": "nrr_source", "documents.metadata": "source_documents",
+    "documents.chunks": "source_documents", "monitoring.agent_traces": "agent_traces", "monitoring.user_feedback": "user_feedback",
+    "monitoring.groundedness_issues": "judge_outputs", "monitoring.eval_runs": "eval_results", "monitoring.sql_log": "agent_traces",
+}
+_ALL_TABLES_SQL = " UNION ALL ".join(f"SELECT '{name}' AS table_name, count(*) AS rows, '{','.join(TABLES[name].names)}' AS columns FROM {view}" for name, view in _ALL_TABLES.items())
+_DAYS = [f"DATE '{EARLIER}'", f"DATE '{AS_OF_DATE}'"]
+_SYNCED_SQL = (
+    f"SELECT 'arr' AS table_name, account_id AS id, {_DAYS[1]} AS day, CAST(CASE WHEN segment = 'Enterprise' THEN arr + 100 ELSE arr END AS DOUBLE) AS value FROM arr_source WHERE arr IS NOT NULL "
+    "UNION ALL SELECT 'acv', opportunity_id, CAST(NULL AS DATE), CAST(acv AS DOUBLE) FROM acv_source WHERE acv IS NOT NULL "
+    f"UNION ALL SELECT 'health', account_id, {_DAYS[1]}, CAST(health_score AS DOUBLE) FROM health "
+    f"UNION ALL SELECT 'forecast', concat_ws('|', period, segment, owner_id), unnest([{', '.join(_DAYS)}]), CAST(closed_won AS DOUBLE) FROM forecast_snapshots "
+    + "".join(f"UNION ALL SELECT 'nrr', concat_ws('|', CAST(period_date AS VARCHAR), segment), {day}, nrr_pct FROM nrr_source WHERE period_date >= CAST({day} - INTERVAL 24 MONTH AS DATE) " for day in _DAYS)
+)
+_MONITORED_SQL = (
+    "SELECT 'agent_traces' AS table_name, t.trace_id AS id, coalesce(v.score, 0.0) AS value, true AS day_matches FROM agent_traces t LEFT JOIN verdicts v ON v.trace_id = t.trace_id "
+    "UNION ALL SELECT 'groundedness_issues', unnest(unsupported_claims), 1.0, true FROM verdicts "
+    "UNION ALL SELECT 'user_feedback', trace_id, CAST(r AS DOUBLE), true FROM (SELECT trace_id, rating + length(comment) % 3 - 1 AS r FROM user_feedback) WHERE r BETWEEN 1 AND 2 "
+    "UNION ALL SELECT 'eval_runs', run_id, round(CASE WHEN passed + failed > 0 THEN CAST(passed AS DOUBLE) / (passed + failed) ELSE 0.0 END, 4), true FROM runs"
+)
 _GOLD = {entity: ", ".join(TABLES[f"realtime.{entity}_current"].names) for entity in ("opportunity", "account")}
 _TRACE_SQL = (
     "SELECT trace_id, session_id, agent_type, query, total_latency_ms, confidence_score, input_tokens, output_tokens, "
@@ -139,7 +221,11 @@ ENTRIES: dict[str, Entry] = {
         oracle(["cdc_events"], "SELECT entity_id, event_type, amount, updated_at, kafka_offset FROM latest WHERE event_type <> 'DELETE'", SCD1_CTE),
     ),
     "sink_append": Entry(_appended, oracle(["agent_traces"], _TRACE_SQL)),
-    "ddl_tables": Entry(_conformed, oracle(["agent_traces"], _TRACE_SQL)),
+    "ddl_tables": Entry(_all_tables, oracle(sorted(set(_ALL_TABLES.values())), _ALL_TABLES_SQL)),
+    "sync_metrics_tables": Entry(_synced, oracle(["arr_source", "acv_source", "health", "forecast_snapshots", "nrr_source"], _SYNCED_SQL)),
+    "monitoring_tables": Entry(
+        _monitored, oracle(["agent_traces", "judge_outputs", "user_feedback", "eval_results"], _MONITORED_SQL, f"{_VERDICT}, {_CHECKS}, {_RUNS}")
+    ),
     "sink_replace_partitions": Entry(
         _replaced,
         oracle(

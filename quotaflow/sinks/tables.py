@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quotaflow import constants as C
 from quotaflow.plans.jobs import csv_fields
+from quotaflow.plans.monitoring import DAY
 from quotaflow.schemas import conform
 
 
 def append(df: DataFrame, table: str, path: str, fmt: str = "parquet") -> None:
-    """Append rows in the table's registered schema."""
-    conform(df, table).write.format(fmt).mode("append").save(path)
+    """Append rows in the table's registered schema; monitoring tables are partitioned by the day of ``ts``."""
+    rows = conform(df, table)
+    if table.startswith("monitoring."):
+        rows.withColumn(DAY, F.to_date("ts")).write.format(fmt).mode("append").partitionBy(DAY).save(path)
+    else:
+        rows.write.format(fmt).mode("append").save(path)
 
 
 def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
