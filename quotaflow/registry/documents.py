@@ -29,7 +29,7 @@ TOKENS = (
 CHUNK_CTE = f"{IDENTITY}, {FIRST}, {TOKENS}"
 CHUNK_ID = "sha256(concat_ws('|', doc_id, CAST(source_page AS VARCHAR), CAST(chunk_index AS VARCHAR)))"
 SEARCH_CHUNKS_CTE = (
-    "search_chunks AS (SELECT c.*, sha256(concat_ws('|', c.doc_id, CAST(c.source_page AS VARCHAR), CAST(c.chunk_index AS VARCHAR))) AS chunk_id, a.c_name AS account_name, e.embedding, e.label "
+    "search_chunks AS (SELECT c.*, sha256(concat_ws('|', c.doc_id, CAST(c.source_page AS VARCHAR), CAST(c.chunk_index AS VARCHAR))) AS chunk_id, a.c_name AS account_name, e.embedding, e.label, nullif(regexp_extract(split_part(f.file_path, '/', 7), '(?i)(OPP[-_]\\w+)', 1), '') AS opportunity_id "
     "FROM chunks c JOIN firsts f USING (doc_id) LEFT JOIN embeddings e ON e.vec_id = (f.source_id + c.chunk_index) % (SELECT count(*) FROM embeddings) LEFT JOIN customer a ON CAST(a.c_custkey AS VARCHAR) = c.account_id WHERE c.token_count >= 20)"
 )
 _TOPK = (
@@ -57,7 +57,12 @@ def _known(i: Inputs):
 def document_chunks(i: Inputs):
     first = D.distinct_documents(_identified(i))
     described = D.path_metadata(first.select("doc_id", "source_id", "file_path", "content"))
-    return D.chunk_rows_of(D.page_rows(described.select("doc_id", "source_id", "doc_type", "account_id", "content")))
+    return D.chunk_rows_of(D.page_rows(described.select("doc_id", "source_id", "doc_type", "account_id", "opportunity_id", "content")))
+
+
+def _lines_as_pages(i: Inputs):
+    """Every line of a document as a page of its own."""
+    return D.page_rows(i.source_documents.select("source_id", F.replace("content", F.lit("\n"), F.lit("\f")).alias("content")))
 
 
 def searchable_chunks(i: Inputs):
@@ -72,7 +77,8 @@ def searchable_chunks(i: Inputs):
 def _search(i: Inputs):
     chunks = searchable_chunks(i)
     found = R.nearest_chunks(chunks, i.search_requests)
-    described = found.join(chunks.select("chunk_id", "doc_type", "account_name", "source_page", "content"), "chunk_id")
+    shown = ["chunk_id", "doc_id", "doc_type", "account_name", "opportunity_id", "source_page", "content"]
+    described = found.join(chunks.select(*shown, F.lit(None).cast("date").alias("doc_date")), "chunk_id")  # no file tells its date
     asked = i.search_requests.select("query_id", F.col("account_name").alias("wanted_account"))
     return R.keep_account(described.join(asked, "query_id"))
 
@@ -138,6 +144,18 @@ ENTRIES: dict[str, Entry] = {
         lambda i: D.page_rows(i.pages.select("page_id", D.plain_text(F.col("html")).alias("content"))),
         f"WITH {_PLAIN} SELECT page_id, CAST(1 AS INTEGER) AS page, page_text FROM plain WHERE regexp_matches(page_text, '\\S')",
     ),
+    "doc_pages_breaks": Entry(
+        _lines_as_pages,
+        oracle(DOCS, "SELECT source_id, CAST(i AS INTEGER) AS page, t[i] AS page_text FROM (SELECT source_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT source_id, string_split(content, chr(10)) AS t FROM source_documents)) WHERE regexp_matches(t[i], '\\S')"),
+    ),
+    "doc_chunk_pages": Entry(
+        lambda i: D.chunk_rows_of(_lines_as_pages(i)).select("source_id", "source_page", "chunk_index", F.sha2("content", 256).alias("content_hash"), "token_count"),
+        oracle(
+            DOCS,
+            "SELECT source_id, CAST(i AS INTEGER) AS source_page, CAST(w AS INTEGER) AS chunk_index, sha256(trim(array_to_string(k[w * 462 + 1 : w * 462 + 512], ''), chr(10) || chr(9) || chr(13) || ' ')) AS content_hash, CAST(least(512, len(k) - w * 462) AS INTEGER) AS token_count "
+            "FROM (SELECT source_id, i, k, unnest(range(0, CAST(ceil(len(k) / 462.0) AS BIGINT))) AS w FROM (SELECT source_id, i, regexp_extract_all(t[i], '\\s*\\S+') AS k FROM (SELECT source_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT source_id, string_split(content, chr(10)) AS t FROM source_documents))))",
+        ),
+    ),
     "doc_chunk": Entry(
         lambda i: document_chunks(i).select("doc_id", "source_page", "chunk_index", "content", "token_count"),
         oracle(DOCS, "SELECT doc_id, source_page, chunk_index, content, token_count FROM chunks", CHUNK_CTE),
@@ -172,8 +190,12 @@ ENTRIES: dict[str, Entry] = {
         ),
     ),
     "vector_search": Entry(
-        lambda i: _search(i).select("query_id", "chunk_id", "score", "rank", "doc_type", "account_name"),
-        oracle(DOCS + ["search_requests"], "SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank, doc_type, account_name FROM kept", SEARCH),
+        lambda i: _search(i).select("query_id", "chunk_id", "score", "rank", "doc_id", "doc_type", "account_name", "opportunity_id", "doc_date", "source_page", F.sha2("content", 256).alias("content_hash")),
+        oracle(
+            DOCS + ["search_requests"],
+            "SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank, doc_id, doc_type, account_name, opportunity_id, CAST(NULL AS DATE) AS doc_date, source_page, sha256(content) AS content_hash FROM kept",
+            SEARCH,
+        ),
     ),
     "context_text": Entry(
         _contexts,

@@ -124,7 +124,7 @@ ENTRIES: dict[str, Entry] = {
     ),
     "job_flatten": Entry(_items, oracle(JOBS, "SELECT * FROM items", _ITEMS)),
     "union_search_results": Entry(
-        lambda i: _items(i).groupBy("query_idx").agg(F.count(F.lit(1)).alias("items")), oracle(JOBS, "SELECT query_idx, count(*) AS items FROM items GROUP BY 1", _ITEMS)
+        lambda i: _items(i).select(*ITEM_ORDER, "title", "company", "url"), oracle(JOBS, "SELECT query_idx, response_no, item_no, title, company, url FROM items", _ITEMS)
     ),
     "apply_url": Entry(lambda i: _items(i).select(*ITEM_ORDER, "url"), oracle(JOBS, "SELECT query_idx, response_no, item_no, url FROM items", _ITEMS)),
     "highlights_text": Entry(

@@ -21,9 +21,9 @@ SLIP = (
 )
 ARR = "arr AS (SELECT * FROM arr_source WHERE arr IS NOT NULL)"
 RISK = (
-    "SELECT a.account_id, a.name AS account_name, a.health_score, a.risk_tier, a.arr, a.contract_end, a.segment, h.nps_score, h.feature_adoption, h.last_login_date "
-    "FROM account_current a LEFT JOIN health h USING (account_id) WHERE a.risk_tier IN ('Yellow', 'Red') OR a.health_score < 60 "
-    "ORDER BY a.health_score ASC NULLS FIRST, a.arr DESC, a.account_id LIMIT 25"
+    "SELECT worst.account_id, worst.name AS account_name, worst.health_score, worst.risk_tier, worst.arr, worst.contract_end, worst.segment, nps_score, feature_adoption, last_login_date "
+    "FROM (SELECT *, row_number() OVER (ORDER BY health_score NULLS FIRST, arr DESC, account_id) AS place FROM account_current WHERE health_score < 60 OR risk_tier <> 'Green') worst "
+    "LEFT JOIN health ON health.account_id = worst.account_id WHERE place <= 25"
 )
 
 
