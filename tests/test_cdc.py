@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from quotaflow.operators import cdc, merge
-from quotaflow.sinks import keyed
 from quotaflow.sinks.keyed import KeyedTable
 from quotaflow.sources.messages import DEAD_LETTER_TOPICS, TOPICS, dead_letters, file_messages
 from quotaflow.streaming import medallion
@@ -91,19 +90,19 @@ def test_current_rows(spark, deletes):
     assert {r["entity_id"]: r["kafka_offset"] for r in got.collect()} == _expected(rows, deletes)
 
 
-@pytest.mark.parametrize("seed, fold_after, small", [(1, None, 100), (2, 1, 100), (3, 2, 100), (4, 2, 0)])
-def test_keyed_table_any_arrival_order(spark, tmp_path, monkeypatch, seed, fold_after, small):
-    monkeypatch.setattr(keyed, "BROADCAST_ROWS", small)
+@pytest.mark.parametrize("seed, fold_after, fold_every", [(1, None, 100), (2, 1, 100), (3, 2, 100), (4, None, 2), (5, None, 1)])
+def test_keyed_table_any_arrival_order(spark, tmp_path, seed, fold_after, fold_every):
     rows = _events(seed)
     shuffled = rows[:]
     random.Random(seed).shuffle(shuffled)
-    table = KeyedTable(spark, str(tmp_path / "t"), "entity_id")
+    table = KeyedTable(spark, str(tmp_path / "t"), "entity_id", fold_every=fold_every)
     for batch_id in range(4):
         batch = spark.createDataFrame(shuffled[batch_id::4], EVENT)
         table.write_batch(batch, batch_id)
         table.write_batch(batch, batch_id)  # a repeated batch changes nothing
         if batch_id == fold_after:
             table.fold(batch_id, F.lit(dt.datetime(2024, 1, 2)))
+    assert table.folded_until() == (3 if fold_every < 100 else -1 if fold_after is None else fold_after)
     current = table.current().collect()
     assert {r["entity_id"]: r["kafka_offset"] for r in current} == _expected(rows)
     assert len(current) == len(_expected(rows))

@@ -85,6 +85,22 @@ def test_ingest_status(spark):
     }
 
 
+def test_known_texts_are_skipped_before_the_suffix_counts(spark):
+    rows = [("/v/a.xlsx", LONG), ("/v/b.txt", LONG + " n"), ("/v/c.xlsx", LONG + " n"), ("/v/0.xlsx", LONG + " n"), ("/v/d.xlsx", "short"), ("/v/e.txt", "short")]
+    files = spark.createDataFrame(rows, "file_path string, content string")
+    known = D.identify(files.filter("file_path = '/v/a.xlsx'")).select("doc_id")
+    status = {r["file_path"]: r["status"] for r in D.ingest_status(files, known).collect()}
+    assert status == {"/v/a.xlsx": "skipped", "/v/b.txt": "ingested", "/v/c.xlsx": "skipped", "/v/0.xlsx": "errors", "/v/d.xlsx": "errors", "/v/e.txt": "empty"}
+
+
+def test_texts_do_not_move_to_find_the_first_copies(spark):
+    files = D.identify(spark.createDataFrame(FILES, "file_path string, content string"))
+    plan = D.distinct_documents(files)._jdf.queryExecution().executedPlan().toString()
+    # the window over ids and paths is below the join; no content is sorted or shuffled for it
+    below = [line for line in plan.splitlines() if "WindowGroupLimit" in line or ("Exchange" in line and "doc_id" in line and "REPARTITION" not in line)]
+    assert below and all("content" not in line for line in below)
+
+
 def test_ingest(spark):
     files = spark.createDataFrame([f for f in FILES if f[0].endswith(("txt", "md"))], "file_path string, content string")
     chunks, metadata = D.ingest(files, spark.createDataFrame([], "doc_id string"))
