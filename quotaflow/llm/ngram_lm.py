@@ -2,13 +2,14 @@
 
 Counting. Tokens become 64-bit hashes. Each batch sums its bigrams (previous token, token) and packs them, sorted,
 into one block for each cell of a square grid over (hash of the first token, hash of the second). So a very common
-word is spread over a row of cells, and a block is one row of a few bytes for each bigram. A task merges the blocks
-of one cell, writes the cell's model file and hands on partial sums for the words: occurrences, distinct left
-neighbours (as continuation count), and for each context its total and how many of its bigrams were seen once,
-twice, or more often. The sums are added up by word and written as word files.
-
-Files. A cell is two arrays in one file, sorted hashes of its bigrams and their counts; a word file is a table
-sorted by hash. All files lie below the shared folder and are mapped by the workers, so a worker's memory holds the
+word is spread over a row of cells, and a block is one row of some ten bytes for each bigram. A task merges the
+blocks of its cells, writes their model files and hands on partial sums for the words: occurrences, distinct left
+neighbours (as continuation count), and for each context how many of its bigrams were seen once, twice, or more
+often. The sums are added up by word and written as word files. How often a context occurs needs no sum of its own:
+every token but an end is the context of the next, and the start mark occurs once for each end.
+
+Files. A cell is sorted hashes of its bigrams and their counts, one byte each, with the counts above 254 in arrays of
+their own; a word file is a table sorted by hash. All files lie below the shared folder and are mapped by the workers, so a worker's memory holds the
 pages it uses. The number of cells and word files follows the number of tokens.
 
 Scoring. A batch's distinct bigrams and words are looked up in order, then
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import math
 import os
+import zlib
 from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
@@ -41,12 +43,13 @@ from quotaflow.session import run_folder
 FOLDS, HELD_OUT = 7, 2
 CELL_TOKENS = 2_000_000  # tokens for each cell of the grid
 WORD_FILE_TOKENS = 8_000_000  # tokens for each word file
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 6 << 20
 END, START = xxhash.xxh64_intdigest(b""), xxhash.xxh64_intdigest(b" ")  # no word is empty or a blank
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
-BLOCK = np.dtype([("first", "<u8"), ("second", "<u8"), ("n", "<u4")])
-WORD = np.dtype([("word", "<u8"), ("seen", "<i8"), ("before", "<i8"), ("total", "<i8"), ("once", "<i8"), ("twice", "<i8"), ("more", "<i8")])
+WORD = np.dtype([(name, "<u8" if name == "word" else "<i8") for name in ("word", "seen", "before", "once", "twice", "more")])
+SUMS = WORD.names[1:]
+BIG = 255  # counts from here on are kept apart
 
 
 def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -95,6 +98,23 @@ def _summed(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, li
     return keys[starts], [np.add.reduceat(c[order], starts) if len(keys) else c for c in columns]
 
 
+def packed(first: np.ndarray, second: np.ndarray, n: np.ndarray) -> bytes:
+    """Bigrams as bytes: the distinct first tokens, compressed run lengths and counts, and the second tokens."""
+    order = np.argsort(first, kind="stable")
+    heads, runs = np.unique(first, return_counts=True)
+    small = [zlib.compress(a.astype("<u4").tobytes(), 1) for a in (runs, n[order])]
+    sizes = np.array([len(heads), len(first), *map(len, small)], "<u4")
+    return b"".join([sizes.tobytes(), heads.astype("<u8").tobytes(), *small, second[order].astype("<u8").tobytes()])
+
+
+def unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    heads, rows, a, b = np.frombuffer(block, "<u4", 4).tolist()
+    first, at = np.frombuffer(block, "<u8", heads, 16), 16 + 8 * heads
+    runs = np.frombuffer(zlib.decompress(block[at : at + a]), "<u4")
+    n = np.frombuffer(zlib.decompress(block[at + a : at + a + b]), "<u4")
+    return np.repeat(first, runs), np.frombuffer(block, "<u8", rows, at + a + b), n.astype(np.int64)
+
+
 def _blocks(side: int) -> Callable:
     """For each batch and cell, a packed block of summed bigrams."""
 
@@ -103,12 +123,11 @@ def _blocks(side: int) -> Callable:
             tokens, sizes = hashed(texts_of(batch))
             before = contexts(tokens, sizes)
             _, at, n = np.unique(pair_hash(before, tokens), return_index=True, return_counts=True)
-            cells = cell_of(before[at], tokens[at], side)
+            first, second = before[at], tokens[at]
+            cells = cell_of(first, second, side)
             order = np.argsort(cells, kind="stable")
-            block = np.empty(len(at), BLOCK)
-            block["first"], block["second"], block["n"] = before[at][order], tokens[at][order], n[order]
             found, starts = np.unique(cells[order], return_index=True)
-            parts = [p.tobytes() for p in np.split(block, starts[1:])]
+            parts = [packed(first[mine], second[mine], n[mine]) for mine in np.split(order, starts[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(parts, pa.binary())], ["cell", "block"])
 
     return run
@@ -124,77 +143,69 @@ def _write(path: str, *arrays: np.ndarray) -> None:
 
 
 def _cells(folder: str) -> Callable:
-    """Merges the blocks of each cell (rows come sorted by cell), writes its file, hands on sums by word and counts of counts."""
+    """Merges the blocks of each cell of this task, writes its file, hands on sums by word and the counts of counts."""
 
     def merged(cell: int, blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
-        block = np.frombuffer(b"".join(blocks), BLOCK)
-        first, second, n = block["first"], block["second"], block["n"].astype(np.int64)
+        first, second, n = (np.concatenate(c) for c in zip(*map(unpacked, blocks)))
         keys = pair_hash(first, second)
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         counts = np.add.reduceat(n[order], starts)
         keys, first, second = keys[starts], first[order][starts], second[order][starts]
-        _write(f"{folder}/cell-{cell}", keys, counts.astype("<u4"))
-        one = np.ones(len(keys), np.int64)
-        words, (seen, before) = _summed(second, [counts, one])
-        heads, sums = _summed(first, [counts, *((counts == k).astype(np.int64) for k in (1, 2)), (counts > 2).astype(np.int64)])
-        none_w, none_h = np.zeros(len(words), np.int64), np.zeros(len(heads), np.int64)
-        rows = [np.r_[words, heads].view(np.int64), np.r_[seen, none_h], np.r_[before, none_h], *(np.r_[none_w, s] for s in sums)]
-        tally = np.bincount(np.minimum(counts, 5), minlength=6)[1:5]
-        rows = [np.r_[r, t] for r, t in zip([*rows], [0, 0, 0, *tally])]  # the last row carries the counts of counts
-        is_word = np.r_[np.ones(len(words) + len(heads), bool), False]
+        big = np.flatnonzero(counts >= BIG)
+        head = np.array([len(keys), len(big)], "<u8")
+        _write(f"{folder}/cell-{cell}", head, keys, big.astype("<u8"), counts[big].astype("<u8"), np.minimum(counts, BIG).astype("<u1"))
+        words, (seen, before) = _summed(second, [counts, np.ones(len(keys), np.int64)])
+        heads, sums = _summed(first, [(counts == 1).astype(np.int64), (counts == 2).astype(np.int64), (counts > 2).astype(np.int64)])
+        no_word, no_head = np.zeros(len(words), np.int64), np.zeros(len(heads), np.int64)
+        tally = np.bincount(np.minimum(counts, 5), minlength=6)[1:5]  # a row of its own carries the counts of counts
+        rows = [np.r_[words, heads].view(np.int64), np.r_[seen, no_head], np.r_[before, no_head], *(np.r_[no_word, s] for s in sums)]
+        rows = [np.r_[r, t] for r, t in zip(rows, [0, tally[0], tally[1], tally[2], tally[3], 0])]
+        is_word = np.r_[np.ones(len(rows[0]) - 1, bool), False]
         yield pa.RecordBatch.from_arrays([pa.array(is_word), *map(pa.array, rows)], ["is_word", *WORD.names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, blocks = None, []
+        cells: dict[int, list[bytes]] = {}
         for batch in batches:
-            for number, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if number != cell and blocks:
-                    yield from merged(cell, blocks)
-                    blocks = []
-                cell = number
-                blocks.append(block)
-        if blocks:
-            yield from merged(cell, blocks)
+            for cell, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                cells.setdefault(cell, []).append(block)
+        while cells:
+            yield from merged(*cells.popitem())
 
     return run
 
 
-def _word_files(folder: str, files: int) -> Callable:
-    """Writes rows that come sorted by file and word; hands on totals."""
+TOTALS = ["tokens", "vocabulary", "n1", "n2", "n3", "n4", "pairs", "more", "pairs1", "pairs2", "pairs3", "pairs4"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, parts = None, []
 
-        def written() -> Iterator[pa.RecordBatch]:
-            words = np.concatenate(parts)
-            _write(f"{folder}/words-{number}", words[np.argsort(words["word"])])
-            n = words["before"]
-            figures = [words["seen"].sum(), np.count_nonzero(words["seen"]), *(np.count_nonzero(n == k) for k in (1, 2, 3, 4)), n.sum(), np.count_nonzero(n > 2)]
-            yield pa.RecordBatch.from_arrays([pa.array([int(f)]) for f in figures], TOTALS)
+def _word_files(folder: str) -> Callable:
+    """Writes the word files of this task; hands on totals, and the counts of counts that come without a file."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             file = batch.column(0).to_numpy()
             table = np.empty(len(file), WORD)
             table["word"] = batch.column(1).to_numpy().view(np.uint64)
-            for i, name in enumerate(WORD.names[1:]):
+            for i, name in enumerate(SUMS):
                 table[name] = batch.column(2 + i).to_numpy()
-            for f in np.unique(file).tolist():
-                if f != number and parts:
-                    yield from written()
-                    parts = []
-                number = f
-                parts.append(table[file == f])
-        if parts:
-            yield from written()
+            for number in np.unique(file).tolist():
+                files.setdefault(number, []).append(table[file == number])
+        for number, parts in files.items():
+            words = np.concatenate(parts)
+            if number < 0:
+                tally = [int(words[name].sum()) for name in SUMS[:4]]
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in [0] * 8 + tally], TOTALS)
+                continue
+            _write(f"{folder}/words-{number}", words[np.argsort(words["word"])])
+            n = words["before"]
+            figures = [words["seen"].sum(), np.count_nonzero(words["seen"]), *(np.count_nonzero(n == k) for k in (1, 2, 3, 4)), n.sum(), np.count_nonzero(n > 2), 0, 0, 0, 0]
+            yield pa.RecordBatch.from_arrays([pa.array([int(f)]) for f in figures], TOTALS)
 
     return run
 
 
-TOTALS = ["tokens", "vocabulary", "n1", "n2", "n3", "n4", "pairs", "more"]
-
-
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     """Modified Kneser-Ney discounts by count (0, 1, 2, more), kept within 0 and the count where the sample is too small."""
     y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
@@ -205,10 +216,10 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 class Model:
     """Where the files are, and the figures that all words share. Small: the arrays stay in their files."""
 
-    def __init__(self, folder: str, side: int, files: int, pair_counts: list[int], totals: dict[str, int]):
+    def __init__(self, folder: str, side: int, files: int, totals: dict[str, int]):
         self.folder, self.side, self.files = folder, side, files
         self.tokens, self.vocabulary, self.pairs = totals["tokens"], totals["vocabulary"], totals["pairs"]
-        self.discount = discounts(*pair_counts)
+        self.discount = discounts(*(totals[f"pairs{k}"] for k in (1, 2, 3, 4)))
         self.below = discounts(*(totals[k] for k in ("n1", "n2", "n3", "n4")))
         freed = self.below[1] * totals["n1"] + self.below[2] * totals["n2"] + self.below[3] * totals["more"]
         self.rest = freed / self.pairs if self.pairs else 1.0
@@ -238,12 +249,15 @@ class Model:
         numbers, starts = np.unique(cells[order], return_index=True)
         for number, mine in zip(numbers.tolist(), np.split(order, starts[1:])):
             raw = self._mapped(f"cell-{number}", np.uint8)
-            size = len(raw) // 12
-            table, counts = raw[: 8 * size].view("<u8"), raw[8 * size :].view("<u4")
+            size, many = raw[:16].view("<u8").tolist() if len(raw) else (0, 0)
+            table, big, large = (raw[16 + 8 * lo : 16 + 8 * hi].view("<u8") for lo, hi in ((0, size), (size, size + many), (size + many, size + 2 * many)))
             at = np.searchsorted(table, keys[mine])
             ok = at < size
             ok[ok] = table[at[ok]] == keys[mine][ok]
-            found[mine[ok]] = counts[at[ok]]
+            at, mine = at[ok], mine[ok]
+            found[mine] = raw[16 + 8 * (size + 2 * many) :][at]
+            over = found[mine] == BIG
+            found[mine[over]] = large[np.searchsorted(big, at[over].astype(np.uint64))]
         return found
 
     def score(self, texts: list[bytes]) -> dict[str, np.ndarray]:
@@ -263,7 +277,7 @@ class Model:
         contexts_of = self.words(heads)
         d = self.discount
         freed = d[1] * contexts_of["once"] + d[2] * contexts_of["twice"] + d[3] * contexts_of["more"]
-        total = contexts_of["total"]
+        total = np.where(heads == np.uint64(START), self.words(np.array([END], np.uint64))["seen"], contexts_of["seen"])
         with np.errstate(divide="ignore", invalid="ignore"):
             rest = np.where(total > 0, freed / total, 1.0)[head]
             c = self.counts(first, second)
@@ -288,16 +302,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell_
     shared = run_folder(spark, "lm")
     folder = _local(shared)
     os.makedirs(folder, exist_ok=True)
-    blocks = learned.mapInArrow(_blocks(side), "cell long, block binary").repartition(side * side, "cell").sortWithinPartitions("cell")
-    sums = stored(blocks.mapInArrow(_cells(folder), "is_word boolean, " + ", ".join(f"{c} long" for c in WORD.names)), "lm-sums")
-    names = WORD.names[1:]
-    words = sums.where("is_word").groupBy("word").agg(*(F.sum(c).alias(c) for c in names))
-    file = F.expr(f"cast(pmod(cast(word as decimal(20,0)) + if(word < 0, 18446744073709551616, 0), {files}) as long)").alias("file")
-    words = words.select(file, "word", *names).repartition(files, "file").sortWithinPartitions("file")
-    totals = stored(words.mapInArrow(_word_files(folder, files), ", ".join(f"{c} long" for c in TOTALS)), "lm-totals")
-    total = {k: v or 0 for k, v in totals.agg(*(F.sum(c).alias(c) for c in TOTALS)).first().asDict().items()}
-    tally = sums.where("not is_word").agg(*(F.sum(c).alias(c) for c in ("total", "once", "twice", "more"))).first()
-    return Model(folder, side, files, [v or 0 for v in tally], total)
+    blocks = learned.mapInArrow(_blocks(side), "cell long, block binary").repartition(side * side, "cell")
+    sums = blocks.mapInArrow(_cells(folder), "is_word boolean, " + ", ".join(f"{c} long" for c in WORD.names))
+    words = sums.groupBy("is_word", "word").agg(*(F.sum(c).alias(c) for c in SUMS))
+    unsigned = F.expr(f"cast(pmod(cast(word as decimal(20,0)) + if(word < 0, 18446744073709551616, 0), {files}) as long)")
+    words = words.select(F.when(F.col("is_word"), unsigned).otherwise(-1).alias("file"), "word", *SUMS).repartition(files, "file")
+    totals = stored(words.mapInArrow(_word_files(folder), ", ".join(f"{c} long" for c in TOTALS)), "lm-totals")
+    return Model(folder, side, files, {k: v or 0 for k, v in totals.agg(*(F.sum(c).alias(c) for c in TOTALS)).first().asDict().items()})
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
