@@ -156,11 +156,13 @@ def every(word, vocabulary):
     return out
 
 
-def test_best_segmentations(vocabulary):
+@pytest.mark.parametrize("found_by", ["automaton", "lookup"])
+def test_best_segmentations(vocabulary, found_by):
     rng = random.Random(3)
+    automaton = vocabulary.automaton() if found_by == "automaton" else None
     made = [" " + "".join(rng.choice("aehtnrioé▁ñ") for _ in range(rng.randint(1, 9))) for _ in range(150)]
     for word in [" the", "   x", "\n", " 漢字", " ▁a", *made]:
-        want, got = sorted(every(word, vocabulary), key=lambda c: -c[0]), pieces.best_of(word, vocabulary, 4)
+        want, got = sorted(every(word, vocabulary), key=lambda c: -c[0]), pieces.best_of(word, vocabulary, 4, automaton)
         assert [c[0] for c in got] == [c[0] for c in want[:4]]
         assert len({c[1] for c in got}) == len(got) and set(got) <= set(want)
 
@@ -184,9 +186,19 @@ def test_round_trip(odd, none, read, vocabulary):
     assert pieces.decode(encoded.selectExpr("doc_id", "cast(null as array<int>) as ids")).where("text is null").count() == odd.count()
 
 
-def test_long_word_is_the_same_without_kept_edges(vocabulary):
+def test_long_word_is_the_same_without_kept_edges(vocabulary, monkeypatch):
     word = " " + "antidisestablishment" * 4
     assert len(word) > pieces.CACHED_CHARS
-    best, _ = pieces.word_lattice(word, vocabulary)
     got = pieces.best_of(word, vocabulary, 3)
-    assert got[0][0] == best[-1] and np.all(np.diff([c[0] for c in got]) <= 0)
+    monkeypatch.setattr(pieces, "CACHED_CHARS", 1000)
+    assert got == pieces.best_of(word, vocabulary, 3, vocabulary.automaton())
+
+
+def test_words_are_found_again_in_both_generations(vocabulary, monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE_WORDS", 3)
+    small, large = pieces.Encoder(vocabulary, 2), pieces.Encoder(vocabulary, 2)
+    monkeypatch.setattr(pieces, "CACHE_WORDS", 3)
+    text = "one two three four one two five six seven one one two eight"
+    assert small.text(text) == small.text(text)
+    monkeypatch.setattr(pieces, "CACHE_WORDS", 1000)
+    assert small.text(text) == large.text(text)
