@@ -8,10 +8,11 @@ an insult or threat; its weight is the clause's score. Isolated words outside su
 
 Besides the fixed word lists, the lexicon holds learned stems: word beginnings that labelled toxic texts use in many
 different contexts and clean ones hardly ever. Counting contexts (the word before) instead of documents keeps copies
-of one toxic text from making insults of all its words. Contexts are counted over all labelled training texts; what
-is sent to the tasks are the stems that reach a given part of all contexts of the toxic texts, so their number is
-bounded by the reciprocal of that part. Clause scores become a probability by a logistic regression, fitted on a
-bounded sample of training rows (``SAMPLE``).
+of one toxic text from making insults of all its words (in clean texts, contexts are counted for the stems in
+question, distinct within a batch). What is sent to the tasks are the stems that reach a given part of all contexts
+of the toxic texts, so their number is bounded by the reciprocal of that part. Clause scores become a probability by
+a logistic regression. Both are fitted on a bounded sample of labelled rows: the ``SAMPLE`` ids with the smallest
+hashes outside the held-out fold. Their number being bounded, they are broadcast, and no text is shuffled.
 
 Nulls: a null text is empty and gets the score of a text without a match; null labels and ids without a label are not
 learned from; a null id counts as empty text for the fold. Repeated rows are scored each; of several labels of one id
@@ -32,7 +33,7 @@ from quotaflow.llm.common import part_of, pieces_of, stored, texts_of
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-SAMPLE = 50_000  # labelled rows that the regression is fitted on
+SAMPLE = 100_000  # labelled ids that stems and regression are learned from
 LEAST_STEM, LONGEST_STEM = 3, 12  # characters
 LEAST_PART = 1e-5  # of all contexts of toxic texts: least part of a learned stem
 LEAST_CONTEXTS = 8
@@ -169,43 +170,59 @@ class Lexicon:
         return [sum(scores), float(len(scores)), max(scores), float(matches), 100.0 * matches / len(words)]
 
 
-def _contexts(stems: set[str] | None) -> Callable:
-    """Distinct (word, word before) of each batch; only words with one of the stems, if any are given."""
+def _contexts() -> Callable:
+    """Distinct (word, word before) of each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, bool] = {}
         for batch in pieces_of(batches, TEXT_BYTES):
             pairs: set[tuple[str, str]] = set()
             for text in texts_of(batch):
                 words = plain(text).decode().split()
-                if stems is None:
-                    pairs.update(zip(words, ["", *words]))
-                    continue
-                for word in set(words):
-                    if word not in known:
-                        if len(known) >= CACHE_WORDS:
-                            known.clear()
-                        known[word] = any(s in stems for s in stems_of(word))
-                pairs.update((w, b) for w, b in zip(words, ["", *words]) if known.get(w) or (w not in known and any(s in stems for s in stems_of(w))))
+                pairs.update(zip(words, ["", *words]))
             found = list(pairs)
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.string()) for i in (0, 1)], ["word", "before"])
 
     return run
 
 
-def _stem_counts(texts: DataFrame, stems: set[str] | None, name: str) -> DataFrame:
+def _counted(stems: set[str]) -> Callable:
+    """Contexts of each of the stems, distinct within a batch, summed by task: one row for each stem at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        known: dict[str, tuple] = {}
+        for batch in pieces_of(batches, TEXT_BYTES):
+            pairs: set[tuple[str, str]] = set()
+            for text in texts_of(batch):
+                words = plain(text).decode().split()
+                pairs.update(zip(words, ["", *words]))
+            for word, n in Counter(p[0] for p in pairs).items():
+                mine = known.get(word)
+                if mine is None:
+                    if len(known) >= CACHE_WORDS:
+                        known.clear()
+                    mine = known[word] = tuple(s for s in stems_of(word) if s in stems)
+                for stem in mine:
+                    counts[stem] += n
+        columns = [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["stem", "c"])
+
+    return run
+
+
+def _toxic_stems(texts: DataFrame) -> DataFrame:
     """Number of distinct contexts of each stem."""
-    pairs = texts.select("text").mapInArrow(_contexts(stems), "word string, before string").distinct()
+    pairs = texts.select("text").mapInArrow(_contexts(), "word string, before string").distinct()
     words = pairs.groupBy("word").agg(F.count("*").alias("n"))
     begin = F.expr(f"transform(sequence({LEAST_STEM}, {LONGEST_STEM}), n -> if(n < length(word), substr(word, 1, n), null))")
     stem = F.explode(F.array_append(F.filter(begin, lambda s: s.isNotNull()), F.concat("word", F.lit(" ")))).alias("stem")
-    return words.select("n", stem).groupBy("stem").agg(F.sum("n").alias(name))
+    return words.select("n", stem).groupBy("stem").agg(F.sum("n").alias("t"))
 
 
 def learn_stems(labelled: DataFrame) -> dict[str, float]:
     """Stems of the ``labelled`` texts (``text``, ``toxic``) with weights between 0 and 2."""
     toxic, clean = labelled.where("toxic = 1"), labelled.where("toxic = 0")
-    counts = stored(_stem_counts(toxic, None, "t"), "toxic-stems")
+    counts = stored(_toxic_stems(toxic), "toxic-stems")
     total = counts.where("stem like '% '").agg(F.sum("t")).first()[0] or 0
     least = max(LEAST_CONTEXTS, LEAST_PART * total)
     frequent = counts.where(F.col("t") >= least)
@@ -214,7 +231,8 @@ def learn_stems(labelled: DataFrame) -> dict[str, float]:
     sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.sum(words).alias("n")).collect()}
     if not shared or not sizes.get(0) or not sizes.get(1):
         return {}
-    both = frequent.join(_stem_counts(clean, shared, "c"), "stem", "left").fillna(0, ["c"])
+    seen = clean.select("text").mapInArrow(_counted(shared), "stem string, c long").groupBy("stem").agg(F.sum("c").alias("c"))
+    both = frequent.join(seen, "stem", "left").fillna(0, ["c"])
     ratio = (F.col("t") / float(sizes[1])) / ((F.col("c") + 0.5) / float(sizes[0]))
     strong = both.withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).select("stem", "ratio")
     return {r["stem"]: min(2.0, float(np.log10(r["ratio"]))) for r in strong.collect()}
@@ -227,13 +245,13 @@ def _scaled(features: np.ndarray) -> np.ndarray:
 DEFAULT = np.array([-3.0, 2.0, 1.0, 1.0, 1.0, 0.0])  # weights before any label is seen
 
 
-def fit(features: np.ndarray, labels: np.ndarray, rounds: int = 30, prior: float = 1.0) -> np.ndarray:
-    """Logistic regression by Newton steps with a quadratic prior."""
+def fit(features: np.ndarray, labels: np.ndarray, counts: np.ndarray, rounds: int = 30, prior: float = 1.0) -> np.ndarray:
+    """Logistic regression of rows that occur ``counts`` times, by Newton steps with a quadratic prior."""
     x, w = _scaled(features), np.zeros(features.shape[1] + 1)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        curve = x.T @ (x * (p * (1 - p))[:, None]) + prior * np.eye(len(w))
-        step = np.linalg.solve(curve, x.T @ (labels - p) - prior * w)
+        curve = x.T @ (x * (counts * p * (1 - p))[:, None]) + prior * np.eye(len(w))
+        step = np.linalg.solve(curve, x.T @ (counts * (labels - p)) - prior * w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
@@ -263,17 +281,16 @@ def features(texts: DataFrame, lexicon: Lexicon, key: str) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[Lexicon, np.ndarray]:
     """Lexicon and regression weights from the labelled rows outside the held-out fold."""
     fold = part_of("doc_id", FOLDS) != HELD_OUT
-    marked = labels.select(F.col("doc_id"), "toxic").where("toxic in (0, 1)").where(fold).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(fold)
-    order = F.xxhash64(F.col("doc_id").cast("string"))
-    labelled = stored(texts.join(marked, "doc_id").select(order.alias("at"), "text", "toxic"), "toxic-labelled")
+    marked = labels.select("doc_id", "toxic").where("toxic in (0, 1)").where(fold).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    chosen = marked.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(sample)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # at most ``sample`` ids and labels are broadcast, so texts stay where they are
+    labelled = stored(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic-labelled")
     lexicon = Lexicon(learn_stems(labelled))
-    chosen = labelled.select("at").orderBy("at").limit(sample).agg(F.max("at")).first()[0]
-    some = labelled.where(F.col("at") <= chosen).withColumn("toxic", F.col("toxic").cast("double")) if chosen is not None else labelled.limit(0)
-    found = features(some.withColumn("key", F.col("toxic").cast("double")), lexicon, "key").toPandas()
-    y = found["key"].to_numpy(float)
-    weights = fit(found[FEATURES].to_numpy(float), y) if 0 < y.sum() < len(y) else DEFAULT
-    return lexicon, weights
+    found = features(labelled.withColumn("key", F.col("toxic").cast("double")), lexicon, "key")
+    counts = found.groupBy("key", *FEATURES).count().toPandas()  # copies of a text are one row
+    x, y, n = counts[FEATURES].to_numpy(float), counts["key"].to_numpy(float), counts["count"].to_numpy(float)
+    return lexicon, fit(x, y, n) if len(set(y)) == 2 else DEFAULT
 
 
 def score(docs: DataFrame, model: tuple[Lexicon, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
