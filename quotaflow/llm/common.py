@@ -31,12 +31,20 @@ def part_of(column: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def with_row(docs: DataFrame, *columns: str) -> DataFrame:
+def with_row(docs: DataFrame, *columns: str | Column, row_col: str | None = None) -> DataFrame:
     """The named columns and ``row``, a number of its own for each row, also for repeated rows and null ids.
 
-    The numbers follow the file splits of the scan, so two reads of one table agree.
+    The numbers follow the file splits of the scan, which may differ between two reads. Who selects rows of the table
+    by them writes them once (``numbered``) and names their column here.
     """
-    return docs.select(F.monotonically_increasing_id().alias("row"), *(F.col(c) for c in columns))
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    return docs.select(row.alias("row"), *columns)
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` stored with a number for each row, and the name of that column."""
+    row = free_name(docs, "row")
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
 def free_name(docs: DataFrame, name: str) -> str:

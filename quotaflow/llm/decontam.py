@@ -169,10 +169,10 @@ def _covered(spans: str) -> Column:
     return F.aggregate(spans, nothing, step, lambda state: state["n"])
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", window: int = WINDOW, map_bits: int = MAP_BITS) -> DataFrame:
-    """``row``, id, ``n_words``, ``n_hit`` (words inside windows of the benchmark), ``n_items`` and the sorted ``item_ids`` of each document."""
+def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", window: int = WINDOW, map_bits: int = MAP_BITS, row_col: str | None = None) -> DataFrame:
+    """``row`` (of ``row_col``, else made here), id, ``n_words``, ``n_hit`` (words inside windows of the benchmark), ``n_items`` and the sorted ``item_ids`` of each document."""
+    source = with_row(docs, F.col(id_col).alias("doc_id"), "text", row_col=row_col)
     docs = docs.select(F.col(id_col).alias("doc_id"), "text")
-    source = with_row(docs, "doc_id", "text")
     windows = stored(prefixes(docs, benchmark, window, map_bits), "bench-index")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(_bit_map(windows.select("shingle").distinct(), map_bits))

@@ -134,14 +134,15 @@ def _resolve(schema: pa.Schema, limit: int, level: int, buckets: int) -> Callabl
     return run
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, row_col: str | None = None) -> DataFrame:
     """One row for each document: ``row``, its id, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
 
     Of equal texts the one with most characters stays, then the one with the smallest id, then the first row.
+    ``row_col`` names stored row numbers; without it they are made here.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    source = with_row(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
+    source = with_row(docs, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_col=row_col)
     record = _record_type(source.schema["doc_id"].dataType)
     schema = to_arrow_schema(record)
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
