@@ -8,11 +8,12 @@ an insult or threat; its weight is the clause's score. Isolated words outside su
 
 Besides the fixed word lists, the lexicon holds learned stems: word beginnings that labelled toxic texts use in many
 different contexts and clean ones hardly ever. Counting contexts (the word before) instead of documents keeps copies
-of one toxic text from making insults of all its words (in clean texts, contexts are counted for the stems in
-question, distinct within a batch). What is sent to the tasks are the stems that reach a given part of all contexts
-of the toxic texts, so their number is bounded by the reciprocal of that part. Clause scores become a probability by
-a logistic regression. Both are fitted on a bounded sample of labelled rows: the ``SAMPLE`` ids with the smallest
-hashes outside the held-out fold. Their number being bounded, they are broadcast, and no text is shuffled.
+of one toxic text from making insults of all its words. Stems come from all labelled texts outside the held-out fold.
+What is sent to the tasks are the stems that reach a given part of all contexts of the toxic texts, so their number is
+bounded by the reciprocal of that part. Their distinct contexts in all toxic and all clean texts are then counted the
+same way, by mergeable sketches (the ``KEPT`` smallest hashes), and set against all distinct contexts of the class.
+Clause scores become a probability by a logistic regression, fitted on the ``SAMPLE`` labelled ids with the smallest
+hashes.
 
 Nulls: a null text is empty and gets the score of a text without a match; null labels and ids without a label are not
 learned from; a null id counts as empty text for the fold. Repeated rows are scored each; of several labels of one id
@@ -21,11 +22,11 @@ the larger counts. Without labels of both kinds the fixed lists and weights alon
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,8 @@ from quotaflow.llm.common import part_of, pieces_of, stored, texts_of
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-SAMPLE = 100_000  # labelled ids that stems and regression are learned from
+SAMPLE = 100_000  # labelled ids that the regression is learned from
+KEPT = 128  # smallest hashes of the contexts of a stem; up to that many contexts are counted exactly
 LEAST_STEM, LONGEST_STEM = 3, 12  # characters
 LEAST_PART = 1e-5  # of all contexts of toxic texts: least part of a learned stem
 LEAST_CONTEXTS = 8
@@ -185,31 +187,87 @@ def _contexts() -> Callable:
     return run
 
 
-def _counted(stems: set[str]) -> Callable:
-    """Contexts of each of the stems, distinct within a batch, summed by task: one row for each stem at most."""
+def _lowest(stems: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each stem number the ``KEPT`` smallest distinct hashes, in order."""
+    order = np.lexsort((hashes, stems))
+    stems, hashes = stems[order], hashes[order]
+    new = np.r_[True, (stems[1:] != stems[:-1]) | (hashes[1:] != hashes[:-1])][: len(stems)]
+    stems, hashes = stems[new], hashes[new]
+    first = np.searchsorted(stems, stems)
+    low = np.arange(len(stems)) - first < KEPT
+    return stems[low], hashes[low]
+
+
+def _sketched(shared) -> Callable:
+    """For each class and stem of ``shared`` a sketch of its distinct contexts: their ``KEPT`` smallest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        known: dict[str, tuple] = {}
+        numbers: dict[str, int] = shared.value
+        names = list(numbers)
+        known: dict[str, np.ndarray] = {}
+        held = {toxic: (np.zeros(0, np.int64), np.zeros(0, np.uint64)) for toxic in (0, 1)}
+        limit = {toxic: np.full(len(names), np.iinfo(np.uint64).max, np.uint64) for toxic in (0, 1)}
         for batch in pieces_of(batches, TEXT_BYTES):
-            pairs: set[tuple[str, str]] = set()
-            for text in texts_of(batch):
+            pairs: dict[int, set[tuple[str, str]]] = {0: set(), 1: set()}
+            for text, toxic in zip(texts_of(batch), batch.column(1).to_pylist()):
                 words = plain(text).decode().split()
-                pairs.update(zip(words, ["", *words]))
-            for word, n in Counter(p[0] for p in pairs).items():
-                mine = known.get(word)
-                if mine is None:
-                    if len(known) >= CACHE_WORDS:
-                        known.clear()
-                    mine = known[word] = tuple(s for s in stems_of(word) if s in stems)
-                for stem in mine:
-                    counts[stem] += n
-        columns = [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["stem", "c"])
+                pairs[toxic].update(zip(words, ["", *words]))
+            for toxic, found in pairs.items():
+                mine, hashes = [], np.zeros(len(found), np.uint64)
+                for i, (word, before) in enumerate(found):
+                    stems = known.get(word)
+                    if stems is None:
+                        if len(known) >= CACHE_WORDS:
+                            known.clear()
+                        stems = known[word] = np.array([numbers[s] for s in ["", *stems_of(word)] if s in numbers], np.int64)
+                    mine.append(stems)
+                    hashes[i] = xxhash.xxh64_intdigest(f"{word} {before}")
+                if not mine:
+                    continue
+                stems, hashes = np.concatenate(mine), np.repeat(hashes, [len(m) for m in mine])
+                low = hashes <= limit[toxic][stems]
+                stems, hashes = _lowest(np.r_[held[toxic][0], stems[low]], np.r_[held[toxic][1], hashes[low]])
+                held[toxic] = stems, hashes
+                full = np.flatnonzero(stems[KEPT - 1 :] == stems[: len(stems) - KEPT + 1]) if len(stems) >= KEPT else np.zeros(0, np.int64)
+                limit[toxic][stems[full]] = hashes[full + KEPT - 1]
+        for toxic, (stems, hashes) in held.items():
+            begin = np.flatnonzero(np.r_[True, stems[1:] != stems[:-1]]) if len(stems) else np.zeros(0, np.int64)
+            ends = np.r_[begin[1:], len(stems)]
+            for at in range(0, len(begin), 10_000):
+                rows = [(names[stems[i]], hashes[i:j].view(np.int64)) for i, j in zip(begin[at : at + 10_000], ends[at : at + 10_000])]
+                columns = [pa.array([toxic] * len(rows), pa.int32()), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["toxic", "stem", "hashes"])
 
     return run
 
 
+def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of distinct contexts of each (class, stem), from its sorted sketches; exact below ``KEPT``."""
+    key, held = None, np.zeros(0, np.uint64)
+
+    def row() -> pa.RecordBatch:
+        n = len(held) if len(held) < KEPT else (KEPT - 1) / (float(held[-1]) / 2.0**64)
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]]), pa.array([float(n)])], ["toxic", "stem", "n"])
+
+    for batch in batches:
+        for toxic, stem, hashes in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != (toxic, stem):
+                if key:
+                    yield row()
+                key, held = (toxic, stem), np.zeros(0, np.uint64)
+            held = np.union1d(held, np.array(hashes, np.int64).view(np.uint64))[:KEPT]
+    if key:
+        yield row()
+
+
+def contexts(labelled: DataFrame, stems: set[str]) -> DataFrame:
+    """``toxic``, ``stem`` and ``n``, the distinct contexts of each stem in all texts of the class, for both classes alike."""
+    shared = labelled.sparkSession.sparkContext.broadcast({s: i for i, s in enumerate(sorted(stems))})
+    sketches = labelled.select("text", "toxic").mapInArrow(_sketched(shared), "toxic int, stem string, hashes array<long>")
+    sketches = sketches.repartition("toxic", "stem").sortWithinPartitions("toxic", "stem")
+    return stored(sketches.mapInArrow(_estimated, "toxic int, stem string, n double"), "toxic-contexts")
+
+
 def _toxic_stems(texts: DataFrame) -> DataFrame:
     """Number of distinct contexts of each stem."""
     pairs = texts.select("text").mapInArrow(_contexts(), "word string, before string").distinct()
@@ -221,19 +279,20 @@ def _toxic_stems(texts: DataFrame) -> DataFrame:
 
 def learn_stems(labelled: DataFrame) -> dict[str, float]:
     """Stems of the ``labelled`` texts (``text``, ``toxic``) with weights between 0 and 2."""
-    toxic, clean = labelled.where("toxic = 1"), labelled.where("toxic = 0")
-    counts = stored(_toxic_stems(toxic), "toxic-stems")
+    counts = stored(_toxic_stems(labelled.where("toxic = 1")), "toxic-stems")
     total = counts.where("stem like '% '").agg(F.sum("t")).first()[0] or 0
     least = max(LEAST_CONTEXTS, LEAST_PART * total)
     frequent = counts.where(F.col("t") >= least)
     shared = {r["stem"] for r in frequent.select("stem").toLocalIterator()}  # each has LEAST_PART of the contexts, on ten levels
-    words = F.size(F.split("text", " "))
-    sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.sum(words).alias("n")).collect()}
-    if not shared or not sizes.get(0) or not sizes.get(1):
+    if not shared:
+        return {}
+    seen = contexts(labelled, shared | {""})  # the empty stem begins every word
+    sizes = {r["toxic"]: r["n"] for r in seen.where("stem = ''").collect()}
+    if not sizes.get(0) or not sizes.get(1):
         return {}
-    seen = clean.select("text").mapInArrow(_counted(shared), "stem string, c long").groupBy("stem").agg(F.sum("c").alias("c"))
-    both = frequent.join(seen, "stem", "left").fillna(0, ["c"])
-    ratio = (F.col("t") / float(sizes[1])) / ((F.col("c") + 0.5) / float(sizes[0]))
+    t, c = (F.coalesce(F.max(F.when(F.col("toxic") == k, F.col("n"))), F.lit(0.0)) for k in (1, 0))
+    ratio = (F.col("t") / sizes[1]) / ((F.col("c") + 0.5) / sizes[0])
+    both = seen.where("stem <> ''").groupBy("stem").agg(t.alias("t"), c.alias("c"))
     strong = both.withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).select("stem", "ratio")
     return {r["stem"]: min(2.0, float(np.log10(r["ratio"]))) for r in strong.collect()}
 
@@ -282,12 +341,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Lexicon and regression weights from the labelled rows outside the held-out fold."""
     fold = part_of("doc_id", FOLDS) != HELD_OUT
     marked = labels.select("doc_id", "toxic").where("toxic in (0, 1)").where(fold).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = marked.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(sample)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # at most ``sample`` ids and labels are broadcast, so texts stay where they are
-    labelled = stored(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic-labelled")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(fold)
+    order = F.xxhash64(F.col("doc_id").cast("string"))
+    last = marked.select(order.alias("at")).orderBy("at").limit(sample).agg(F.max("at")).first()[0]
+    sampled = (order <= F.lit(last).cast("long")).alias("sampled")
+    # stems are learned from all labelled texts, the regression from the sample
+    labelled = stored(texts.join(marked, "doc_id").select("text", "toxic", sampled), "toxic-labelled")
     lexicon = Lexicon(learn_stems(labelled))
-    found = features(labelled.withColumn("key", F.col("toxic").cast("double")), lexicon, "key")
+    found = features(labelled.where("sampled").withColumn("key", F.col("toxic").cast("double")), lexicon, "key")
     counts = found.groupBy("key", *FEATURES).count().toPandas()  # copies of a text are one row
     x, y, n = counts[FEATURES].to_numpy(float), counts["key"].to_numpy(float), counts["count"].to_numpy(float)
     return lexicon, fit(x, y, n) if len(set(y)) == 2 else DEFAULT
