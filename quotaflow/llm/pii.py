@@ -7,10 +7,10 @@ score each proposal by its format (length, digits, letters, separators, distinct
 (the words before it, its neighbours). A proposal above its kind's threshold is reported unless it overlaps a base
 span or a better proposal.
 
-The trees are trained in each run by Spark's gradient boosting on a bounded sample (``SAMPLE``) of proposals: those of
-all kinds in texts chosen by checksum order, base spans among them. Their labels are weak: a proposal counts as
+The trees are trained in each run by Spark's gradient boosting on a bounded sample (``SAMPLE``) of proposals, in which
+kinds take turns and within a kind texts do, base spans among them. Their labels are weak: a proposal counts as
 personal data if it passes its kind's own check, or stands after a word that announces it. The thresholds are the
-scores at which the trained precision by kind reaches ``PRECISION``. Trained trees become nested CASE expressions, so
+scores at which the precision by kind, over all proposals, reaches ``PRECISION``. Trained trees become nested CASE expressions, so
 scanning is one expression on the row: no shuffle, no Python.
 
 Patterns are possessive and start at the beginning of a run, which gives the leftmost matches of the plain patterns in
@@ -200,20 +200,29 @@ class Model:
         return found
 
 
+def _spread(spans: DataFrame, sample: int) -> DataFrame:
+    """``sample`` spans: kinds take turns, and within a kind texts do, in the order of hashes."""
+    order = [F.xxhash64("at", "kind", "start", "end"), "at", "start", "end"]
+    turns = spans.withColumn("turn", F.row_number().over(Window.partitionBy("at", "kind").orderBy(*order)))
+    ranked = turns.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy("turn", *order)))
+    return ranked.where(F.col("place") <= sample).orderBy("place", "kind").limit(sample).drop("turn", "place")
+
+
 def train(found: DataFrame, sample: int = SAMPLE) -> Model:
-    """Trees over a sample of all proposals (lowest checksums of their texts), thresholds by kind."""
+    """Trees over a sample of the proposals, spread over kinds and texts; thresholds by kind from all of them."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
     spans = found.select("at", F.explode(F.concat("base", "more")).alias("span")).select("at", "span.*")
-    rows = stored(spans.distinct().orderBy("at", "kind", "start").limit(sample), "pii-sample")
+    spans = stored(spans.distinct(), "pii-spans")
+    rows = stored(_spread(spans, sample), "pii-sample")
     classes = rows.select("label").distinct().collect()
     model = Model([], [])
     if len(classes) == 2:
         vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
         fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, stepSize=0.3).fit(vectors)
         model = Model([t._java_obj.rootNode() for t in fitted.trees], list(fitted.treeWeights))
-    scored = rows.select("kind", "label", F.round(model.score(F.col), 3).alias("score"))
+    scored = spans.select("kind", "label", F.round(model.score(F.col), 3).alias("score"))
     above = Window.partitionBy("kind").orderBy(F.desc("score"))
     steps = scored.groupBy("kind", "score").agg(F.count("*").alias("n"), F.sum("label").alias("good"))
     exact = steps.withColumn("precision", F.sum("good").over(above) / F.sum("n").over(above)).where(F.col("precision") >= PRECISION)
