@@ -15,13 +15,16 @@ COLUMNS = {
         "doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double",
     },
     "op9_sentencepiece": {"doc_id": "bigint", "ids": "array<int>", "score": "double", "n_pieces": "bigint", "round_trip": "boolean"},
+    "op12_merkle_manifest": {
+        "doc_id": "bigint", "leaf": "string", "subroot": "string", "root": "string", "proof_sha256": "string", "folded_root": "string", "verified": "boolean",
+    },
     "op10_simhash": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
 }
 
 
 def test_all_are_registered():
     names = set(driver.queries())
-    assert {*queries.QUERIES, "pipeline"} <= names and len(queries.QUERIES) == 10
+    assert {*queries.QUERIES, "pipeline"} <= names and len(queries.QUERIES) == 11
     assert set(queries.SQL) <= set(driver.oracle_sql())
 
 
