@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotaflow.llm import decontam, exact_dedup, langid, licenses, merkle, ngram_lm, pieces, pii, sharding, simhash, toxicity, twins
+from quotaflow.llm import chat, decontam, exact_dedup, langid, licenses, merkle, ngram_lm, pieces, pii, sharding, simhash, toxicity, twins
 from quotaflow.llm.common import table
 
 
@@ -66,7 +66,14 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest(table(spark, folder, "documents")).drop("tampered")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op3_license_scan, op4_decontamination, op5_sharding, op6_toxicity, op7_exact_dedup, op8_ngram_lm, op9_sentencepiece, op10_simhash, op12_merkle_manifest)}
+def op13_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    said = f"concat('{chat.END.strip()}{chat.START}{chat.TRAINED} ', 'ok')"
+    probe = spark.range(2).selectExpr("-1L AS conv_id", "id AS turn", f"if(id = 0, 'user', '{chat.TRAINED}') AS role", f"{said} AS text")
+    probe = chat.chains(probe).withColumn("tree", F.lit("probe"))  # beside a conversation that has this id
+    return chat.digest(chat.formatted(chat.chains(table(spark, folder, "conversations")).unionByName(probe)))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op3_license_scan, op4_decontamination, op5_sharding, op6_toxicity, op7_exact_dedup, op8_ngram_lm, op9_sentencepiece, op10_simhash, op12_merkle_manifest, op13_chat_format)}
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -111,4 +118,5 @@ SQL = {
         WINDOW best AS (PARTITION BY norm ORDER BY length(body) DESC, doc_id NULLS LAST)
     """,
     "op12_merkle_manifest": twins.merkle(),
+    "op13_chat_format": twins.CHAT,
 }

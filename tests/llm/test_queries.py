@@ -24,7 +24,7 @@ COLUMNS = {
 
 def test_all_are_registered():
     names = set(driver.queries())
-    assert {*queries.QUERIES, "pipeline"} <= names and len(queries.QUERIES) == 11
+    assert {*queries.QUERIES, "pipeline"} <= names and len(queries.QUERIES) == 12
     assert set(queries.SQL) <= set(driver.oracle_sql())
 
 
@@ -38,7 +38,7 @@ def test_columns(spark, name):
 @pytest.mark.parametrize("name", queries.SQL)
 def test_sql_twin(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     found = queries.QUERIES[name](spark, FOLDER)
     twin = con.execute(queries.SQL[name])
