@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotaflow.llm import chat, decontam, exact_dedup, langid, licenses, merkle, ngram_lm, pieces, pii, sharding, simhash, toxicity, twins
+from quotaflow.llm import chat, decontam, exact_dedup, langid, licenses, merkle, ngram_lm, pieces, pii, repair, sharding, simhash, toxicity, twins
 from quotaflow.llm.common import table
 
 
@@ -62,6 +62,11 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(table(spark, folder, "documents")).drop("row")
 
 
+def op11_structure_repair(spark: SparkSession, folder: str) -> DataFrame:
+    damaged = repair.damaged(table(spark, folder, "conversations"))
+    return repair.repaired(repair.faults(damaged, copies=F.col("copies")))
+
+
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest(table(spark, folder, "documents")).drop("tampered")
 
@@ -73,7 +78,7 @@ def op13_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digest(chat.formatted(chat.chains(table(spark, folder, "conversations")).unionByName(probe)))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op3_license_scan, op4_decontamination, op5_sharding, op6_toxicity, op7_exact_dedup, op8_ngram_lm, op9_sentencepiece, op10_simhash, op12_merkle_manifest, op13_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op3_license_scan, op4_decontamination, op5_sharding, op6_toxicity, op7_exact_dedup, op8_ngram_lm, op9_sentencepiece, op10_simhash, op11_structure_repair, op12_merkle_manifest, op13_chat_format)}
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -117,6 +122,7 @@ SQL = {
         FROM plain
         WINDOW best AS (PARTITION BY norm ORDER BY length(body) DESC, doc_id NULLS LAST)
     """,
+    "op11_structure_repair": twins.REPAIR,
     "op12_merkle_manifest": twins.merkle(),
     "op13_chat_format": twins.CHAT,
 }

@@ -24,7 +24,7 @@ COLUMNS = {
 
 def test_all_are_registered():
     names = set(driver.queries())
-    assert {*queries.QUERIES, "pipeline"} <= names and len(queries.QUERIES) == 12
+    assert {*queries.QUERIES, "pipeline"} <= names and len(queries.QUERIES) == 13
     assert set(queries.SQL) <= set(driver.oracle_sql())
 
 
