@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quotaflow.registry import documents, jobs, metrics, monitoring, questions, streams, tables
+from quotaflow.registry import documents, jobs, live, metrics, monitoring, questions, streams, tables
 
 ENTRIES = {
     **tables.ENTRIES, **metrics.ENTRIES, **monitoring.ENTRIES, **questions.ENTRIES, **documents.ENTRIES, **jobs.ENTRIES,
-    **streams.ENTRIES,
+    **streams.ENTRIES, **live.ENTRIES,
 }

@@ -267,6 +267,7 @@ ENTRIES: dict[str, Entry] = {
     ),
 }
 
-LATEST_FORECAST_CTE, SCD1_CTE, VALID_TYPE = _LATEST_FORECAST, _LATEST, _VALID_TYPE
+LATEST_FORECAST_CTE, SCD1_CTE, VALID_TYPE, MOVED_SQL = _LATEST_FORECAST, _LATEST, _VALID_TYPE, _MOVES
+deal_versions = _deal_versions
 PARSE_CTE = {"opportunity": _OPP, "account": _ACC}
 latest_forecast = _latest_forecast
