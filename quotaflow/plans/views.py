@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quotaflow import constants as C
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -21,6 +23,16 @@ def _segment(key: str) -> str:
     return SEGMENT.replace("{key}", key)
 
 
+# Questions are conversation texts after a term of the routing rules and, for some, a lead-in or a second term.
+TERMS = ["", *dict.fromkeys(w.replace(".", " ") for w in [*C.PIPELINE_WORDS.split("|"), *C.CUSTOMER_WORDS.split("|"), *C.DOCUMENT_TERMS, *C.METRIC_TERMS, *C.RISK_TERMS])]
+JOINTS = [" ", *(f" {w}" for w in C.ACCOUNT_LEAD_INS), *(f" {w} " for w in (C.PIPELINE_WORDS.split("|")[0], C.CUSTOMER_WORDS.split("|")[0]))]
+
+
+def _drawn(key: str, values: list[str]) -> str:
+    """One of the values, by a whole number."""
+    return f"CASE ({key}) % {len(values)} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
 VIEWS: dict[str, str] = {
     "opportunity_current": f"""
 SELECT cast(o.o_orderkey AS string) AS opportunity_id, cast(o.o_custkey AS string) AS account_id,
@@ -195,20 +207,13 @@ SELECT vec_id AS query_id, CASE WHEN label % 2 = 0 THEN 'pipeline_health' ELSE '
   CASE WHEN label = 3 THEN cast(vec_id % 150 AS string) END AS account_id,
   CASE WHEN label = 5 THEN cast(vec_id % 10 AS string) END AS account_name, embedding
 FROM {embeddings}""",
-    "questions": """
+    "questions": f"""
 SELECT concat(cast(conv_id AS string), '-', cast(turn AS string)) AS query_id, conv_id, turn, role,
-  concat(CASE (conv_id * 7 + turn) % 14
-    WHEN 0 THEN 'Add up the open pipeline by owner' WHEN 1 THEN 'List deals that sit in Proposal too long'
-    WHEN 2 THEN 'How far is the forecast from the quota?' WHEN 3 THEN 'Compare the win rate of both halves'
-    WHEN 4 THEN 'Name every opportunity with a late close date' WHEN 5 THEN 'Give me the ACV booked in May'
-    WHEN 6 THEN 'Who might churn before summer?' WHEN 7 THEN 'Has NRR gone up since January?'
-    WHEN 8 THEN 'Contracts that end within a quarter, please' WHEN 9 THEN 'Health of the largest accounts'
-    WHEN 10 THEN 'Read me the renewal clause for Initech Ltd.' WHEN 11 THEN 'Where can customers expand next?'
-    WHEN 12 THEN 'Churn notes about Umbrella, please' ELSE 'Plan my week' END, ' ', text) AS query,
+  concat({_drawn('conv_id * 7 + turn', TERMS)}, {_drawn('conv_id + turn * 3', JOINTS)}, text, CASE WHEN role = 'user' THEN '?' ELSE '' END) AS query,
   CASE conv_id % 4 WHEN 0 THEN ' sql ' WHEN 1 THEN 'Docs' WHEN 2 THEN 'hybrid' ELSE 'none of these' END AS class_label,
   CASE conv_id % 4 WHEN 0 THEN ' pipeline ' WHEN 1 THEN 'Customer' WHEN 2 THEN 'ambiguous' ELSE 'unsure' END AS route_label,
   cast(conv_id * 13 % 900 AS int) AS input_tokens, cast(turn * 31 AS int) AS output_tokens
-FROM {conversations}""",
+FROM {{conversations}}""",
     "answer_parts": """
 SELECT concat(cast(conv_id AS string), '-', cast(turn AS string)) AS query_id,
   CASE WHEN turn % 2 = 0 THEN 'pipeline_health' ELSE 'customer_health' END AS agent_type,

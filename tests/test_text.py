@@ -4,6 +4,8 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quotaflow import constants as C
@@ -21,31 +23,61 @@ def mapped(spark, texts, function):
     return [r["x"] for r in rows.select("i", function(F.col("t")).alias("x")).orderBy("i").collect()]
 
 
-ROUTES = [
-    ("Sum the pipeline of the northern team", "PIPELINE", "PIPELINE"),
-    ("Move deals out of stage two", "PIPELINE", "PIPELINE"),
-    ("Is the forecast below quota?", "PIPELINE", "PIPELINE"),
-    ("Chart our win rate by month", "PIPELINE", "PIPELINE"),
-    ("Book ACV for May", "PIPELINE", "PIPELINE"),
-    ("Draft a note on churn", "CUSTOMER", "CUSTOMER"),
-    ("NRR since January", "CUSTOMER", "CUSTOMER"),
-    # the whole-word rule does not know the plural; the stem rule does
-    ("Print all contracts", None, "CUSTOMER"),
-    ("Sort by health", "CUSTOMER", "CUSTOMER"),
-    ("Renewal dates for Initech", "CUSTOMER", "CUSTOMER"),
-    ("Sum it all up", None, None),
-    ("Plan my Friday", None, None),
-    ("Which deals slipped twice?", None, "PIPELINE"),
-    ("pipeline and churn", None, None),
-    ("éstage", None, None),  # a letter of any script continues the word
-    (None, None, None),
-]
-
-
-def test_route_query(spark):
-    texts = [r[0] for r in ROUTES]
-    assert mapped(spark, texts, X.route_query) == [r[1] for r in ROUTES]
-    assert mapped(spark, texts, lambda c: X.route_query(c, X.has_stem)) == [r[2] for r in ROUTES]
+# Inputs are put together from the rules themselves: each word alone, in pairs, inside other words and with anything around it.
+
+PIPELINE, CUSTOMER, UNSAFE = (words.split("|") for words in (C.PIPELINE_WORDS, C.CUSTOMER_WORDS, C.UNSAFE_SQL_WORDS))
+WORDY, BREAKING = "bx5_éß漢", " .,;:()'\n-"
+AROUND = st.text(alphabet=WORDY + BREAKING, max_size=5)
+
+
+def typed(word):
+    """Spellings of a word of the rules, in which a point stands for any character."""
+    shown = st.sampled_from(" -_x").map(lambda c: word.replace(".", c))
+    return st.tuples(shown, st.sampled_from([str.lower, str.upper, str.title])).map(lambda p: p[1](p[0]))
+
+
+def sentences(words):
+    part = st.tuples(AROUND, st.sampled_from(words).flatmap(typed), AROUND).map("".join)
+    return st.lists(st.one_of(part, AROUND), max_size=3).map(" ".join)
+
+
+def is_wordy(char):
+    return char.isalnum() or char == "_"
+
+
+def holds(text, word, whole):
+    """Whether the word, or one that it begins, stands in the text."""
+    low = text.lower()
+    for at in range(len(low) - len(word) + 1):
+        same = all(w in (c, ".") for w, c in zip(word.lower(), low[at:]))
+        if same and not (at and is_wordy(low[at - 1])) and not (whole and is_wordy(low[at + len(word) : at + len(word) + 1])):
+            return True
+    return False
+
+
+def route(text, whole):
+    if text is None:
+        return None
+    pipeline, customer = (any(holds(text, w, whole) for w in words) for words in (PIPELINE, CUSTOMER))
+    return "PIPELINE" if pipeline and not customer else "CUSTOMER" if customer and not pipeline else None
+
+
+def checked_routes(spark, texts):
+    assert mapped(spark, texts, X.route_query) == [route(t, True) for t in texts]
+    assert mapped(spark, texts, lambda c: X.route_query(c, X.has_stem)) == [route(t, False) for t in texts]
+
+
+def test_route_query_by_each_word(spark):
+    words = [w.replace(".", " ") for w in PIPELINE + CUSTOMER]
+    texts = [None, "", *words, *map(str.upper, words), *(f"{w}s" for w in words), *(f"é{w}" for w in words), *(f"x {a}, {b}" for a, b in zip(words, words[1:] + words[:1]))]
+    checked_routes(spark, texts)
+    assert {route(w, True) for w in words} == {"PIPELINE", "CUSTOMER"}
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(texts=st.lists(sentences(PIPELINE + CUSTOMER), min_size=30, max_size=60))
+def test_route_query_in_any_text(spark, texts):
+    checked_routes(spark, texts)
 
 
 def test_labels(spark):
@@ -61,8 +93,8 @@ def test_classify_shortcut_is_a_substring_rule(spark):
 
 
 def test_prebuilt_risk_needs_a_statement(spark):
-    texts = ["Show accounts at risk", "Which accounts are at risk?", "Churning customers", "revenue"]
-    assert mapped(spark, texts, X.use_prebuilt_risk) == [True, False, True, False]
+    texts = [f"{before}{term}{after}" for term in C.RISK_TERMS for before in ("", "x ", "un") for after in ("", "s.", "?", " y? z")] + ["none"]
+    assert mapped(spark, [t.upper() for t in texts], X.use_prebuilt_risk) == [t != "none" and "?" not in t for t in texts]
 
 
 def test_account_candidate(spark):
@@ -73,19 +105,22 @@ def test_account_candidate(spark):
     assert mapped(spark, texts, X.account_candidate) == ["Acme", "Globex", None, "Initech", None, "Umbrella"]
 
 
-SAFE = [
-    "SELECT owner_id FROM quota_plan", "select max(arr), min(arr) from yearly", "SELECT a.x FROM a JOIN b ON a.id = b.id",
-    "WITH big AS (SELECT x FROM y WHERE x > 9) SELECT sum(x) FROM big", "SELECT last_updated FROM notes", "GRANT SELECT ON notes TO guest",
-]
-UNSAFE = [
-    "delete from notes where id = 4", "Drop view yearly", "update notes set txt = ''", "truncate notes", "insert into notes select 1",
-    "alter table notes rename to n", "SELECT 2; drop table notes", "SELECT replace(txt, 'a', 'b') FROM notes", "SELECT 'insert' AS word",
-    "CREATE VIEW v AS SELECT 1", "merge into notes using n on true",
-]
+def safe(text):
+    return not any(holds(text, w, True) for w in UNSAFE)
+
+
+def test_sql_guard_by_each_word(spark):
+    inside = [f"{before}{word}{after}" for word in UNSAFE for before, after in (("", "d"), ("re", ""), ("_", ""), ("", "_at"), ("é", ""))]
+    alone = [f"{before}{word}{after}" for word in UNSAFE for before, after in (("", ""), ("SELECT 1; ", " x"), ("'", "'"), ("a.", "(b)"), ("--", "\n"))]
+    pairs = [f"{a} {b}" for a, b in zip(UNSAFE, UNSAFE[1:])]
+    texts = [spelled for t in inside + alone + pairs for spelled in (t, t.lower())]
+    assert mapped(spark, texts, X.sql_is_safe) == [True] * 2 * len(inside) + [False] * 2 * (len(alone) + len(pairs))
 
 
-def test_sql_guard(spark):
-    assert mapped(spark, SAFE + UNSAFE, X.sql_is_safe) == [True] * len(SAFE) + [False] * len(UNSAFE)
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(texts=st.lists(sentences(UNSAFE + ["select", "from", "updated_at"]), min_size=30, max_size=60))
+def test_sql_guard_in_any_text(spark, texts):
+    assert mapped(spark, texts, X.sql_is_safe) == [safe(t) for t in texts]
 
 
 def test_strip_fence(spark):
