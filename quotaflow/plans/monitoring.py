@@ -180,6 +180,57 @@ def rolling_groundedness(traces: DataFrame, days: int = 7) -> DataFrame:
     )
 
 
+RULES = "rule string, metric string, hours int, side string, limit_value double"
+
+
+def default_rules(cost_budget: float) -> list[tuple]:
+    """The usual rules, as rows of ``RULES``: windows in hours, alarm below or above a limit."""
+    return [
+        ("confidence", "confidence", 24, "below", C.ALERT_CONFIDENCE),
+        ("groundedness", "groundedness", 24, "below", C.ALERT_GROUNDED_7D),
+        ("cost", "cost", 24, "above", cost_budget),
+        ("sql_failures", "sql_failures", 24, "above", C.ALERT_SQL_FAILURE),
+    ]
+
+
+def hourly_metrics(traces: DataFrame) -> DataFrame:
+    """Metrics as rows: ``metric``, ``hour``, and the exact ``total`` and ``number`` that any longer window sums up.
+
+    A value is total / number; ``cost`` is a sum, its number is null.
+    """
+    tokens = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("input_tokens", "output_tokens")}
+    usd = tokens["input_tokens"] * int(C.USD_PER_M_INPUT * 1000) + tokens["output_tokens"] * int(C.USD_PER_M_OUTPUT * 1000)
+    exact = lambda c: F.sum(F.col(c).cast("decimal(18,6)")).cast("decimal(38,6)")
+    hours = traces.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(
+        exact("confidence_score").alias("confidence"), F.count("confidence_score").alias("confidence_n"),
+        exact("groundedness_score").alias("groundedness"), F.count("groundedness_score").alias("groundedness_n"),
+        (F.sum(usd.cast("decimal(28,0)")) / F.lit(10**9).cast("decimal(10,0)")).cast("decimal(38,6)").alias("cost"),
+        F.count_if(~F.col("sql_success")).cast("decimal(38,6)").alias("sql_failures"), F.count("sql_success").alias("sql_failures_n"),
+        F.sum("total_latency_ms").cast("decimal(38,6)").alias("latency_ms"), F.count("total_latency_ms").alias("latency_ms_n"),
+        F.count(F.lit(1)).cast("decimal(38,6)").alias("calls"),
+    )
+    averages, sums = ("confidence", "groundedness", "sql_failures", "latency_ms"), ("cost", "calls")
+    none = F.lit(None).cast("long").alias("number")
+    rows = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("total"), F.col(f"{m}_n").alias("number")) for m in averages]
+    rows += [F.struct(F.lit(m).alias("metric"), F.col(m).alias("total"), none) for m in sums]
+    return hours.select("hour", F.explode(F.array(*rows)).alias("m")).select("m.metric", "hour", "m.total", "m.number")
+
+
+def fired_rules(metrics: DataFrame, rules: DataFrame) -> DataFrame:
+    """Each rule over each of its windows: (rule, since, value, limit_value, fired); the rules are data.
+
+    ``metrics``: as ``hourly_metrics``. Windows of ``hours`` start at whole multiples since 1970-01-01 (a day at midnight). A
+    window without a value (nothing to average) does not fire.
+    """
+    seconds = F.col("hours") * 3600
+    start = F.floor(F.unix_timestamp(F.col("hour").cast("timestamp")) / seconds) * seconds
+    windows = metrics.join(rules.where("hours >= 1"), "metric").withColumn("since", F.timestamp_seconds(start).cast("timestamp_ntz"))
+    sums = windows.groupBy("rule", "since", "side", "limit_value").agg(F.sum("total").alias("total"), F.sum("number").alias("number"))
+    value = F.when(F.col("number").isNull(), F.col("total").cast("double")).when(F.col("number") > 0, F.col("total").cast("double") / F.col("number"))
+    fired = F.when(F.col("side") == "below", F.col("value") < F.col("limit_value")).otherwise(F.col("value") > F.col("limit_value"))
+    return sums.withColumn("value", value).select("rule", "since", F.round("value", 6).alias("value"), "limit_value", F.coalesce(fired, F.lit(False)).alias("fired"))
+
+
 def alert_rules(traces: DataFrame, cost_budget: float) -> DataFrame:
     """Rule rows per day: (day, rule, value, limit_value, fired)."""
     daily = traces.groupBy(F.to_date("ts").alias("day")).agg(

@@ -252,6 +252,11 @@ SELECT concat('q', cast(d.doc_id AS string)) AS id, concat('run', cast(d.doc_id
   CASE WHEN l.quality IS NULL THEN NULL ELSE cast(70 + d.doc_id % 31 AS double) / 100 END AS groundedness_score,
   coalesce(l.toxic, 0) = 1 AS is_error
 FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id""",
+    "reporting_lines": """
+SELECT concat('mgr-', cast(n_nationkey AS string)) AS manager, concat('mgr-', cast((n_nationkey * 3 + n_regionkey) % 25 AS string)) AS member
+FROM {nation}
+UNION ALL
+SELECT concat('head-', cast(n_regionkey AS string)), concat('mgr-', cast(n_nationkey AS string)) FROM {nation}""",
     "entitlements": """
 SELECT concat('mgr-', cast(s_nationkey AS string)) AS viewer, cast(s_suppkey % 25 AS string) AS owner_id FROM {supplier}""",
 }

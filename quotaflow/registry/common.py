@@ -31,4 +31,4 @@ def oracle(views: list[str], body: str, ctes: str = "") -> str:
     parts = [oracle_cte(v) for v in views]
     if ctes:
         parts.append(ctes)
-    return f"WITH {', '.join(parts)} {body}" if parts else body
+    return f"WITH RECURSIVE {', '.join(parts)} {body}" if parts else body

@@ -202,3 +202,5 @@ def _csv(rows, order=None):
     write_csv(rows, path, order=order)
     lines = rows.sparkSession.read.text(path).withColumnRenamed("value", "line")
     return lines.filter(F.replace("line", F.lit('"'), F.lit("")) != ",".join(C.JOB_CSV_COLUMNS))
+
+job_items, ITEMS_CTE = _items, _ITEMS

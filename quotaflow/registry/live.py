@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,9 +12,11 @@ from quotaflow import constants as C
 from quotaflow.operators import merge
 from quotaflow.plans.views import Inputs
 from quotaflow.registry.common import Entry, oracle
-from quotaflow.registry.tables import MOVED_SQL, VALID_TYPE, deal_versions
+from quotaflow.registry.jobs import ITEM_ORDER, ITEMS_CTE, JOBS, job_items
+from quotaflow.registry.tables import MOVED_SQL, PARSE_CTE, VALID_TYPE, deal_versions
 from quotaflow.session import run_folder
-from quotaflow.streaming import alerts, incremental, medallion
+from quotaflow.streaming import alerts, incremental, medallion, quality
+from quotaflow.streaming import jobs as job_run
 
 BATCHES, FILES = 4, 2
 
@@ -110,6 +114,32 @@ def _reviews(i: Inputs) -> DataFrame:
     return _untimed(rows, "feedback_ts", "answer_ts").select("trace_id", "comment", "query", "agent_type", "groundedness_score", "confidence_score", "feedback_ts", "answer_ts")
 
 
+def _new_jobs(i: Inputs) -> DataFrame:
+    """Three search runs: some queries, some of them again with others, and all."""
+    root, items = run_folder(i.spark, "runs"), job_items(i)
+    for run, wanted in enumerate(("query_idx < 6", "query_idx >= 3 AND query_idx < 9", "true")):
+        job_run.add_run(items.where(wanted), root, run, dt.datetime(2024, 1, 1 + run), ITEM_ORDER)
+        _done(job_run.job_stream(i.spark, root, once=True))
+    return i.spark.read.parquet(f"{root}/new_jobs").drop("seen_at")
+
+
+def _quality(i: Inputs) -> DataFrame:
+    root = run_folder(i.spark, "quality")
+    raw = _stream(i.opportunity_raw.withColumn("kafka_ts", F.col("kafka_ts").cast("timestamp")), F.col("kafka_ts"), root, "raw")
+    listener = quality.QualityListener(i.spark, root, f"quality-{root[-8:]}")
+    i.spark.streams.addListener(listener)
+    try:
+        rows = quality.checked_rows(raw, "opportunity")
+        query = rows.writeStream.queryName(listener.name).option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).format("parquet").start(f"{root}/valid")
+        _done(query)
+        listener.wait(query)
+    finally:
+        i.spark.streams.removeListener(listener)
+    return quality.stored_report(i.spark, root).unionByName(
+        i.spark.read.parquet(f"{root}/valid").agg(F.lit("kept").alias("rule"), F.lit(0).cast("long").alias("violations"), F.count("*").alias("total_rows"))
+    )
+
+
 _P95_SQL = (
     "SELECT 'hour' AS span, date_trunc('hour', ts) AS since, agent_type, count(*) AS calls, CAST(quantile_disc(total_latency_ms, 0.95) AS BIGINT) AS p95_ms, quantile_disc(total_latency_ms, 0.95) > 5000 AS alert "
     "FROM agent_traces GROUP BY ALL UNION ALL SELECT 'day', CAST(CAST(ts AS DATE) AS TIMESTAMP), NULL, count(*), CAST(quantile_disc(total_latency_ms, 0.95) AS BIGINT), quantile_disc(total_latency_ms, 0.95) > 5000 FROM agent_traces GROUP BY ALL"
@@ -133,10 +163,25 @@ _REVIEWS_SQL = (
     "FROM user_feedback f JOIN agent_traces t USING (trace_id) WHERE rating = 1 AND CAST(trace_id AS BIGINT) % 10 <= 7"
 )
 
+_RUNS = (
+    "shown AS (SELECT *, CAST(0 AS INTEGER) AS run FROM items WHERE query_idx < 6 UNION ALL SELECT *, 1 FROM items WHERE query_idx >= 3 AND query_idx < 9 UNION ALL SELECT *, 2 FROM items)"
+)
+_NEW_JOBS_SQL = (
+    "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY lower(concat(title, '|', company)) ORDER BY run, query_idx, response_no, item_no) AS rn FROM shown) WHERE rn = 1"
+)
+_QUALITY_SQL = (
+    "SELECT 'valid_opportunity_id' AS rule, count(*) FILTER (opportunity_id IS NULL) AS violations, count(*) AS total_rows FROM parsed "
+    f"UNION ALL SELECT 'valid_event_type', count(*) FILTER (NOT coalesce({VALID_TYPE}, false)), count(*) FROM parsed "
+    "UNION ALL SELECT 'valid_amount', count(*) FILTER (NOT coalesce(amount > 0, false)), count(*) FROM parsed "
+    f"UNION ALL SELECT 'kept', 0, count(*) FROM parsed WHERE opportunity_id IS NOT NULL AND coalesce({VALID_TYPE}, false)"
+)
+
 ENTRIES: dict[str, Entry] = {
     "stream_p95_latency": Entry(_p95, oracle(["agent_traces"], _P95_SQL)),
     "stream_lag_alert": Entry(_partitions, oracle(["cdc_events"], _PARTITIONS_SQL)),
     "stream_health_degradation": Entry(_falls, oracle(["cdc_events"], _FALLS_SQL)),
     "stream_stage_totals": Entry(_totals, oracle(["opportunity_current"], _TOTALS_SQL, MOVED_SQL)),
+    "stream_new_jobs": Entry(_new_jobs, oracle(JOBS, _NEW_JOBS_SQL, f"{ITEMS_CTE}, {_RUNS}")),
+    "stream_dq_report": Entry(_quality, oracle(["opportunity_raw"], _QUALITY_SQL, PARSE_CTE["opportunity"])),
     "stream_feedback_review": Entry(_reviews, oracle(["user_feedback", "agent_traces"], _REVIEWS_SQL)),
 }

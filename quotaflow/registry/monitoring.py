@@ -13,6 +13,13 @@ TS = f"TIMESTAMP '{AS_OF_TS}'"
 TRACES = ["agent_traces"]
 
 
+# Rules that are rows only: another window, another limit, another metric.
+MORE_RULES = [
+    ("groundedness_week", "groundedness", 168, "below", 0.8), ("busy_hour", "calls", 1, "above", 20.0),
+    ("slow_half_day", "latency_ms", 12, "above", 10_000.0), ("cost_hour", "cost", 1, "above", 0.25),
+]
+
+
 def _avg(column: str) -> str:
     """Average over exact decimals, as limits are tested on it."""
     return f"CAST(sum(CAST({column} AS DECIMAL(18,6))) AS DOUBLE) / count({column})"
@@ -239,6 +246,20 @@ ENTRIES: dict[str, Entry] = {
             f"d AS (SELECT CAST(ts AS DATE) AS day, {_avg('confidence_score')} AS c, {_avg('groundedness_score')} AS g, {DAY_COST} AS k, {FAIL} AS f FROM agent_traces GROUP BY 1)",
         ),
     ),
+    "alert_rules_table": Entry(
+        lambda i: M.fired_rules(M.hourly_metrics(i.agent_traces), i.spark.createDataFrame([*M.default_rules(DAILY_BUDGET), *MORE_RULES], M.RULES)),
+        oracle(
+            TRACES,
+            "SELECT rule, since, round(value, 6) AS value, limit_value, coalesce(CASE side WHEN 'below' THEN value < limit_value ELSE value > limit_value END, false) AS fired FROM "
+            "(SELECT r.rule, r.side, r.limit_value, to_timestamp(floor(epoch(ts) / (r.hours * 3600)) * r.hours * 3600) AT TIME ZONE 'UTC' AS since, CASE r.metric "
+            f"WHEN 'confidence' THEN {_avg('confidence_score')} WHEN 'groundedness' THEN {_avg('groundedness_score')} WHEN 'cost' THEN {DAY_COST} "
+            f"WHEN 'sql_failures' THEN {FAIL} WHEN 'latency_ms' THEN {_avg('total_latency_ms')} ELSE CAST(count(*) AS DOUBLE) END AS value "
+            "FROM agent_traces, r GROUP BY r.rule, r.metric, r.side, r.limit_value, r.hours, since)",
+            "r AS (SELECT rule, metric, hours, side, CAST(l AS DOUBLE) AS limit_value FROM (VALUES "
+            + ", ".join(str(r) for r in [*M.default_rules(DAILY_BUDGET), *MORE_RULES])
+            + ") v(rule, metric, hours, side, l))",
+        ),
+    ),
     "lag_alert": Entry(
         lambda i: M.lag_alerts(*_produced_consumed(i), AS_OF_TS),
         oracle(

@@ -95,6 +95,12 @@ _MOVES = (
     "FROM new_deals n JOIN opportunity_current o USING (opportunity_id) WHERE n.stage <> o.stage)"
 )
 
+_ENTITLED = (
+    "below(origin, member) AS (SELECT viewer, viewer FROM entitlements UNION SELECT manager, manager FROM reporting_lines "
+    "UNION SELECT b.origin, l.member FROM below b JOIN reporting_lines l ON l.manager = b.member), "
+    "entitled AS (SELECT DISTINCT origin AS viewer, owner_id FROM below JOIN entitlements ON viewer = member)"
+)
+
 
 def _upsert(i: Inputs):
     target = i.arr_source
@@ -257,6 +263,18 @@ ENTRIES: dict[str, Entry] = {
             "SELECT * FROM opportunity_current WHERE owner_id IN (SELECT owner_id FROM entitlements WHERE viewer = 'mgr-7')",
         ),
     ),
+    "row_filter_nested": Entry(
+        lambda i: access.visible_rows(i.opportunity_current, "mgr-7", "manager", i.entitlements, lines=i.reporting_lines),
+        oracle(
+            ["opportunity_current", "entitlements", "reporting_lines"],
+            "SELECT * FROM opportunity_current WHERE owner_id IN (SELECT owner_id FROM entitled WHERE viewer = 'mgr-7')",
+            _ENTITLED,
+        ),
+    ),
+    "entitled_owners": Entry(
+        lambda i: access.entitled_owners(i.entitlements, i.reporting_lines),
+        oracle(["entitlements", "reporting_lines"], "SELECT viewer, owner_id FROM entitled", _ENTITLED),
+    ),
     "row_filter_rep": Entry(
         lambda i: access.visible_rows(i.opportunity_current, "7", "rep"),
         oracle(["opportunity_current"], "SELECT * FROM opportunity_current WHERE owner_id = '7'"),

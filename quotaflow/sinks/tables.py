@@ -20,9 +20,10 @@ def append(df: DataFrame, table: str, path: str, fmt: str = "parquet") -> None:
         rows.write.format(fmt).mode("append").save(path)
 
 
-def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Write one micro-batch as its own partition; running the batch again replaces it and adds nothing."""
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def append_batch(df: DataFrame, path: str, batch_id: int, by: tuple[str, ...] = ()) -> None:
+    """Write one micro-batch as its own partition, cut further ``by`` columns; running the batch again replaces it and adds nothing."""
+    # static: a repeated batch also removes the finer partitions that it no longer has
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*by).parquet(f"{path}/batch_id={batch_id}")
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition: str = "snapshot_date") -> None:
