@@ -7,6 +7,7 @@ question. Scores are cosines rounded to six digits, ties go to the smaller chunk
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quotaflow import constants as C
 from quotaflow.operators.ranking import top_per_key
+from quotaflow.session import run_folder
 
 RESULT = "query_id long, chunk_id string, score double"
 QUESTION_BYTES = 128 << 20  # vectors of one block of questions, as the tasks hold them
@@ -78,6 +80,10 @@ def _narrow_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", "doc_type", "account_id", "embedding").filter("embedding IS NOT NULL")
 
 
+def _ranked(candidates: DataFrame, k: int) -> DataFrame:
+    return top_per_key(candidates, ["query_id"], [F.col("score").desc(), F.col("chunk_id").asc()], k, rank="rank")
+
+
 def _narrow_questions(questions: DataFrame) -> DataFrame:
     return questions.select(
         F.col("query_id").cast("long").alias("query_id"), "doc_type", "account_id", "embedding"
@@ -144,14 +150,24 @@ def nearest_chunks(
     asked = _narrow_questions(questions)
     numbers = asked.agg(F.sum(F.size("embedding"))).first()[0] or 0
     blocks = max(1, -(-8 * numbers // question_bytes))
-    candidates = chunks.sparkSession.createDataFrame([], RESULT)
+    spark, root = chunks.sparkSession, run_folder(chunks.sparkSession, "search")
+    empty = _ranked(spark.createDataFrame([], RESULT), k)
+    stored = []
     for block in range(blocks):
         part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas()  # about question_bytes
         if seed is not None and len(part):
             part = part.merge(_floors(seed, part, k), on="query_id", how="left").fillna({"floor": -np.inf})
-        if len(part):
-            candidates = candidates.unionByName(_broadcast_candidates(chunks, part, k))
-    return top_per_key(candidates, ["query_id"], [F.col("score").desc(), F.col("chunk_id").asc()], k, rank="rank")
+        if not len(part):
+            continue
+        found = _ranked(_broadcast_candidates(chunks, part, k), k)
+        if blocks == 1:
+            return found
+        # the result of a block is written before the next block is read, so that one block is held at a time
+        found.write.parquet(f"{root}/{block}")
+        stored.append(f"{root}/{block}")
+        del part, found
+        gc.collect()  # lets go of the block's broadcast
+    return spark.read.schema(empty.schema).parquet(*stored) if stored else empty
 
 
 def keep_account(results: DataFrame, name: str = "account_name", wanted: str = "wanted_account") -> DataFrame:

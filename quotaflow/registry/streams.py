@@ -24,6 +24,7 @@ from quotaflow.streaming import documents as doc_stream
 from quotaflow.streaming import medallion
 
 EARLIER = dt.date(2001, 4, 1)
+FILES = 4  # of a batch
 _BRONZE = "SELECT raw_json, kafka_offset, kafka_partition, kafka_ts FROM {0}_raw"
 _DLQ = "CASE WHEN kafka_partition < 3 THEN 'dlq.opportunity' ELSE 'dlq.account' END"
 TRACE_COLUMNS = ["trace_id", "session_id", "agent_type", "query", "total_latency_ms", "confidence_score", "input_tokens", "output_tokens", "estimated_cost_usd", "model", "ts"]
@@ -68,10 +69,11 @@ def _scd1_stream(i: Inputs) -> DataFrame:
     """All events in four batches that overlap in time, so later batches bring late events, updates and deletes."""
     root = run_folder(i.spark, "scd1")
     events = i.cdc_events.filter("event_type IN ('CREATE', 'UPDATE', 'DELETE')")
+    turn = F.coalesce(F.pmod("kafka_offset", F.lit(4)), F.lit(0))
     for part in range(4):
-        events.filter(F.pmod("kafka_offset", F.lit(4)) == part).coalesce(1).write.mode("append").parquet(f"{root}/events")
+        events.filter(turn == part).repartition(FILES, "entity_id").write.mode("append").parquet(f"{root}/events")
     table = KeyedTable(i.spark, f"{root}/table", "entity_id", fold_every=2)
-    stream = medallion.table_stream(i.spark, f"{root}/events", files_per_batch=1)
+    stream = medallion.table_stream(i.spark, f"{root}/events", files_per_batch=FILES)
     medallion.keyed_sink(stream, table, root, "scd1", once=True).awaitTermination()
     return table.current().select("entity_id", "event_type", "amount", "updated_at", "kafka_offset")
 
