@@ -11,6 +11,8 @@ import pytest
 
 from quotaflow.llm import langid, ngram_lm, pieces, queries, toxicity
 
+from tests.llm.conftest import LONG
+
 FOLDER = "/root/testdata/sf0.01"
 
 
@@ -48,6 +50,51 @@ def test_false_positives_are_corrected(some):
     assert sum(true[r.doc_id] == r.lang_pred for r in small) / len(small) > 0.9
 
 
+def plain_grams(text):
+    words = b"  " + b" ".join(text.decode().lower().encode().translate(langid.LETTERS).split()) + b"  "
+    return [int.from_bytes(words[i : i + 4]) for i in range(len(words) - 3)]
+
+
+@pytest.mark.parametrize(("grams", "size"), [(1 << 17, 1 << 16), (64, 64), (50, 7), (5, 1)])
+def test_slices_have_the_same_ngrams(some, grams, size):
+    given = [(r.text or "").encode() for r in some.limit(60).collect()]
+    given += [b"", b"  ", b"a", "éÉ".encode(), b"12 34", b"ab12cd  ef", b"x" * 300, b" " * 300, "漢字 Straße ".encode() * 40]
+    found = [[] for _ in given]
+    for values, owner, _ in langid.parts_of(given, grams, size):
+        for value, i in zip(values.tolist(), owner.tolist()):
+            found[i].append(value)
+    assert found == [plain_grams(t) for t in given]
+
+
+def test_slices_have_the_same_hits(some):
+    model, given = langid.train(some), [(r.text or "").encode() for r in some.collect()] + [LONG.encode()]
+    for a, b in zip(model.corrected(given), model.corrected(given, 64, 64)):
+        assert np.array_equal(a, b)
+
+
+def test_a_hundred_languages(spark):
+    rng, rows = random.Random(3), []
+    for lang in range(100):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(30)]
+        rows += [(lang * 40 + i, " ".join(rng.choices(words, k=40)), f"l{lang:03}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert len(model.langs) == 100 and model.slots.shape[1] == 2 and model.fill.max() < 0.4
+    want = {i: lang for i, _, lang in rows}
+    assert all(r.lang_pred == want[r.doc_id] for r in langid.predict(docs, model).collect() if r.held_out)
+
+
+def test_slots_follow_the_ngrams(spark):
+    rng, bits = random.Random(9), []
+    for n in (40, 4000):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(n)]
+        rows = [(i, " ".join(words[i::20]), "en") for i in range(20)]
+        model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+        assert model.fill.max() < 1 - np.exp(-langid.HASHES / langid.LOAD) + 0.02
+        bits.append(model.bits)
+    assert bits[0] < bits[1]
+
+
 def test_toxicity_of_held_out_texts(spark):
     folder = "/root/testdata/sf0.1"
     got = queries.op6_toxicity(spark, folder).collect()
@@ -176,6 +223,46 @@ def test_best_segmentations_of_texts(vocabulary):
         assert [c[0] for c in got] == [c[0] for c in want[:4]] and set(got) <= set(want)
 
 
+def test_words_together_are_words_searched(vocabulary):
+    rng = random.Random(11)
+    words = list({" " * rng.randrange(3) + "".join(rng.choices("aehtnrioslé▁", k=rng.randint(1, 30))) for _ in range(400)} - {""})
+    words = [w for w in words if vocabulary.characters.issuperset(w)]
+    score, loss, counts, ids = pieces.best_paths(words, vocabulary, pieces.Finder(vocabulary))
+    ends, raw = np.cumsum(counts) * 4, ids.tobytes()
+    for i, word in enumerate(words):
+        choices = pieces.best_of(word, vocabulary, 2)
+        want = choices[0][0] - choices[1][0] if len(choices) > 1 else np.inf
+        assert (score[i], raw[ends[i] - 4 * counts[i] : ends[i]], loss[i]) == (*choices[0], want)
+
+
+def test_texts_are_their_words(vocabulary, monkeypatch):
+    """The best two of a text, from a search of every word; words are numbered a few at a time."""
+    given = ["", "\n", "  two  blanks ", "漢字 unknown 😀", "the same the same the same", "x" * 90 + " long", " ".join("".join(c) for c in itertools.product("aht", repeat=4))]
+    whole = [pieces.Encoder(vocabulary, 2).text(t) for t in given]
+    monkeypatch.setattr(pieces, "PART_WORDS", 5)
+    monkeypatch.setattr(pieces, "GROUP_WORDS", 3)
+    assert pieces.Encoder(vocabulary, 2).texts(given) == whole
+    for text, found in zip(given, whole):
+        words = [pieces.best_of(w, vocabulary, 2) for w in pieces.WORDS.findall(" " + text)] if text else []
+        best = sum(w[0][0] for w in words), b"".join(w[0][1] for w in words)
+        assert found[0] == best and pieces.same_text(best[1], text.encode(), vocabulary)
+        losses = [w[0][0] - w[1][0] for w in words if len(w) > 1]
+        assert [c[0] for c in found[1:]] == ([best[0] - min(losses)] if losses else [])
+        assert not pieces.same_text(best[1], text.encode() + b"x", vocabulary)
+
+
+def test_colliding_hashes_are_told_apart(vocabulary):
+    finder = pieces.Finder(vocabulary)
+    small = pieces.Finder.__new__(pieces.Finder)
+    small.__dict__.update(finder.__dict__)
+    none = len(finder.hashes) - 1
+    small.tables, small.more = [np.full_like(t, none) for t in finder.tables], np.arange(200)  # all looked up one by one
+    assert finder.shared.any() and len(finder.more) == 0
+    codes = np.frombuffer("".join(list(vocabulary.plain)[:60]).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    a, b = finder.pieces(codes, 6), small.pieces(codes, 6)
+    assert np.array_equal(np.where(a < 200, a, none), b)
+
+
 def test_round_trip(odd, none, read, vocabulary):
     encoded = pieces.encode(odd).cache()
     back = pieces.decode(encoded)
