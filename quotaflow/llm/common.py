@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,6 +14,7 @@ from quotaflow.session import run_folder
 # ASCII bytes that are not letters or digits separate words; every byte of a non-ASCII character belongs to a word.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 BLANKS = b" \t\n\x0b\x0c\r"
+MAP_BITS = 26  # of a bit map of rows: 8 MB
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -61,8 +63,17 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [v or b"" for v in values]
 
 
+def release() -> None:
+    """Gives memory that this worker process no longer uses back to the system; the process stays for other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def pieces_of(batches: Iterator[pa.RecordBatch], limit: int, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the texts of each hold about ``limit`` bytes (a single longer text stays whole)."""
+    release()  # what earlier tasks have left
     for batch in batches:
         sizes = [len(t) for t in texts_of(batch, column)]
         start, held = 0, 0
@@ -73,3 +84,20 @@ def pieces_of(batches: Iterator[pa.RecordBatch], limit: int, column: str = "text
             held += size
         if start < len(sizes):
             yield batch.slice(start)
+    release()
+
+
+def with_maybe(df: DataFrame, column: str, rows: DataFrame, flag: str, bits: int = MAP_BITS) -> DataFrame:
+    """``df`` with a column ``flag``: whether its ``column`` may be among that of ``rows``. True for all that are, and for some others.
+
+    The bit map has a fixed size, whatever the number of rows, and is broadcast; the more rows, the more others pass. The two
+    columns have one type, since equal numbers of different types have different hashes.
+    """
+    part, held = free_name(df, "part"), free_name(df, "map")
+    place = f"pmod(xxhash64(`{column}`), {1 << bits}L) + 1"
+    maps = rows.select(F.expr(place).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias(part))
+    maps = stored(maps.agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias(held)), "bit-map")  # 4 KB each, 2,048 at most
+    octet = F.expr(f"cast(conv(hex(substring(`{held}`, cast(bitmap_bit_position({place}) div 8 AS int) + 1, 1)), 16, 10) AS int)")
+    bit = F.expr(f"shiftleft(1, cast(bitmap_bit_position({place}) % 8 AS int))")
+    joined = df.withColumn(part, F.expr(f"bitmap_bucket_number({place})")).join(F.broadcast(maps), part, "left")
+    return joined.withColumn(flag, F.coalesce(octet.bitwiseAND(bit) != 0, F.lit(False))).drop(part, held)

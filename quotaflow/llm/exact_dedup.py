@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quotaflow.llm.common import BLANKS, stored, texts_of, with_row
+from quotaflow.llm.common import BLANKS, release, stored, texts_of, with_row
 
 BUCKET_BYTES = 64 << 20  # content that one table holds
 MEMBER, GROUP, SPILLED = 0, 1, 2
@@ -98,6 +98,7 @@ def _fold(schema: pa.Schema, buckets: int, limit: int) -> Callable:
                     yield from records()
                     size = 0
         yield from records()
+        release()
 
     return run
 
@@ -125,11 +126,13 @@ def _resolve(schema: pa.Schema, limit: int, level: int, buckets: int) -> Callabl
                 out.append((MEMBER, None, digest, group[3], rows, ids, None, None, None, None, None))
             yield _batch(out, schema)
         groups = list(held.values())
+        held.clear()
         for start in range(0, len(groups), 10_000):
             yield _batch(
                 [(GROUP, None, d, t, None, None, -r[0], None if r[1] else r[2], r[3], n, None) for r, n, d, t in groups[start : start + 10_000]],
                 schema,
             )
+        release()
 
     return run
 

@@ -4,7 +4,8 @@ import corpus_pipeline
 from quotaflow.llm import exact_dedup, pieces
 from quotaflow.llm.common import stored
 
-from tests.llm.test_dedup import BLANK, near
+from tests.llm.test_dedup import BLANK
+from tests.llm.test_near import brute
 from tests.llm.test_search import contaminated
 
 FOLDER = "/root/testdata/sf0.001"
@@ -34,7 +35,13 @@ def test_run(spark):
         groups.setdefault(text.translate(BLANK), []).append((-len(text), doc_id))
     kept = {min(m)[1] for m in groups.values()}
     rows = [r for r in rows if r[0] in kept]
-    kept = {c for _, _, c in near(rows)}
+    near_to, kept = {}, set()
+    for i, j in brute(rows):
+        near_to.setdefault(i, set()).add(j)
+        near_to.setdefault(j, set()).add(i)
+    for i in sorted(i for i, _ in rows):  # of two near documents the one with the smaller id stays
+        if not kept & near_to.get(i, set()):
+            kept.add(i)
     rows = [r for r in rows if r[0] in kept]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
     want = {d for d, _, hit, _ in contaminated(rows, items) if not hit}
