@@ -8,10 +8,16 @@ an insult or threat; its weight is the clause's score. Isolated words outside su
 
 Besides the fixed word lists, the lexicon holds learned stems: word beginnings that labelled toxic texts use in many
 different contexts and clean ones hardly ever. Counting contexts (the word before) instead of documents keeps copies
-of one toxic text from making insults of all its words. Stems come from all labelled texts outside the held-out fold.
-What is sent to the tasks are the stems that reach a given part of all contexts of the toxic texts, so their number is
-bounded by the reciprocal of that part. Their distinct contexts in all toxic and all clean texts are then counted the
-same way, by mergeable sketches (the ``KEPT`` smallest hashes), and set against all distinct contexts of the class.
+of one toxic text from making insults of all its words. All labelled texts outside the held-out fold are counted, both
+classes alike and without an estimate: a batch sends its distinct contexts as nine bytes (hashes of 40 bits for the word and
+32 for the context in it: of ten million words some dozens fall together, of a million contexts of one word some hundred),
+dealt by the context, so that no word's contexts come together in one task; a part unites them and counts them by word, and
+words are summed to stems.
+
+A learned stem has ``LEAST_CONTEXTS`` toxic contexts, without which nothing is known of it, and ``LEAST_PART`` of all of
+them. The second is a share, the same for a table of any size: it leaves out stems rarer than one in 100,000 toxic contexts,
+and so bounds the stems that are sent to the tasks (ten lengths of stem, each with 100,000 at most). Up to 800,000 toxic
+contexts the first is the stricter one, so a stem that a smaller table teaches is not lost on a larger one of its kind.
 Clause scores become a probability by a logistic regression, fitted on the ``SAMPLE`` labelled ids with the smallest
 hashes.
 
@@ -23,6 +29,7 @@ the larger counts. Without labels of both kinds the fixed lists and weights alon
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,17 +37,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotaflow.llm.common import part_of, pieces_of, stored, texts_of
+from quotaflow.llm.common import with_maybe, part_of, pieces_of, stored, texts_of
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 SAMPLE = 100_000  # labelled ids that the regression is learned from
-KEPT = 128  # smallest hashes of the contexts of a stem; up to that many contexts are counted exactly
 LEAST_STEM, LONGEST_STEM = 3, 12  # characters
 LEAST_PART = 1e-5  # of all contexts of toxic texts: least part of a learned stem
 LEAST_CONTEXTS = 8
 LEAST_RATIO = 15.0  # how much more frequent a learned stem is in toxic texts
 TEXT_BYTES = 4 << 20
+PART_BYTES = 16 << 20  # of text whose contexts a part unites
 CACHE_WORDS = 400_000
 
 # Word lists of the grammar.
@@ -172,128 +179,123 @@ class Lexicon:
         return [sum(scores), float(len(scores)), max(scores), float(matches), 100.0 * matches / len(words)]
 
 
-def _contexts() -> Callable:
-    """Distinct (word, word before) of each batch."""
+MIX = np.uint64(0x9E3779B97F4A7C15)
+NAMES = -1  # in place of a class: rows with the names of words
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_of(batches, TEXT_BYTES):
-            pairs: set[tuple[str, str]] = set()
-            for text in texts_of(batch):
-                words = plain(text).decode().split()
-                pairs.update(zip(words, ["", *words]))
-            found = list(pairs)
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.string()) for i in (0, 1)], ["word", "before"])
 
-    return run
+def _pairs(texts: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words (the first is empty), and the numbers of word and word before in the distinct contexts."""
+    place: dict[str, int] = {"": 0}
+    keys = [np.zeros(0, np.int64)]
+    for words in texts:
+        for word in dict.fromkeys(words):
+            place.setdefault(word, len(place))
+        numbers = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        keys.append(np.unique(numbers << 32 | np.r_[0, numbers[:-1]][: len(numbers)]))
+    keys = np.unique(np.concatenate(keys))
+    return list(place), keys >> 32, keys & 0xFFFFFFFF
+
+
+WORD_BYTES, CONTEXT_BYTES = 5, 4
 
 
-def _lowest(stems: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each stem number the ``KEPT`` smallest distinct hashes, in order."""
-    order = np.lexsort((hashes, stems))
-    stems, hashes = stems[order], hashes[order]
-    new = np.r_[True, (stems[1:] != stems[:-1]) | (hashes[1:] != hashes[:-1])][: len(stems)]
-    stems, hashes = stems[new], hashes[new]
-    first = np.searchsorted(stems, stems)
-    low = np.arange(len(stems)) - first < KEPT
-    return stems[low], hashes[low]
+def _bytes(values: np.ndarray, size: int) -> bytes:
+    """The low ``size`` bytes of each number."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
 
-def _sketched(shared) -> Callable:
-    """For each class and stem of ``shared`` a sketch of its distinct contexts: their ``KEPT`` smallest hashes."""
+def _numbers(raw: bytes, size: int) -> np.ndarray:
+    found = np.zeros((len(raw) // size, 8), np.uint8)
+    found[:, :size] = np.frombuffer(raw, np.uint8).reshape(-1, size)
+    return found.view("<u8").ravel()
+
+
+def _dealt(parts: int) -> Callable:
+    """Distinct contexts of each batch, packed by (part, class), and the names of the task's words in a part of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers: dict[str, int] = shared.value
-        names = list(numbers)
-        known: dict[str, np.ndarray] = {}
-        held = {toxic: (np.zeros(0, np.int64), np.zeros(0, np.uint64)) for toxic in (0, 1)}
-        limit = {toxic: np.full(len(names), np.iinfo(np.uint64).max, np.uint64) for toxic in (0, 1)}
+        sent: set[str] = set()
         for batch in pieces_of(batches, TEXT_BYTES):
-            pairs: dict[int, set[tuple[str, str]]] = {0: set(), 1: set()}
-            for text, toxic in zip(texts_of(batch), batch.column(1).to_pylist()):
-                words = plain(text).decode().split()
-                pairs[toxic].update(zip(words, ["", *words]))
-            for toxic, found in pairs.items():
-                mine, hashes = [], np.zeros(len(found), np.uint64)
-                for i, (word, before) in enumerate(found):
-                    stems = known.get(word)
-                    if stems is None:
-                        if len(known) >= CACHE_WORDS:
-                            known.clear()
-                        stems = known[word] = np.array([numbers[s] for s in ["", *stems_of(word)] if s in numbers], np.int64)
-                    mine.append(stems)
-                    hashes[i] = xxhash.xxh64_intdigest(f"{word} {before}")
-                if not mine:
-                    continue
-                stems, hashes = np.concatenate(mine), np.repeat(hashes, [len(m) for m in mine])
-                low = hashes <= limit[toxic][stems]
-                stems, hashes = _lowest(np.r_[held[toxic][0], stems[low]], np.r_[held[toxic][1], hashes[low]])
-                held[toxic] = stems, hashes
-                full = np.flatnonzero(stems[KEPT - 1 :] == stems[: len(stems) - KEPT + 1]) if len(stems) >= KEPT else np.zeros(0, np.int64)
-                limit[toxic][stems[full]] = hashes[full + KEPT - 1]
-        for toxic, (stems, hashes) in held.items():
-            begin = np.flatnonzero(np.r_[True, stems[1:] != stems[:-1]]) if len(stems) else np.zeros(0, np.int64)
-            ends = np.r_[begin[1:], len(stems)]
-            for at in range(0, len(begin), 10_000):
-                rows = [(names[stems[i]], hashes[i:j].view(np.int64)) for i, j in zip(begin[at : at + 10_000], ends[at : at + 10_000])]
-                columns = [pa.array([toxic] * len(rows), pa.int32()), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["toxic", "stem", "hashes"])
+            rows = []
+            toxic = batch.column(1).to_pylist()
+            split = [plain(t).decode().split() for t in texts_of(batch)]
+            for kind in (0, 1):
+                names, word, before = _pairs([w for w, k in zip(split, toxic) if k == kind])
+                hashes = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))
+                context = (hashes[word] * MIX ^ hashes[before]) * MIX
+                words, part = hashes >> np.uint64(64 - 8 * WORD_BYTES), (context >> np.uint64(8 * CONTEXT_BYTES)) % np.uint64(parts)
+                order = np.lexsort((words[word], part))
+                cuts = np.searchsorted(part[order], np.unique(part)).tolist() + [len(part)]
+                for low, high in pairwise(cuts):
+                    mine = order[low:high]
+                    rows.append((int(part[mine[0]]), kind, _bytes(words[word[mine]], WORD_BYTES), _bytes(context[mine], CONTEXT_BYTES), None))
+                new = np.array([i for i, name in enumerate(names) if name and name not in sent], np.int64)
+                home, fresh = words[new] % np.uint64(parts), np.array(names, object)[new]
+                for at in np.unique(home):
+                    rows.append((int(at), NAMES, _bytes(words[new][home == at], WORD_BYTES), b"", fresh[home == at].tolist()))
+                sent.update(fresh)
+                if len(sent) > CACHE_WORDS:
+                    sent.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(DEALT), DEALT)], schema=DEALT)
 
     return run
 
 
-def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number of distinct contexts of each (class, stem), from its sorted sketches; exact below ``KEPT``."""
-    key, held = None, np.zeros(0, np.uint64)
+DEALT = pa.schema([("part", pa.int32()), ("toxic", pa.int32()), ("words", pa.binary()), ("contexts", pa.binary()), ("names", pa.list_(pa.string()))])
 
-    def row() -> pa.RecordBatch:
-        n = len(held) if len(held) < KEPT else (KEPT - 1) / (float(held[-1]) / 2.0**64)
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]]), pa.array([float(n)])], ["toxic", "stem", "n"])
 
-    for batch in batches:
-        for toxic, stem, hashes in zip(*(c.to_pylist() for c in batch.columns)):
-            if key != (toxic, stem):
-                if key:
-                    yield row()
-                key, held = (toxic, stem), np.zeros(0, np.uint64)
-            held = np.union1d(held, np.array(hashes, np.int64).view(np.uint64))[:KEPT]
-    if key:
-        yield row()
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, name, t, c): distinct contexts of each word in a part, or its name, from rows sorted by part and class."""
+    rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+    for (_, kind), mine in groupby(rows, key=lambda r: r[:2]):
+        words, contexts, names = zip(*((r[2], r[3], r[4] or []) for r in mine))
+        words, contexts = _numbers(b"".join(words), WORD_BYTES), _numbers(b"".join(contexts), CONTEXT_BYTES)
+        if kind == NAMES:
+            words, at = np.unique(words, return_index=True)
+            names, n = np.array([name for part in names for name in part], object)[at].tolist(), np.zeros(len(words), np.int64)
+        else:
+            order = np.lexsort((contexts, words))
+            words, contexts = words[order], contexts[order]
+            new = np.r_[True, (words[1:] != words[:-1]) | (contexts[1:] != contexts[:-1])]
+            words, n = np.unique(words[new], return_counts=True)
+            names = [None] * len(words)
+        none = np.zeros(len(words), np.int64)
+        columns = [pa.array(words.astype(np.int64)), pa.array(names, pa.string()), pa.array(n if kind == 1 else none), pa.array(n if kind == 0 else none)]
+        yield pa.RecordBatch.from_arrays(columns, ["word", "name", "t", "c"])
 
 
-def contexts(labelled: DataFrame, stems: set[str]) -> DataFrame:
-    """``toxic``, ``stem`` and ``n``, the distinct contexts of each stem in all texts of the class, for both classes alike."""
-    shared = labelled.sparkSession.sparkContext.broadcast({s: i for i, s in enumerate(sorted(stems))})
-    sketches = labelled.select("text", "toxic").mapInArrow(_sketched(shared), "toxic int, stem string, hashes array<long>")
-    sketches = sketches.repartition("toxic", "stem").sortWithinPartitions("toxic", "stem")
-    return stored(sketches.mapInArrow(_estimated, "toxic int, stem string, n double"), "toxic-contexts")
+def word_contexts(labelled: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """``word``, and ``t`` and ``c``, its distinct contexts in the toxic and in the clean texts (``text``, ``toxic``)."""
+    size = labelled.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = 1 + size // part_bytes
+    dealt = labelled.select("text", "toxic").mapInArrow(_dealt(parts), "part int, toxic int, words binary, contexts binary, names array<string>")
+    united = dealt.repartition(parts, "part").sortWithinPartitions("part", "toxic").mapInArrow(_united, "word long, name string, t long, c long")
+    return united.groupBy("word").agg(F.max("name").alias("name"), F.sum("t").alias("t"), F.sum("c").alias("c")).select(F.col("name").alias("word"), "t", "c")
 
 
-def _toxic_stems(texts: DataFrame) -> DataFrame:
-    """Number of distinct contexts of each stem."""
-    pairs = texts.select("text").mapInArrow(_contexts(), "word string, before string").distinct()
-    words = pairs.groupBy("word").agg(F.count("*").alias("n"))
+def _by_stem(words: DataFrame) -> DataFrame:
     begin = F.expr(f"transform(sequence({LEAST_STEM}, {LONGEST_STEM}), n -> if(n < length(word), substr(word, 1, n), null))")
-    stem = F.explode(F.array_append(F.filter(begin, lambda s: s.isNotNull()), F.concat("word", F.lit(" ")))).alias("stem")
-    return words.select("n", stem).groupBy("stem").agg(F.sum("n").alias("t"))
+    return words.withColumn("stem", F.explode(F.array_append(F.filter(begin, lambda s: s.isNotNull()), F.concat("word", F.lit(" ")))))
+
+
+def contexts(labelled: DataFrame, least_part: float = LEAST_PART) -> tuple[DataFrame, int, int]:
+    """``stem``, ``t`` and ``c`` of the stems with enough toxic contexts, and the numbers of all toxic and clean contexts."""
+    words = stored(word_contexts(labelled), "toxic-words")
+    toxic, clean = words.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
+    counts = _by_stem(words.where("t > 0")).groupBy("stem").agg(F.sum("t").alias("t"))
+    frequent = stored(counts.where(F.col("t") >= max(LEAST_CONTEXTS, least_part * toxic)), "toxic-stems")
+    # each frequent stem has that part of the contexts, on ten levels: a million stems at most
+    seen = _by_stem(words.where("c > 0")).join(F.broadcast(frequent.select("stem")), "stem").groupBy("stem").agg(F.sum("c").alias("c"))
+    return frequent.join(seen, "stem", "left").fillna(0, ["c"]), toxic, clean
 
 
 def learn_stems(labelled: DataFrame) -> dict[str, float]:
     """Stems of the ``labelled`` texts (``text``, ``toxic``) with weights between 0 and 2."""
-    counts = stored(_toxic_stems(labelled.where("toxic = 1")), "toxic-stems")
-    total = counts.where("stem like '% '").agg(F.sum("t")).first()[0] or 0
-    least = max(LEAST_CONTEXTS, LEAST_PART * total)
-    frequent = counts.where(F.col("t") >= least)
-    shared = {r["stem"] for r in frequent.select("stem").toLocalIterator()}  # each has LEAST_PART of the contexts, on ten levels
-    if not shared:
-        return {}
-    seen = contexts(labelled, shared | {""})  # the empty stem begins every word
-    sizes = {r["toxic"]: r["n"] for r in seen.where("stem = ''").collect()}
-    if not sizes.get(0) or not sizes.get(1):
+    found, toxic, clean = contexts(labelled)
+    if not toxic or not clean:
         return {}
-    t, c = (F.coalesce(F.max(F.when(F.col("toxic") == k, F.col("n"))), F.lit(0.0)) for k in (1, 0))
-    ratio = (F.col("t") / sizes[1]) / ((F.col("c") + 0.5) / sizes[0])
-    both = seen.where("stem <> ''").groupBy("stem").agg(t.alias("t"), c.alias("c"))
-    strong = both.withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).select("stem", "ratio")
+    ratio = (F.col("t") / toxic) / ((F.col("c") + 0.5) / clean)
+    strong = found.withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).select("stem", "ratio")
     return {r["stem"]: min(2.0, float(np.log10(r["ratio"]))) for r in strong.collect()}
 
 
@@ -340,13 +342,15 @@ def features(texts: DataFrame, lexicon: Lexicon, key: str) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[Lexicon, np.ndarray]:
     """Lexicon and regression weights from the labelled rows outside the held-out fold."""
     fold = part_of("doc_id", FOLDS) != HELD_OUT
-    marked = labels.select("doc_id", "toxic").where("toxic in (0, 1)").where(fold).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    ids = F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id")  # one type, one hash
+    marked = labels.select(ids, "toxic").where("toxic in (0, 1)").where(fold).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(fold)
     order = F.xxhash64(F.col("doc_id").cast("string"))
     last = marked.select(order.alias("at")).orderBy("at").limit(sample).agg(F.max("at")).first()[0]
     sampled = (order <= F.lit(last).cast("long")).alias("sampled")
-    # stems are learned from all labelled texts, the regression from the sample
-    labelled = stored(texts.join(marked, "doc_id").select("text", "toxic", sampled), "toxic-labelled")
+    # stems are learned from all labelled texts, the regression from the sample; a bit map keeps most other texts from moving
+    marked = stored(marked, "toxic-marked")
+    labelled = stored(with_maybe(texts, "doc_id", marked, "maybe").where("maybe").join(marked, "doc_id").select("text", "toxic", sampled), "toxic-labelled")
     lexicon = Lexicon(learn_stems(labelled))
     found = features(labelled.where("sampled").withColumn("key", F.col("toxic").cast("double")), lexicon, "key")
     counts = found.groupBy("key", *FEATURES).count().toPandas()  # copies of a text are one row
