@@ -2,11 +2,12 @@
 
 Rows get gapless numbers in the order of id, size and checksum: equal rows are counted first (so that a row repeated
 a billion times is one record), the distinct ones are put into ranges and sorted there, and each range adds the
-number of rows before it. The numbers do not depend on how the ranges were cut.
+number of rows before it. The numbers do not depend on how the ranges were cut. A record then becomes its rows in runs of
+bounded length, which are dealt to all tasks.
 
 The numbers 0 .. n-1 lie in a grid of a x b cells with a, b near the root of n. A Feistel network over the two
-coordinates permutes the grid; a result beyond n-1 is permuted again until it falls below n (cycle walking). The
-permuted number p gives shard ``p % shards`` and slot ``p div shards``, so shard sizes differ by at most one, and
+coordinates permutes the grid; a result beyond n-1 is permuted again until it falls below n (cycle walking; it meets
+each of the cells beyond n-1 once at most, which are less than a side of the grid). The permuted number p gives shard ``p % shards`` and slot ``p div shards``, so shard sizes differ by at most one, and
 ``locate`` computes shard and slot of any row number, ``row_number`` the way back.
 
 Law: ``rows``. Nulls: a null text has no bytes (checksum 0), null ids come first. Repeated rows are separate rows.
@@ -25,7 +26,7 @@ from quotaflow.llm.common import stored
 SHARDS, SEED = 16, 20_240
 ROUNDS = 8
 PRIMES = (2147483647, 2147483629, 2147483587)  # below 2**31: products of residues fit a long
-STEPS = 64  # more than the cells beyond n where these are few; beyond that, longer walks are out of reach of chance
+RUN = 100_000  # rows that one record becomes in a task
 
 
 def grid(n: int) -> tuple[int, int]:
@@ -115,14 +116,24 @@ def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ranged = stored(
         distinct.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .select("doc_id", "size", "text_crc32", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-        .select("doc_id", "size", "text_crc32", F.shiftright(place, 33).alias("part"), place.bitwiseAND(2**33 - 1).alias("place")),
+        .select("doc_id", "size", "text_crc32", "copies", F.shiftright(place, 33).alias("part"), place.bitwiseAND(2**33 - 1).alias("place")),
         "shard-rows",
     )
-    ends = ranged.groupBy("part").agg(F.count("*").alias("rows"))
+    ends = ranged.groupBy("part").agg(F.sum("copies").alias("rows"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     starts = ends.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
-    return ranged.join(starts, "part").select("doc_id", "size", "text_crc32", (F.col("start") + F.col("place")).alias("number"))
+    inside = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)  # the records of one range
+    first = F.col("start") + F.coalesce(F.sum("copies").over(inside), F.lit(0))
+    total = ends.agg(F.sum("rows")).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + total // (10 * RUN))  # runs are small before they unfold
+    runs = (
+        ranged.join(starts, "part")
+        .withColumn("first", first)
+        .select("doc_id", "size", "text_crc32", "copies", "first", F.explode(F.expr(f"sequence(0L, (copies - 1) div {RUN})")).alias("run"))
+        .repartition(parts, "first", "run")
+    )
+    rows = F.explode(F.expr(f"sequence(first + run * {RUN}, first + least((run + 1) * {RUN}, copies) - 1)"))
+    return runs.select("doc_id", "size", "text_crc32", rows.alias("number"))
 
 
 def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -133,11 +144,10 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coun
     def network(x: str) -> str:
         return network_sql(x, f"{a}L", f"{b}L", "div", seed)
 
-    walk = f"aggregate(sequence(1, {STEPS}), p, (q, i) -> if(q < {n}L, q, {network('q')}))"
+    walk = f"aggregate(sequence(1, {max(1, a * b - n)}), p, (q, i) -> if(q < {n}L, q, {network('q')}))"
     walked = F.expr(f"if(p < {n}L, p, {walk})")  # few rows need a second pass
     return (
         rows.withColumn("p", F.expr(network("number")))
         .withColumn("p", walked)
-        .withColumn("p", F.when(F.col("p") < n, F.col("p")).otherwise(F.raise_error(F.lit("cycle walk too long")).cast("long")))
         .select("doc_id", "size", "text_crc32", (F.col("p") % count).cast("int").alias("shard"), F.expr(f"p div {count}").alias("slot"))
     )

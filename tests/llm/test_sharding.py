@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
 from quotaflow.llm import queries, sharding
 
 
@@ -38,3 +39,22 @@ def test_query_columns(spark):
     found = queries.op5_sharding(spark, "/root/testdata/sf0.001")
     assert found.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     assert {r.law for r in found.collect()} == {"rows"}
+
+
+def test_copies_of_a_row_spread(spark):
+    docs = spark.range(2_000_010).selectExpr("if(id < 2000000, 5, id - 2000000) AS doc_id", "'same' AS text")
+    rows = sharding.numbered(docs)
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2_000_010 and max(sizes) < 1_500_000
+    found = sharding.shards(docs)
+    low, high, n = found.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("last")).agg(F.min("n"), F.max("n"), F.count("*")).first()
+    assert (low, n) == (2_000_010 // 16, 16) and high == low + 1
+    assert found.select("shard", "slot").distinct().count() == 2_000_010
+
+
+def test_the_longest_walk(spark):
+    """Every number of small tables, the walks included, is where the plain computation puts it."""
+    for n in (1, 2, 3, 7, 21, 31, 111, 133):
+        docs = spark.range(n).selectExpr("id AS doc_id", "'t' AS text")
+        got = {r.doc_id: (r.shard, r.slot) for r in sharding.shards(docs).collect()}
+        assert got == {i: sharding.locate(i, n) for i in range(n)}
