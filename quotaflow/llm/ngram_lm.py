@@ -223,10 +223,13 @@ class Model:
         self.below = discounts(*(totals[k] for k in ("n1", "n2", "n3", "n4")))
         freed = self.below[1] * totals["n1"] + self.below[2] * totals["n2"] + self.below[3] * totals["more"]
         self.rest = freed / self.pairs if self.pairs else 1.0
+        self.present = frozenset(os.listdir(folder)) if os.path.isdir(folder) else frozenset()
+        if self.vocabulary and not any(name.startswith("words-") for name in self.present):
+            raise FileNotFoundError(f"no model files in {folder}: it must be a mounted folder that all machines share")
 
     def _mapped(self, name: str, kind) -> np.ndarray:
-        path = f"{self.folder}/{name}"
-        return np.memmap(path, kind, "r") if os.path.exists(path) else np.empty(0, kind)
+        """An array of the model; a cell without bigrams has no file, but a file that was written must be there."""
+        return np.memmap(f"{self.folder}/{name}", kind, "r") if name in self.present else np.empty(0, kind)
 
     def words(self, hashes: np.ndarray) -> np.ndarray:
         """Rows of sorted distinct words; zeros for unknown ones."""

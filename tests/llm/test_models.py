@@ -289,3 +289,16 @@ def test_words_are_found_again_in_both_generations(vocabulary, monkeypatch):
     assert small.text(text) == small.text(text)
     monkeypatch.setattr(pieces, "CACHE_WORDS", 1000)
     assert small.text(text) == large.text(text)
+
+
+def test_a_model_without_its_files_is_refused(spark, some, tmp_path):
+    model = ngram_lm.train(some)
+    assert ngram_lm.score(some, model).count() == some.count()
+    gone = next(name for name in sorted(model.present) if name.startswith("words-"))
+    model.folder = str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        model._mapped(gone, ngram_lm.WORD)
+    with pytest.raises(Exception, match="No such file|FileNotFound"):
+        ngram_lm.score(some, model).collect()
+    with pytest.raises(FileNotFoundError, match="mounted folder"):
+        ngram_lm.Model(str(tmp_path), 1, 1, {"tokens": 1, "vocabulary": 1, "pairs": 0, "more": 0, **{f"pairs{k}": 0 for k in (1, 2, 3, 4)}, **{f"n{k}": 0 for k in (1, 2, 3, 4)}})
