@@ -27,8 +27,8 @@ class Entry:
     sql: str | None = None
 
 
-def oracle(views: list[str], body: str, ctes: str = "") -> str:
+def oracle(views: list[str], body: str, ctes: str = "", recursive: bool = False) -> str:
     parts = [oracle_cte(v) for v in views]
     if ctes:
         parts.append(ctes)
-    return f"WITH RECURSIVE {', '.join(parts)} {body}" if parts else body
+    return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(parts)} {body}" if parts else body

@@ -269,11 +269,12 @@ ENTRIES: dict[str, Entry] = {
             ["opportunity_current", "entitlements", "reporting_lines"],
             "SELECT * FROM opportunity_current WHERE owner_id IN (SELECT owner_id FROM entitled WHERE viewer = 'mgr-7')",
             _ENTITLED,
+            recursive=True,
         ),
     ),
     "entitled_owners": Entry(
         lambda i: access.entitled_owners(i.entitlements, i.reporting_lines),
-        oracle(["entitlements", "reporting_lines"], "SELECT viewer, owner_id FROM entitled", _ENTITLED),
+        oracle(["entitlements", "reporting_lines"], "SELECT viewer, owner_id FROM entitled", _ENTITLED, recursive=True),
     ),
     "row_filter_rep": Entry(
         lambda i: access.visible_rows(i.opportunity_current, "7", "rep"),

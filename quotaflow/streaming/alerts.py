@@ -45,6 +45,13 @@ def latency_sketches(traces: DataFrame, lateness: str = LATENESS) -> DataFrame:
     return hours.agg(sketch.alias("sketch"), F.count(F.lit(1)).alias("calls")).select(F.col("window.start").alias("hour"), "agent_type", "sketch", "calls")
 
 
+def p95_latency_stream(traces: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """P95 latency (approximate, mergeable) per one-hour window with its alert flag."""
+    windows = traces.withWatermark("ts", lateness).groupBy(F.window("ts", "1 hour"))
+    p95 = windows.agg(F.percentile_approx("total_latency_ms", 0.95, 10_000).alias("p95_ms"), F.count(F.lit(1)).alias("calls"))
+    return p95.select(F.col("window.start").alias("hour"), "p95_ms", "calls", (F.col("p95_ms") > C.ALERT_P95_MS).alias("alert"))
+
+
 def sketch_stream(traces: DataFrame, root: str, once: bool = False, lateness: str = LATENESS) -> StreamingQuery:
     return updates(latency_sketches(traces, lateness), root, "latency_sketches", once)
 
