@@ -348,8 +348,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     order = F.xxhash64(F.col("doc_id").cast("string"))
     last = marked.select(order.alias("at")).orderBy("at").limit(sample).agg(F.max("at")).first()[0]
     sampled = (order <= F.lit(last).cast("long")).alias("sampled")
-    # stems are learned from all labelled texts, the regression from the sample; a bit map keeps most other texts from moving
-    marked = stored(marked, "toxic-marked")
+    # stems are learned from all labelled texts, the regression from the sample; a bit map keeps most other texts from moving;
+    # labels grow with the documents, so small ones are not broadcast either
+    marked = stored(marked, "toxic-marked").hint("merge")
     labelled = stored(with_maybe(texts, "doc_id", marked, "maybe").where("maybe").join(marked, "doc_id").select("text", "toxic", sampled), "toxic-labelled")
     lexicon = Lexicon(learn_stems(labelled))
     found = features(labelled.where("sampled").withColumn("key", F.col("toxic").cast("double")), lexicon, "key")
