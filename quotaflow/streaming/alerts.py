@@ -1,11 +1,12 @@
-"""Alerts over streams of traces and messages: latency from stored sketches, lag and silence of partitions."""
+"""Alerts over streams of traces and messages: latency from stored sketches or counts, lag and silence of partitions."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -75,6 +76,42 @@ def p95_alerts(sketches: DataFrame, *by: Column) -> DataFrame:
     return percentile_of(sketches, 0.95, *by).withColumnRenamed("value", "p95_ms").withColumn("alert", F.col("p95_ms") > C.ALERT_P95_MS)
 
 
+def latency_counts(traces: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """The calls of each hour, agent and latency: what exact percentiles of any longer span need.
+
+    The state holds a number for each latency of the open hours. Lateness and missing values are as in ``latency_sketches``.
+    """
+    hours = traces.where("ts IS NOT NULL AND total_latency_ms IS NOT NULL").withWatermark("ts", lateness)
+    counts = hours.groupBy(F.window("ts", "1 hour"), "agent_type", F.col("total_latency_ms").cast("long").alias("latency")).agg(F.count(F.lit(1)).alias("calls"))
+    return counts.select(F.col("window.start").alias("hour"), "agent_type", "latency", "calls")
+
+
+def count_stream(traces: DataFrame, root: str, once: bool = False, lateness: str = LATENESS) -> StreamingQuery:
+    return updates(latency_counts(traces, lateness), root, "latency_counts", once)
+
+
+def stored_counts(spark: SparkSession, root: str) -> DataFrame:
+    return newest(spark, root, "latency_counts", ["hour", "agent_type", "latency"])
+
+
+def exact_percentile_of(counts: DataFrame, share: str, *by: str) -> DataFrame:
+    """``calls`` and ``value`` of each group of counts: the smallest latency with ``share`` of the calls at or below it.
+
+    Counts of a latency are added before the shuffle, so a group holds one row for each of its latencies.
+    """
+    each = counts.groupBy(*by, "latency").agg(F.sum("calls").alias("n"))
+    group = Window.partitionBy(*by)
+    below = F.sum("n").over(group.orderBy("latency").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = each.select(*by, "latency", below.alias("below"), F.sum("n").over(group).alias("calls"))
+    reached = ranked.where(F.col("below") >= F.col("calls") * F.lit(Decimal(share)))
+    return reached.groupBy(*by).agg(F.first("calls").alias("calls"), F.min("latency").alias("value"))
+
+
+def exact_p95_alerts(counts: DataFrame, *by: str) -> DataFrame:
+    """As ``p95_alerts``, from counts and exact for any number of calls."""
+    return exact_percentile_of(counts, "0.95", *by).withColumnRenamed("value", "p95_ms").withColumn("alert", F.col("p95_ms") > C.ALERT_P95_MS)
+
+
 # Lag and silence. A run is a stretch of messages of a partition with no gap beyond the limit.
 
 RUNS = "kafka_partition int, head long, done long, start timestamp, ts timestamp"
