@@ -1,10 +1,13 @@
-"""Near copies by word shingles: min-hash bands and rare shingles propose pairs, exact Jaccard similarity decides.
-
-1. Each text becomes its set of distinct shingles of five words (64-bit hashes; words as in ``simhash``). Minima of the
-   set under 125 multipliers form 25 bands of five; texts that agree in a band share a bucket. Only the bucket numbers
-   are stored. A pair of similarity 0.8 shares a bucket with probability 0.99995, a pair of 0.9 with 1 - 10^-9. The sets
-   of the texts that share a bucket are stored once; a bit map of their rows (a bounded size, with false positives that
-   do no harm) keeps the other texts out.
+"""Near copies by word shingles: SimHash components, min-hash bands and rare shingles propose pairs, exact Jaccard similarity decides.
+
+1. Each text becomes its set of distinct shingles of five words (64-bit hashes; words as in ``simhash``) and its
+   fingerprint over the same shingles. The components of ``simhash`` (block keys, pivot distance tables, links of at most
+   three bits) come first: each document is compared with the first one of its component, and what is near leaves.
+   Fingerprints that close miss most pairs with several edits, so the steps below look for what they leave.
+   Minima of the set under 125 multipliers form 25 bands of five; texts that agree in a band share a bucket. Only the
+   bucket numbers are stored. A pair of similarity 0.8 shares a bucket with probability 0.99995, a pair of 0.9 with
+   1 - 10^-9. The sets of the texts that share a bucket or a component are stored once; a bit map of their rows (a bounded
+   size, with false positives that do no harm) keeps the other texts out.
 2. In each bucket the first document (smallest id, then row) leads and is compared with the others. What is near a
    leader before it is a copy and leaves all buckets. A group of n near copies thus costs n - 1 comparisons.
 3. Documents that still share a bucket, mostly for a passage that they have in common, go on by their rarest shingles: of
@@ -32,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quotaflow.llm import simhash
 from quotaflow.llm.common import pieces_of, release, stored, texts_of, with_maybe
 from quotaflow.session import run_folder
 
@@ -72,9 +76,11 @@ def buckets(hashes: np.ndarray) -> list[int]:
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces_of(batches, TEXT_BYTES):
-        sets = [shingles(t) for t in texts_of(batch)]
-        columns = [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64())]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array([buckets(s) for s in sets], pa.list_(pa.int64()))], ["row", "doc_id", "size", "buckets"])
+        texts = texts_of(batch)
+        sets = [shingles(t) for t in texts]
+        prints = np.array([simhash.fingerprint(t, WORDS) for t in texts], dtype=np.uint64).view(np.int64)
+        columns = [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([buckets(s) for s in sets], pa.list_(pa.int64()))], ["row", "doc_id", "size", "print", "buckets"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,28 +187,34 @@ def _keys(left: DataFrame, least: float) -> DataFrame:
 def near_copies(docs: DataFrame, least: float = SIMILARITY, leaders: int = LEADERS) -> DataFrame:
     """``row`` of each document that is a near copy of one before it. ``docs``: ``row``, ``doc_id`` and ``text``, stored."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    marked = docs.select("row", "doc_id", "text").mapInArrow(_banded, f"row long, doc_id {kind}, size long, buckets array<long>")
+    marked = docs.select("row", "doc_id", "text").mapInArrow(_banded, f"row long, doc_id {kind}, size long, print long, buckets array<long>")
     marked = stored(marked, "near-buckets")
+    alike = simhash.grouped(marked.select("row", "doc_id", "print"))
+    alike = stored(alike.select("row", F.col("best.row").alias("lead")).where("row <> lead"), "near-alike")
     place = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row").alias("place")
     rest = marked.select(F.explode("buckets").alias("bucket"), place, "size")
     first = rest.groupBy("bucket").agg(F.min(F.struct("place", "size")).alias("lead"), F.count("*").alias("n")).where("n > 1")
     # only the joins by key and the last one of a round meet hot keys; Spark splits them at run time
     mates = stored(rest.join(first.select("bucket", "lead"), "bucket").where("place > lead.place"), "near-mates")
-    members = mates.select(F.col("place.row").alias("row")).unionAll(mates.select("lead.place.row")).distinct()
+    members = mates.select(F.col("place.row").alias("row")).unionAll(mates.select("lead.place.row"))
+    members = members.unionAll(alike.select("row")).unionAll(alike.select("lead")).distinct()
     sets = stored(with_maybe(docs.select("row", "text"), "row", members, "maybe").where("maybe").drop("maybe").mapInArrow(_sets, "row long, set binary"), "near-sets")
     tested, copies = _Parts(docs, "near-pairs"), _Parts(docs, "near-copies")
     a, b = F.col("size"), F.col("lead.size")
     # the smaller set cannot hold enough of the larger one
     fits = F.least(a, b) >= F.greatest(a, b) * F.lit(least)
 
-    def compared(mates: DataFrame) -> DataFrame:
-        pairs = mates.where(fits).select(F.col("place.row").alias("row"), F.col("lead.place.row").alias("lead")).distinct()
+    def verified(pairs: DataFrame) -> DataFrame:
         pairs = tested.add(pairs.join(tested.all(), ["row", "lead"], "left_anti") if tested.paths else pairs)
         return copies.add(_near(sets, pairs, least).distinct())
 
+    def compared(mates: DataFrame) -> DataFrame:
+        return verified(mates.where(fits).select(F.col("place.row").alias("row"), F.col("lead.place.row").alias("lead")).distinct())
+
     def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
         return rows.withColumn("row", F.col("place.row")).join(gone, "row", "left_anti")
 
+    mates = without(mates, verified(alike)).drop("row")
     still = _shared(without(mates.select("bucket", "place", "size"), compared(mates)), "bucket")
     left = stored(still.select("row", "place", "size").distinct().join(sets, "row"), "near-left")
     rest = _keys(left, least)

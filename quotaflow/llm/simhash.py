@@ -234,12 +234,8 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """``row``, id, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id reachable over links) and ``kept``.
-
-    Of each component one row is kept: the first one of the smallest id.
-    """
-    prints = stored(fingerprints(docs, id_col, text_col, words), "simhash-prints")
+def grouped(prints: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """``prints`` (``row``, ``doc_id``, ``print``; a stored table) with ``best``: the first row of the smallest id of its component."""
     best = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("best")
     found = components(links(prints.select("print").distinct(), group_rows))
     roots = found.unionByName(found.select(F.col("root").alias("node"), "root")).distinct()
@@ -248,7 +244,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = named.groupBy("root").agg(F.min("best").alias("best"))
     # equal fingerprints are one row here, so only the last join meets hot keys; Spark splits them at run time
     by_print = named.select("print", "root").join(whole, "root").select("print", "best")
-    return prints.join(by_print, "print", "left").select(
+    return prints.join(by_print, "print", "left")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """``row``, id, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id reachable over links) and ``kept``.
+
+    Of each component one row is kept: the first one of the smallest id.
+    """
+    prints = stored(fingerprints(docs, id_col, text_col, words), "simhash-prints")
+    return grouped(prints, group_rows).select(
         "row",
         "doc_id",
         F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
