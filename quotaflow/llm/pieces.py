@@ -36,18 +36,20 @@ from pyspark.sql import functions as F
 from quotaflow.llm.common import pieces_of, release, texts_of
 
 MARK = "▁"
-N_BEST = 2
+N_BEST = 8
 BYTE_SCORE = -100_000.0  # of each byte of a spelled character: worse than any piece
 NEVER = -1e8  # the score that the file gives to pieces for runs of blanks
 CACHE_WORDS = 100_000  # searched in one task
 CACHED_CHARS = 64  # of the longest word that is remembered, or segmented together with others
 PART_WORDS = 400_000  # held as words at a time
-GROUP_WORDS = 20_000  # segmented together
-TEXT_BYTES = 2 << 20
+GROUP_WORDS = 2_000  # segmented together, so that their scores fit a cache
+TEXT_BYTES = 4 << 20
 WORDS = re.compile(" *[^ \n]+| +|\n")
 
 NOTHING = -1e300
 Choice = tuple[float, bytes]  # score and ids as 32-bit integers
+Edit = tuple[int, int, bytes]  # place and number of ids of the best segmentation, and what stands for them
+Other = tuple[float, list[Edit]]  # score of another segmentation, and its edits in order
 
 
 class Vocabulary:
@@ -276,8 +278,10 @@ def least_sums(losses: dict[int, list[float]], n: int) -> list[tuple[float, dict
     """The ``n`` smallest sums of one loss for each word, with the choices that are not the first."""
     sums: list[tuple[float, dict[int, int]]] = [(0.0, {})]
     for place in sorted(losses, key=lambda p: (losses[p][1], p))[: n - 1]:
-        more = [(s + loss, {**c, place: i} if i else c) for s, c in sums for i, loss in enumerate(losses[place])]
-        sums = sorted(more, key=lambda x: x[0])[:n]
+        if len(sums) == n and losses[place][1] > sums[-1][0]:
+            break  # neither this word nor one after it has a choice that is among them
+        more = sorted(((s + loss, at, i) for at, (s, _) in enumerate(sums) for i, loss in enumerate(losses[place][: n // (at + 1)])), key=lambda x: x[0])[:n]
+        sums = [(s, {**sums[at][1], place: i} if i else sums[at][1]) for s, at, i in more]
     return sums
 
 
@@ -307,6 +311,14 @@ def _numbered(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
     return list(place), np.split(np.concatenate(found), np.cumsum(sizes)[:-1])
 
 
+def changed(ids: bytes, edits: list[Edit]) -> bytes:
+    parts, at = [], 0
+    for start, n, new in edits:
+        parts += [ids[at : 4 * start], new]
+        at = 4 * (start + n)
+    return b"".join([*parts, ids[at:]])
+
+
 class Encoder:
     """Segments texts; remembers the choices of the words it searched."""
 
@@ -350,40 +362,41 @@ class Encoder:
             all_ids[_runs(sizes[group], starts[group])] = ids
         return score, loss, sizes, all_ids
 
-    def texts(self, texts: list[str]) -> list[list[Choice]]:
-        """The ``n`` best segmentations of each text, best first."""
+    def edited(self, texts: list[str]) -> list[tuple[Choice, list[Other]]]:
+        """The best segmentation of each text, and the next best ones by what they change in it."""
         names, parts = _numbered(texts)
         if not names:
-            return [[(0.0, b"")] for _ in texts]
+            return [((0.0, b""), []) for _ in texts]
         score, loss, sizes, ids = self.words(names)
         starts = np.cumsum(sizes) - sizes
         found = []
         for mine in parts:
             if not len(mine):
-                found.append([(0.0, b"")])
+                found.append(((0.0, b""), []))
                 continue
             counts = sizes[mine]
-            whole = ids[_runs(counts, starts[mine])]
-            best: list[Choice] = [(float(score[mine].sum()), whole.tobytes())]
+            best = float(score[mine].sum()), ids[_runs(counts, starts[mine])].tobytes()
+            others = []
             if self.n > 1:
                 lost = loss[mine]
                 few = np.argsort(lost, kind="stable")[: self.n - 1] if self.n > 2 else [lost.argmin()]
-                best += self._others(best[0], {int(p): names[mine[p]] for p in few if np.isfinite(lost[p])}, counts)
-            found.append(best)
+                others = self._others(best[0], {int(p): names[mine[p]] for p in few if np.isfinite(lost[p])}, counts)
+            found.append((best, others))
         return found
 
-    def _others(self, best: Choice, few: dict[int, str], counts: np.ndarray) -> list[Choice]:
+    def _others(self, best: float, few: dict[int, str], counts: np.ndarray) -> list[Other]:
         """The next best segmentations, by other choices of the words at a few places."""
-        ends, found = 4 * np.cumsum(counts), []
+        ends = np.cumsum(counts)
         choices = {p: self.choices(w) for p, w in few.items()}
         losses = {p: [c[0][0] - other[0] for other in c] for p, c in choices.items()}
-        for loss, taken in least_sums(losses, self.n)[1:]:
-            parts, at = [], 0
-            for place, i in sorted(taken.items()):
-                parts += [best[1][at : ends[place] - 4 * counts[place]], choices[place][i][1]]
-                at = ends[place]
-            found.append((best[0] - loss, b"".join([*parts, best[1][at:]])))
-        return found
+        return [
+            (best - loss, [(int(ends[p] - counts[p]), int(counts[p]), choices[p][i][1]) for p, i in sorted(taken.items())])
+            for loss, taken in least_sums(losses, self.n)[1:]
+        ]
+
+    def texts(self, texts: list[str]) -> list[list[Choice]]:
+        """The ``n`` best segmentations of each text, best first."""
+        return [[best, *((score, changed(best[1], edits)) for score, edits in others)] for best, others in self.edited(texts)]
 
     def text(self, text: str) -> list[Choice]:
         return self.texts([text])[0]
@@ -411,8 +424,16 @@ def _lists(values: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(values), np.int32)))
 
 
+def _ends(sizes: list[int]) -> pa.Array:
+    return pa.array(np.cumsum([0, *sizes]).astype(np.int32))
+
+
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", n: int = N_BEST) -> DataFrame:
-    """Id, ``ids`` and ``score`` of the best segmentation, ``n_pieces``, ``others`` (the next best ones) and ``round_trip``."""
+    """Id, ``ids`` and ``score`` of the best segmentation, ``n_pieces``, ``others`` (the next best ones) and ``round_trip``.
+
+    Another segmentation is stored as its score and its ``edits`` of the best one: from place ``at`` on, ``n`` ids give way
+    to ``ids``. ``whole`` writes it out.
+    """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     path = path or default_path()
     shared, name = docs.sparkSession.sparkContext.broadcast(load(path)), f"{path}:{n}"
@@ -428,27 +449,44 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     def encoded(encoder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, TEXT_BYTES):
             texts = texts_of(batch)
-            found = encoder.texts([t.decode() for t in texts])
-            ids = _lists([f[0][1] for f in found])
-            same = [same_text(f[0][1], t, encoder.vocabulary) for f, t in zip(found, texts)]
-            others = [c for f in found for c in f[1:]]
-            structs = pa.StructArray.from_arrays([pa.array([s for s, _ in others], pa.float64()), _lists([i for _, i in others])], ["score", "ids"])
-            ends = np.concatenate([[0], np.cumsum([len(f) - 1 for f in found])]).astype(np.int32)
+            found = encoder.edited([t.decode() for t in texts])
+            ids = _lists([best[1] for best, _ in found])
+            same = [same_text(best[1], t, encoder.vocabulary) for (best, _), t in zip(found, texts)]
+            others = [o for _, more in found for o in more]
+            edits = [e for _, own in others for e in own]
+            places = [pa.array([e[i] for e in edits], pa.int32()) for i in range(2)]
+            edited = pa.StructArray.from_arrays([*places, _lists([e[2] for e in edits])], ["at", "n", "ids"])
+            edited = pa.ListArray.from_arrays(_ends([len(own) for _, own in others]), edited)
+            structs = pa.StructArray.from_arrays([pa.array([s for s, _ in others], pa.float64()), edited], ["score", "edits"])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     ids,
-                    pa.array([f[0][0] for f in found]),
-                    pa.array([len(f[0][1]) // 4 for f in found], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(ends), structs),
+                    pa.array([best[0] for best, _ in found]),
+                    pa.array([len(best[1]) // 4 for best, _ in found], pa.int64()),
+                    pa.ListArray.from_arrays(_ends([len(more) for _, more in found]), structs),
                     pa.array(same),
                 ],
                 ["doc_id", "ids", "score", "n_pieces", "others", "round_trip"],
             )
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    shape = "ids array<int>, score double, n_pieces long, others array<struct<score: double, ids: array<int>>>, round_trip boolean"
-    return source.mapInArrow(run, f"doc_id {kind}, {shape}")
+    others = "array<struct<score: double, edits: array<struct<at: int, n: int, ids: array<int>>>>>"
+    return source.mapInArrow(run, f"doc_id {kind}, ids array<int>, score double, n_pieces long, others {others}, round_trip boolean")
+
+
+def whole(encoded: DataFrame) -> DataFrame:
+    """The ``others`` written out: score and ``ids`` of each."""
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() AS array<int>)").alias("ids"))
+
+    def step(done, edit):
+        kept = F.slice("ids", done["at"] + 1, edit["at"] - done["at"])
+        return F.struct((edit["at"] + edit["n"]).alias("at"), F.concat(done["ids"], kept, edit["ids"]).alias("ids"))
+
+    def rest(done):
+        return F.concat(done["ids"], F.slice("ids", done["at"] + 1, F.size("ids") - done["at"]))
+
+    return encoded.withColumn("others", F.transform("others", lambda o: F.struct(o["score"].alias("score"), F.aggregate(o["edits"], start, step, rest).alias("ids"))))
 
 
 def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

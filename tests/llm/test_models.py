@@ -223,6 +223,18 @@ def test_best_segmentations_of_texts(vocabulary):
         assert [c[0] for c in got] == [c[0] for c in want[:4]] and set(got) <= set(want)
 
 
+def test_the_query_finds_several_other_segmentations(spark, vocabulary, tmp_path):
+    """Eight of a text, if it has as many: the best of all its segmentations."""
+    texts = ["hat that", "atth ta haa", "a", "the tattat", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for row in pieces.whole(queries.op9_sentencepiece(spark, str(tmp_path))).collect():
+        want = sorted(every(" " + texts[row.doc_id], vocabulary), key=lambda c: -c[0])[:8] if texts[row.doc_id] else [(0.0, b"")]
+        got = [(row.score, row.ids), *((o.score, o.ids) for o in row.others)]
+        assert [s for s, _ in got] == pytest.approx([s for s, _ in want], abs=1e-9)
+        assert len({tuple(ids) for _, ids in got}) == len(want)
+        assert all(pieces.same_text(np.array(ids, np.int32).tobytes(), (texts[row.doc_id] or "").encode(), vocabulary) for _, ids in got)
+
+
 def test_words_together_are_words_searched(vocabulary):
     rng = random.Random(11)
     words = list({" " * rng.randrange(3) + "".join(rng.choices("aehtnrioslé▁", k=rng.randint(1, 30))) for _ in range(400)} - {""})
