@@ -23,7 +23,7 @@ from quotaflow.session import run_folder
 RESULT = "query_id long, chunk_id string, score double"
 QUESTION_BYTES = 128 << 20  # vectors of one block of questions, as the tasks hold them
 SCAN_BYTES = 64 << 20  # chunk vectors multiplied at a time
-TILE = 256
+TILE, COLUMNS = 256, 4096  # questions and chunks whose scores are held at a time
 
 
 def _unit(rows) -> np.ndarray:
@@ -37,43 +37,76 @@ def _best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
     return ordered.groupby("query_id", sort=False).head(k)
 
 
-def _filter_codes(wanted: pd.Series, values: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Filter values of both sides as comparable numbers; -1 stands for no filter (or no value)."""
-    codes, _ = pd.factorize(np.concatenate([wanted.to_numpy(object), values.to_numpy(object)]))
-    return codes[: len(wanted)], codes[len(wanted) :]
+def _fitting(questions: pd.DataFrame, chunks: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Places of the questions with the same filters, and of the chunks that pass these (None: all)."""
+    filters = ["doc_type", "account_id"]
+    fitting: dict[tuple[str, ...], dict] = {}
+    for wanted, part in questions.groupby(filters, dropna=False, sort=False).indices.items():
+        asked = tuple(c for c, w in zip(filters, wanted) if not pd.isna(w))
+        if asked and asked not in fitting:
+            fitting[asked] = chunks.groupby(list(asked), sort=False).indices
+        key = tuple(w for w in wanted if not pd.isna(w))
+        yield part, fitting[asked].get(key if len(key) > 1 else key[0], np.zeros(0, np.int64)) if asked else None
+
+
+def _tile(q_unit: np.ndarray, floor: np.ndarray, c_unit: np.ndarray, later: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best k chunks for each question of a tile: its row, the chunk's place and the score. ``later``: order of the ids.
+
+    A score below the k-th best of the chunks before it, or below ``floor``, goes at once.
+    """
+    rows, places, found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    for start in range(0, len(c_unit), COLUMNS):
+        scores = q_unit @ c_unit[start : start + COLUMNS].T
+        if start == 0 and scores.shape[1] > k:
+            floor = np.maximum(floor, np.round(np.partition(scores, -k, axis=1)[:, -k], 6))
+        row, place = np.nonzero(scores >= floor[:, None] - 1e-6)  # what rounds to the floor stays
+        if not len(row):
+            continue
+        score = np.round(scores[row, place], 6) + 0.0
+        kept = score >= floor[row]
+        rows, places, found = (np.concatenate(p) for p in ((rows, row[kept]), (places, place[kept] + start), (found, score[kept])))
+        order = np.lexsort((later[places], -found, rows))
+        rows, places, found = rows[order], places[order], found[order]
+        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        rows, places, found, rank = (x[rank < k] for x in (rows, places, found, rank))
+        full = rank == k - 1
+        floor = floor.copy()
+        floor[rows[full]] = found[full]
+    return rows, places, found
 
 
 def _match(questions: pd.DataFrame, q_unit: np.ndarray, chunks: pd.DataFrame, c_unit: np.ndarray, k: int) -> pd.DataFrame:
     """Best k chunks of one block for every question, filters applied before the cut.
 
-    With a ``floor`` column, scores below the question's floor are left out.
+    Questions with the same filters are multiplied with the chunks that pass them, and with no others. With a ``floor``
+    column, scores below the question's floor are left out.
     """
-    found = []
+    told = np.isfinite(c_unit).all(axis=1)
+    if not told.all():
+        chunks, c_unit = chunks[told].reset_index(drop=True), c_unit[told]
     ids = chunks["chunk_id"].to_numpy(object)
-    n = len(ids)
     later = np.argsort(np.argsort(ids, kind="stable"), kind="stable")  # places in the order of ids
-    filters = [_filter_codes(questions[c], chunks[c]) for c in ("doc_type", "account_id") if questions[c].notna().any()]
-    for start in range(0, len(questions), TILE):
-        part = questions.iloc[start : start + TILE]
-        scores = np.round(q_unit[start : start + TILE] @ c_unit.T, 6) + 0.0
-        if "floor" in part:
-            scores[scores < part["floor"].to_numpy()[:, None]] = -np.inf
-        for wanted, values in filters:
-            asked = wanted[start : start + TILE, None]
-            scores[(asked >= 0) & (asked != values[None, :])] = -np.inf
-        rows = np.repeat(np.arange(len(part)), min(k, n))
-        if n > k:  # score and id as one number, so that ties leave exactly k
-            order = np.where(np.isfinite(scores), np.rint(scores * 1e6), -2e6).astype(np.int64) * n - later[None, :]
-            columns = np.argpartition(order, -k, axis=1)[:, -k:].ravel()
-        else:
-            columns = np.tile(np.arange(n), len(part))
-        rows, columns = (x[np.isfinite(scores[rows, columns])] for x in (rows, columns))
-        found.append(
-            pd.DataFrame(
-                {"query_id": part["query_id"].to_numpy()[rows], "chunk_id": ids[columns], "score": scores[rows, columns]}
-            )
-        )
-    return _best(pd.concat(found), k) if found else pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
+    floors = questions["floor"].to_numpy() if "floor" in questions else np.full(len(questions), -np.inf)
+    asked = questions["query_id"].to_numpy()
+    found = []
+    for mine, fitting in _fitting(questions.reset_index(drop=True), chunks):
+        if len(ids if fitting is None else fitting) == 0:
+            continue
+        vectors, order = (c_unit, later) if fitting is None else (c_unit[fitting], later[fitting])
+        mine = mine[np.isfinite(q_unit[mine]).all(axis=1)]
+        for start in range(0, len(mine), TILE):
+            part = mine[start : start + TILE]
+            rows, places, scores = _tile(q_unit[part], floors[part], vectors, order, k)
+            places = places if fitting is None else fitting[places]
+            found.append(pd.DataFrame({"query_id": asked[part[rows]], "chunk_id": ids[places], "score": scores}))
+    return pd.concat(found) if found else pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
+
+
+def _floored(questions: pd.DataFrame, best: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The questions with the k-th best score so far as their floor, where they have so many."""
+    found = best.groupby("query_id")["score"].agg(["min", "size"])
+    reached = questions["query_id"].map(found["min"][found["size"] >= k]).fillna(-np.inf).to_numpy()
+    return questions.assign(floor=np.maximum(reached, questions["floor"].to_numpy()) if "floor" in questions else reached)
 
 
 def _narrow_chunks(chunks: DataFrame) -> DataFrame:
@@ -99,18 +132,30 @@ def _broadcast_candidates(chunks: DataFrame, questions: pd.DataFrame, k: int) ->
     spark = chunks.sparkSession
     held = spark.sparkContext.broadcast((questions.drop(columns="embedding"), _unit(questions["embedding"].tolist())))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, q_unit = held.value
-        best = None
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Chunks of about ``SCAN_BYTES`` together, since what is found in each part is merged."""
+        kept, size = [], 0
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            width = max(1, len(batch.column("embedding")[0]))
-            for start in range(0, batch.num_rows, max(1, SCAN_BYTES // (8 * width))):
-                part = batch.slice(start, max(1, SCAN_BYTES // (8 * width)))
-                vectors = part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                found = _match(asked, q_unit, part.select(["chunk_id", "doc_type", "account_id"]).to_pandas(), _unit(vectors), k)
-                best = found if best is None else _best(pd.concat([best, found]), k)
+            wide = 8 * max(1, len(batch.column("embedding")[0]))
+            for start in range(0, batch.num_rows, max(1, SCAN_BYTES // wide)):
+                kept.append(batch.slice(start, max(1, SCAN_BYTES // wide)))
+                size += wide * kept[-1].num_rows
+                if size >= SCAN_BYTES:
+                    yield pa.Table.from_batches(kept)
+                    kept, size = [], 0
+        if kept:
+            yield pa.Table.from_batches(kept)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, q_unit = held.value
+        best = None
+        for part in parts(batches):
+            vectors = part.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+            wanted = asked if best is None else _floored(asked, best, k)
+            found = _match(wanted, q_unit, part.select(["chunk_id", "doc_type", "account_id"]).to_pandas(), _unit(vectors), k)
+            best = found if best is None else _best(pd.concat([best, found]), k)
         if best is not None and len(best):
             yield pa.RecordBatch.from_pydict(
                 {
@@ -152,6 +197,9 @@ def nearest_chunks(
     blocks = max(1, -(-8 * numbers // question_bytes))
     spark, root = chunks.sparkSession, run_folder(chunks.sparkSession, "search")
     empty = _ranked(spark.createDataFrame([], RESULT), k)
+    if blocks > 1:  # chunks are made once, and read again for each block
+        _narrow_chunks(chunks).write.parquet(f"{root}/chunks")
+        chunks = spark.read.parquet(f"{root}/chunks")
     stored = []
     for block in range(blocks):
         part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas()  # about question_bytes

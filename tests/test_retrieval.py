@@ -1,6 +1,7 @@
 """Similarity search against brute force: one or many question blocks, copies, filters."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,41 @@ def test_filters_reach_the_scan(spark, frames, tmp_path):
     assert _got(found) == _brute(chunks, [r for r in questions if r[1] is not None], 4)
 
 
+def test_questions_meet_only_fitting_chunks(frames, monkeypatch):
+    """Scores are made for pairs that pass the filters, and for no others; small tiles give the same result."""
+    chunks, questions, c, q = frames
+    made, tile = [], R._tile
+    monkeypatch.setattr(R, "COLUMNS", 7)
+    monkeypatch.setattr(R, "TILE", 3)
+    monkeypatch.setattr(R, "_tile", lambda *a: (made.append(len(a[0]) * len(a[2])), tile(*a))[1])
+    asked, held = (df.filter("embedding IS NOT NULL").toPandas() for df in (q, c.select("chunk_id", "doc_type", "account_id", "embedding")))
+    found = R._match(asked, R._unit(asked["embedding"].tolist()), held, R._unit(held["embedding"].tolist()), 4)
+    want = {(query, chunk) for (query, _), chunk in _brute(chunks, questions, 4).items()}
+    assert set(zip(found["query_id"], found["chunk_id"])) == want
+    fits = [[w is None or pd.isna(w) or w == h for w, h in ((a.doc_type, b.doc_type), (a.account_id, b.account_id))] for a in asked.itertuples() for b in held.itertuples()]
+    assert sum(made) == sum(map(all, fits)) < len(fits)
+
+
+def test_chunks_are_made_once_for_all_blocks(spark, frames):
+    """Many blocks of questions read the stored chunks; the plan that makes them runs once."""
+    chunks, questions, c, q = frames
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    assert _got(R.nearest_chunks(c.mapInArrow(counted, c.schema), q, 3, question_bytes=300)) == _brute(chunks, questions, 3)
+    assert rows.value == c.count()
+
+
+def test_a_vector_without_numbers_is_never_found(spark):
+    c = spark.createDataFrame([("a", "t", "1", [float("nan"), 1.0]), ("b", "t", "1", [1.0, 0.0]), ("c", None, None, [0.5, 0.5])], "chunk_id string, doc_type string, account_id string, embedding array<double>")
+    q = spark.createDataFrame([(1, "t", None, [1.0, 1.0]), (2, None, None, [1.0, 1.0]), (3, None, None, [float("nan"), 1.0])], "query_id long, doc_type string, account_id string, embedding array<double>")
+    assert {(r.query_id, r.chunk_id) for r in R.nearest_chunks(c, q, 1).collect()} == {(1, "b"), (2, "c")}
+
+
 def test_no_questions(frames):
     _, _, c, q = frames
     assert R.nearest_chunks(c.filter("false"), q).count() == 0
