@@ -49,8 +49,10 @@ def _falls(horizon: int) -> Callable:
         keep = max(bisect_left(places, (events[-1][0] - horizon, 0)) - 1, 0) if events else 0
         kept = events[keep:]
         state.update(([e[0] for e in kept], [e[1] for e in kept], [e[2] for e in kept]))
-        found = pd.DataFrame(rows, columns=["entity_id", "kafka_offset", "health_score", "previous_score", "degraded"])
-        yield found.assign(health_score=found["health_score"].astype("Int32"), previous_score=found["previous_score"].astype("Int32"))
+        if rows:  # most keys of a batch have few, so what is built for each key counts
+            ids, offsets, scores, earlier, fell = zip(*rows)
+            columns = {"entity_id": ids, "kafka_offset": offsets, "health_score": pd.array(scores, "Int32"), "previous_score": pd.array(earlier, "Int32"), "degraded": fell}
+            yield pd.DataFrame(columns)
 
     return run
 
