@@ -60,3 +60,11 @@ def test_later_leaders_and_repeated_rows(spark, copies):
     pairs = brute(rows)
     assert not [p for p in pairs if kept.issuperset(p)]
     assert gone <= {i for p in pairs for i in p}
+
+
+def test_fingerprint_components_come_first(spark, copies, monkeypatch):
+    """The operator's components are formed over all documents, before any band is compared."""
+    seen, grouped = [], near.simhash.grouped
+    monkeypatch.setattr(near.simhash, "grouped", lambda prints: (seen.append(prints.count()), grouped(prints))[1])
+    assert corpus_pipeline.drop_near_copies(spark, copies, "").count() < copies.count()
+    assert seen == [copies.count()]
