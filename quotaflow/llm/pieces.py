@@ -9,8 +9,8 @@ No piece reaches over a blank that follows another character, so the lattice of
 words (the blanks before a word belong to it). The N best of a text are combined from the N - 1 words that lose least by
 another choice: a choice outside of them is never among the N best. What a word loses is known from the forward and
 backward scores alone, as the least detour over an edge that is not on its best path. So the distinct words of a batch get
-their scores together, place by place (``best_paths``), and only the words that lose least are searched; a cache of
-bounded size keeps what was found for them.
+their scores together, place by place (``best_paths``), and only the words that lose least are searched. Tables of bounded
+size keep what was found for both: a task segments a word that comes again in a later batch once.
 
 The vocabulary file is an argument and never trained; its pieces and scores go to the tasks (some thousand pieces).
 Text is taken as it is, with one blank put before it. Characters outside the vocabulary are spelled as byte pieces,
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from bisect import insort
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import islice
 
@@ -40,10 +41,11 @@ N_BEST = 8
 BYTE_SCORE = -100_000.0  # of each byte of a spelled character: worse than any piece
 NEVER = -1e8  # the score that the file gives to pieces for runs of blanks
 CACHE_WORDS = 100_000  # searched in one task
+KEPT_WORDS = 120_000  # segmented words of earlier batches, beyond which the rarer ones go
 CACHED_CHARS = 64  # of the longest word that is remembered, or segmented together with others
 PART_WORDS = 400_000  # held as words at a time
-GROUP_WORDS = 2_000  # segmented together, so that their scores fit a cache
-TEXT_BYTES = 4 << 20
+GROUP_WORDS = 2000  # segmented together, so that their scores fit a cache
+TEXT_BYTES = 2 << 20
 WORDS = re.compile(" *[^ \n]+| +|\n")
 
 NOTHING = -1e300
@@ -209,69 +211,61 @@ class Finder:
         return hashes * np.uint64(multiplier) >> np.uint64(64 - TABLE_BITS)
 
     def pieces(self, codes: np.ndarray, longest: int) -> np.ndarray:
-        """Row n: the piece of n + 1 characters that starts at each place, or the number of no piece."""
+        """Row n: the piece of n + 1 characters that starts at each place, or the number of no piece. A text runs along the first axis."""
         none = len(self.hashes) - 1
-        found, hashes = np.full((longest, len(codes)), none, np.int32), np.zeros(len(codes), np.uint64)
+        found, hashes = np.full((longest, *codes.shape), none, np.int32), np.zeros(codes.shape, np.uint64)
         for n in range(longest):
             hashes = hashes[: len(codes) - n] + codes[n:] * np.uint64(self.powers[n])
-            row, slots = found[n, : len(hashes)], self._slots(hashes, self.multipliers[0])
+            row, flat = found[n, : len(hashes)].reshape(-1), hashes.reshape(-1)
+            slots = self._slots(flat, self.multipliers[0])
             piece = self.tables[0][slots]
-            np.copyto(row, piece, where=self.hashes[piece] == hashes)
+            np.copyto(row, piece, where=self.hashes[piece] == flat)
             at = np.flatnonzero(self.shared[slots])
-            piece = self.tables[1][self._slots(hashes[at], self.multipliers[1])]
-            same = self.hashes[piece] == hashes[at]
+            piece = self.tables[1][self._slots(flat[at], self.multipliers[1])]
+            same = self.hashes[piece] == flat[at]
             row[at[same]] = piece[same]
             for piece in self.more:
-                row[hashes == self.hashes[piece]] = piece
+                row[flat == self.hashes[piece]] = piece
         return found
 
 
 def best_paths(words: list[str], vocabulary: Vocabulary, finder: Finder) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Score, loss of another path, number of pieces, and the ids of all words one after the other.
 
-    The words have no line feed and no character outside the vocabulary. Nodes are the places between the characters of
-    all words, which line feeds keep apart.
+    The words have no line feed and no character outside the vocabulary. Row p of each table holds the place before
+    character p of all words, which line feeds fill up to one length.
     """
-    sizes = np.array([len(w) for w in words])
-    codes = np.frombuffer("\n".join([*words, ""]).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    starts, longest = np.cumsum(sizes + 1) - sizes - 1, min(vocabulary.longest, int(sizes.max()))
+    sizes, each = np.array([len(w) for w in words]), np.arange(len(words))
+    size = int(sizes.max())
+    codes = np.frombuffer("".join([w.ljust(size, "\n") for w in words]).encode("utf-32-le"), np.uint32)
+    codes, longest = np.ascontiguousarray(codes.reshape(-1, size).T, np.uint64), min(vocabulary.longest, size)
     piece = finder.pieces(codes, longest)
     score = finder.scores[piece]
-    best, rest, last = np.full(len(codes), NOTHING), np.full(len(codes), NOTHING), np.zeros(len(codes), np.int64)
-    best[starts], rest[starts + sizes] = 0.0, 0.0
-    order = np.argsort(sizes, kind="stable")
-    begins = np.searchsorted(sizes[order], np.arange(sizes.max() + 2))
-    for place in range(1, int(sizes.max()) + 1):
-        node = starts[order[begins[place] :]] + place  # of all words that are as long
-        most, length = best[node], last[node]
+    best, rest, last = np.full((size + 1, len(words)), NOTHING), np.full((size + 1, len(words)), NOTHING), np.zeros((size + 1, len(words)), np.int16)
+    best[0], rest[sizes, each] = 0.0, 0.0
+    for place in range(1, size + 1):
         for n in range(min(place, longest), 0, -1):  # longer pieces first
-            total = best[node - n] + score[n - 1, node - n]
-            better = total > most
-            most[better], length[better] = total[better], n
-        best[node], last[node] = most, length
-    for place in range(int(sizes.max()) - 1, -1, -1):
-        word = order[begins[place + 1] :]
-        node = starts[word] + place
-        most = rest[node]
-        for n in range(1, min(longest, int(sizes.max()) - place) + 1):
-            inside = np.searchsorted(sizes[word], place + n)
-            part = node[inside:]
-            most[inside:] = np.maximum(most[inside:], score[n - 1, part] + rest[part + n])
-        rest[node] = most
+            total = best[place - n] + score[n - 1, place - n]
+            better = total > best[place]
+            np.copyto(best[place], total, where=better)
+            np.copyto(last[place], n, where=better)
+    for place in range(size - 1, -1, -1):
+        for n in range(1, min(longest, size - place) + 1):
+            np.maximum(rest[place], score[n - 1, place] + rest[place + n], out=rest[place])
     for n in range(longest):  # the best way through each edge
-        score[n, : len(codes) - n - 1] += best[: len(codes) - n - 1] + rest[n + 1 :]
-    node, word, ways = starts + sizes, np.arange(len(words)), []
-    while len(node):  # all best paths, from their ends
-        length = last[node]
-        node = node - length
-        score[length - 1, node] = NOTHING
-        ways.append((word, piece[length - 1, node]))
-        inside = node > starts[word]
-        node, word = node[inside], word[inside]
-    total, other = best[starts + sizes], np.maximum.reduceat(score.max(axis=0), starts)
+        score[n, : size - n] += best[: size - n] + rest[n + 1 :]
+    place, word, ways = sizes, each, []
+    while len(place):  # all best paths, from their ends
+        length = last[place, word]
+        place = place - length
+        score[length - 1, place, word] = NOTHING
+        ways.append((word, piece[length - 1, place, word]))
+        inside = place > 0
+        place, word = place[inside], word[inside]
+    total, other = best[sizes, each], score.max(axis=(0, 1))
     loss = np.where(other > NOTHING / 2, total - other, np.inf)
-    word, each = (np.concatenate(w) for w in zip(*reversed(ways)))
-    return total, loss, np.bincount(word, minlength=len(words)), vocabulary.ids[each[np.argsort(word, kind="stable")]]
+    word, found = (np.concatenate(w) for w in zip(*reversed(ways)))
+    return total, loss, np.bincount(word, minlength=len(words)), vocabulary.ids[found[np.argsort(word, kind="stable")]]
 
 
 def least_sums(losses: dict[int, list[float]], n: int) -> list[tuple[float, dict[int, int]]]:
@@ -285,14 +279,11 @@ def least_sums(losses: dict[int, list[float]], n: int) -> list[tuple[float, dict
     return sums
 
 
-def _numbered(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
-    """The distinct words of the texts, and the numbers of the words of each text. Only part of the words is held at a time."""
-    place: dict[str, int] = {}
+def _numbered(texts: list[str], place: defaultdict[str, int]) -> list[np.ndarray]:
+    """The numbers of the words of each text; ``place`` gets the new ones. Only part of the words is held at a time."""
     found, sizes, held = [], np.zeros(len(texts), np.int64), []
 
     def flush() -> None:
-        for word in dict.fromkeys(held):
-            place.setdefault(word, len(place))
         found.append(np.fromiter(map(place.__getitem__, held), np.int32, len(held)))
         held.clear()
 
@@ -308,7 +299,7 @@ def _numbered(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
             if words is None:
                 break
     flush()
-    return list(place), np.split(np.concatenate(found), np.cumsum(sizes)[:-1])
+    return np.split(np.concatenate(found), np.cumsum(sizes)[:-1])
 
 
 def changed(ids: bytes, edits: list[Edit]) -> bytes:
@@ -320,16 +311,39 @@ def changed(ids: bytes, edits: list[Edit]) -> bytes:
 
 
 class Encoder:
-    """Segments texts; remembers the choices of the words it searched."""
+    """Segments texts; remembers the words it segmented and the choices of those it searched."""
 
     def __init__(self, vocabulary: Vocabulary, n: int):
         self.vocabulary, self.n = vocabulary, n
         self.automaton, self.finder = vocabulary.automaton(), Finder(vocabulary)
-        self.searched: dict[str, list[Choice]] = {}
+        self.forget()
 
     def forget(self) -> None:
         """At the end of a task: the worker process may go on with other work."""
-        self.searched.clear()
+        self.searched: dict[str, list[Choice]] = {}
+        self.place: defaultdict[str, int] = defaultdict()  # numbers of the segmented words, in the order of the arrays
+        self.place.default_factory = self.place.__len__
+        self.score, self.loss, self.sizes, self.ids = np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.uses = np.zeros(0, np.int64)
+
+    def thin(self) -> None:
+        """Keeps half of the segmented words, those that came most often."""
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: KEPT_WORDS // 2])
+        names, starts = list(self.place), np.cumsum(self.sizes) - self.sizes
+        self.place.clear()
+        self.place.update(zip(map(names.__getitem__, kept.tolist()), range(len(kept))))
+        self.ids = self.ids[_runs(self.sizes[kept], starts[kept])]
+        self.score, self.loss, self.sizes, self.uses = self.score[kept], self.loss[kept], self.sizes[kept], self.uses[kept]
+
+    def learn(self, names: list[str], parts: list[np.ndarray]) -> None:
+        """Segments the words that are new and counts all words of the texts."""
+        new = names[len(self.score) :]
+        if new:
+            found = zip((self.score, self.loss, self.sizes, self.ids), self.words(new))
+            self.score, self.loss, self.sizes, self.ids = (np.concatenate(pair) for pair in found)
+        uses = np.bincount(np.concatenate(parts), minlength=len(names))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
 
     def choices(self, word: str) -> list[Choice]:
         """The ``n`` best segmentations of a word."""
@@ -346,8 +360,9 @@ class Encoder:
         """Score, loss and number of pieces of each of the distinct words, and the ids of all, one word after the other."""
         score, loss, sizes = np.zeros(len(words)), np.zeros(len(words)), np.zeros(len(words), np.int64)
         plain, groups, parts = self.vocabulary.characters.issuperset, {}, []
+        other = set("".join(words)) - self.vocabulary.characters
         for i, word in enumerate(words):
-            if len(word) > CACHED_CHARS or not plain(word):
+            if len(word) > CACHED_CHARS or other and not plain(word):
                 choices = best_of(word, self.vocabulary, max(self.n, 2), self.automaton)
                 score[i], loss[i] = choices[0][0], choices[0][0] - choices[1][0] if len(choices) > 1 else np.inf
                 sizes[i] = len(choices[0][1]) // 4
@@ -364,10 +379,13 @@ class Encoder:
 
     def edited(self, texts: list[str]) -> list[tuple[Choice, list[Other]]]:
         """The best segmentation of each text, and the next best ones by what they change in it."""
-        names, parts = _numbered(texts)
-        if not names:
+        if not any(texts):
             return [((0.0, b""), []) for _ in texts]
-        score, loss, sizes, ids = self.words(names)
+        if len(self.place) > KEPT_WORDS:
+            self.thin()
+        parts, names = _numbered(texts, self.place), list(self.place)
+        self.learn(names, parts)
+        score, loss, sizes, ids = self.score, self.loss, self.sizes, self.ids
         starts = np.cumsum(sizes) - sizes
         found = []
         for mine in parts:

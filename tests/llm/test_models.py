@@ -314,3 +314,16 @@ def test_a_model_without_its_files_is_refused(spark, some, tmp_path):
         ngram_lm.score(some, model).collect()
     with pytest.raises(FileNotFoundError, match="mounted folder"):
         ngram_lm.Model(str(tmp_path), 1, 1, {"tokens": 1, "vocabulary": 1, "pairs": 0, "more": 0, **{f"pairs{k}": 0 for k in (1, 2, 3, 4)}, **{f"n{k}": 0 for k in (1, 2, 3, 4)}})
+
+
+def test_words_of_earlier_batches_are_not_segmented_again(vocabulary, monkeypatch):
+    texts = ["one two three one", "two four", "", "one five three", "six seven eight nine", "one two ten"]
+    whole = pieces.Encoder(vocabulary, 3).texts(texts)
+    asked, best_paths = [], pieces.best_paths
+    monkeypatch.setattr(pieces, "best_paths", lambda words, *rest: (asked.extend(words), best_paths(words, *rest))[1])
+    encoder = pieces.Encoder(vocabulary, 3)
+    assert [encoder.texts([t])[0] for t in texts] == whole
+    assert len(asked) == len(set(asked)) == 10
+    monkeypatch.setattr(pieces, "KEPT_WORDS", 4)  # the rarer ones go
+    encoder.forget()
+    assert [encoder.texts([t])[0] for t in texts] == whole and len(encoder.place) < 10
