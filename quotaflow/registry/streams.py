@@ -111,6 +111,9 @@ def _synced(i: Inputs) -> DataFrame:
     """Two runs of the metric sync over all sources, the second with other values for one segment; all five tables read back."""
     root = run_folder(i.spark, "metrics")
     sources = {"arr": i.arr_source, "acv": i.acv_source, "health": i.health, "forecast": i.forecast_snapshots.drop("snapshot_date"), "nrr": i.nrr_source}
+    for name in ("acv", "forecast", "nrr"):  # joined and summed once; each run checks and writes what is stored
+        sources[name].write.parquet(f"{root}/source-{name}")
+        sources[name] = i.spark.read.schema(sources[name].schema).parquet(f"{root}/source-{name}")
     raised = F.when(F.col("segment") == "Enterprise", F.col("arr") + 100).otherwise(F.col("arr")).cast("decimal(18,2)")
     batches.sync_metrics(sources, root, EARLIER, 1)
     batches.sync_metrics({**sources, "arr": i.arr_source.withColumn("arr", raised)}, root, AS_OF_DATE, 2)

@@ -34,7 +34,7 @@ def sync_metrics(sources: dict[str, DataFrame], root: str, as_of: dt.date, sync_
     for name, df in rows.items():
         require_unique(df, METRIC_KEYS[name])
         stamped = conform(sync.stamped(df), f"metrics.{name}").withColumn("sync_no", F.lit(sync_no))
-        metric_table(df.sparkSession, root, name).write_batch(stamped, sync_no)
+        metric_table(df.sparkSession, root, name).write_batch(stamped, sync_no, unique=True)
     forecast = sync.forecast_rows(sources["forecast"]).withColumn("snapshot_date", F.lit(as_of))
     append_batch(conform(sync.stamped(forecast), "metrics.forecast"), f"{root}/forecast", sync_no)
     nrr = sync.nrr_rows(sources["nrr"], as_of).withColumns(

@@ -37,9 +37,9 @@ class KeyedTable:
     def newest(self, df: DataFrame) -> DataFrame:
         return top_per_key(df, [self.key], self._order())
 
-    def write_batch(self, batch: DataFrame, batch_id: int) -> None:
-        """Log the newest row per key of one batch, deletes included; fold when it is time."""
-        append_batch(self.newest(batch), f"{self.root}/log", batch_id)
+    def write_batch(self, batch: DataFrame, batch_id: int, unique: bool = False) -> None:
+        """Log the newest row per key of one batch, deletes included; fold when it is time. ``unique``: no key is there twice."""
+        append_batch(batch if unique else self.newest(batch), f"{self.root}/log", batch_id)
         if (batch_id + 1) % self.fold_every == 0 and self.folded_until() < batch_id:
             last = self.spark.read.parquet(f"{self.root}/log").agg(F.max(self.sequence)).first()[0]
             self.fold(batch_id, F.lit(last))

@@ -88,3 +88,23 @@ def test_job_files(spark, tmp_path):
     assert items.count() == 6 and len(first) == 4
     assert [r["query_idx"] for r in first if r["title"] == "VP Data"] == [0]
     assert max(len(r["snippet"]) for r in first) == 400
+
+
+def test_sync_query_joins_and_sums_its_sources_once(spark, monkeypatch):
+    """Both runs read stored rows, and rows whose keys were found unique are not ranked again on the way into the log."""
+    from quotaflow.plans.views import Inputs
+    from quotaflow.registry import streams
+    from quotaflow.sinks.keyed import KeyedTable
+
+    plans, ranked, sync, newest = [], [], B.sync_metrics, KeyedTable.newest
+
+    def watched(sources, *rest):
+        plans.extend(sources[name]._jdf.queryExecution().optimizedPlan().toString() for name in ("acv", "forecast", "nrr"))
+        monkeypatch.setattr(KeyedTable, "newest", lambda self, df: (ranked.append(self.root), newest(self, df))[1])
+        sync(sources, *rest)
+        monkeypatch.setattr(KeyedTable, "newest", newest)
+
+    monkeypatch.setattr(streams.batches, "sync_metrics", watched)
+    assert streams._synced(Inputs(spark, "/root/testdata/sf0.001")).count() > 0
+    assert len(plans) == 6 and not any("Join" in p or "Aggregate" in p for p in plans)
+    assert not ranked
